@@ -1,0 +1,18 @@
+"""Broadcast only what was counted."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast when it has at most ``max_rows`` rows.
+
+    The count stops at the limit. Beyond it the plain frame is returned and the
+    join shuffles (with the skew handling of adaptive execution). Call it on
+    frames that are cheap to count: scanned tables or cut lineage.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
