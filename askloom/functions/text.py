@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askloom.functions import rules
@@ -15,6 +15,14 @@ WS_CHARS = (
     r"\x{205f}\x{3000}"
 )
 WS = f"[{WS_CHARS}]"
+# The same characters as a list, for trimming without a regular expression.
+WS_LIST = "".join(
+    chr(c)
+    for c in (
+        *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+        0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+    )
+)
 WORD_CHAR = r"[\p{L}\p{N}_]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 LINE_BREAK = r"\r\n|[\n\r\x{85}\x{2028}\x{2029}]"
@@ -27,7 +35,11 @@ def whole_word(pattern: str) -> str:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_LIST))
+
+
+def rstrip(c: Column) -> Column:
+    return F.rtrim(c, F.lit(WS_LIST))
 
 
 def squeeze(c: Column) -> Column:
@@ -41,12 +53,12 @@ def strip_control(c: Column) -> Column:
 
 def is_informative(line: Column) -> Column:
     """Keep page marks, table rows, and lines with enough letters or digits."""
-    alnum = F.regexp_count(line, F.lit(r"[\p{L}\p{N}]"))
+    alnum = F.length(F.regexp_replace(line, r"[^\p{L}\p{N}]+", ""))
     bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
     return (
         line.startswith("[Page ")
         | (bars >= 2)
-        | ((F.length(line) > 2) & (alnum > 0) & (alnum >= F.length(line) * F.lit(0.25)))
+        | ((F.length(line) > 2) & (alnum * 4 >= F.length(line)))
     )
 
 
@@ -96,7 +108,7 @@ def content_terms(
 def truncate(c: Column, max_len: int) -> Column:
     """Cut to ``max_len - 1`` characters plus dots, on squeezed text."""
     s = squeeze(c)
-    cut = F.regexp_replace(F.substring(s, 1, max_len - 1), f"{WS}+$", "")
+    cut = rstrip(F.substring(s, 1, max_len - 1))
     return F.when(F.length(s) <= max_len, s).otherwise(F.concat(cut, F.lit("...")))
 
 
@@ -105,7 +117,7 @@ def truncate_tight(c: Column, limit: int) -> Column:
     s = strip(F.coalesce(c, F.lit("")))
     if limit <= 0:
         return s
-    cut = F.regexp_replace(F.substring(s, 1, max(limit - 3, 0)), f"{WS}+$", "")
+    cut = rstrip(F.substring(s, 1, max(limit - 3, 0)))
     return F.when(F.length(s) <= limit, s).otherwise(F.concat(cut, F.lit("...")))
 
 
@@ -175,3 +187,13 @@ def table_markdown(rows: Column) -> Column:
     )
     table = F.array_join(F.concat(F.array(line(header), rule), F.transform(body, line)), "\n")
     return F.when((F.size(filled) < 2) | blank(header), "").otherwise(table)
+
+
+def keep_non_blank(df: DataFrame, value: Column, name: str = "text") -> DataFrame:
+    """Set ``name`` to ``value`` and drop rows where it is ''.
+
+    A filter on a computed text would be pushed below the projection and the
+    text computed twice; exploding a list of zero or one values computes it once.
+    """
+    kept = F.explode(F.filter(F.array(value), lambda x: x != ""))
+    return df.select(*[c for c in df.columns if c != name], kept.alias(name))

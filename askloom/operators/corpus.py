@@ -12,7 +12,7 @@ from askloom.functions import udfs
 def clean_documents(docs: DataFrame, fold_unicode: bool = True) -> DataFrame:
     """Clean ``text`` and drop documents left empty."""
     raw = udfs.nfkc(F.col("text")) if fold_unicode else F.col("text")
-    return docs.withColumn("text", T.clean(raw)).filter(F.col("text") != "")
+    return T.keep_non_blank(docs, T.clean(raw))
 
 
 def page_text(page: Column, text: Column, tables: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Broadcast only what was counted."""
+"""Choices that depend on a counted size: broadcast, and spreading a small table."""
 
 from __future__ import annotations
 
@@ -16,3 +16,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     frames that are cheap to count: scanned tables or cut lineage.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread_if_small(df: DataFrame, key: str, max_rows: int = 2_000_000) -> DataFrame:
+    """Spread a small table over the cores.
+
+    A small file is one row group and so one task, however costly its rows are.
+    Tables beyond ``max_rows`` have row groups enough and are left as scanned.
+    """
+    if df.limit(max_rows + 1).count() > max_rows:
+        return df
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)

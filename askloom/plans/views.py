@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions import text as T
 from askloom.operators import chunking, corpus
+from askloom.operators.sizes import spread_if_small
 from askloom.plans.retrieve import Corpus, embed_chunks
 from askloom.settings import Settings
 
@@ -31,7 +32,7 @@ def as_documents(documents: DataFrame) -> DataFrame:
 
 
 def raw_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return as_documents(table(spark, sf, "documents"))
+    return as_documents(spread_if_small(table(spark, sf, "documents"), "doc_id"))
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,7 +57,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Each line of a document is a page; a line with cell bars is also a table."""
-    lines = table(spark, sf, "documents").select(
+    lines = spread_if_small(table(spark, sf, "documents"), "doc_id").select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")
     )
     bars = F.length("text") - F.length(F.replace("text", F.lit("|"), F.lit("")))
@@ -76,9 +77,7 @@ def doc_pages(spark: SparkSession, sf: str) -> DataFrame:
 def qrels(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, target): documents whose raw text holds the question text."""
     found = containing(
-        table(spark, sf, "documents").select(
-            F.concat_ws("/", "source", "doc_id").alias("target"), F.col("text").alias("body")
-        ),
+        raw_docs(spark, sf).select(F.col("source").alias("target"), F.col("text").alias("body")),
         questions(spark, sf),
     )
     return found.select("query_id", "target")

@@ -33,7 +33,7 @@ def with_path_metadata(df: DataFrame, path: str = "path") -> DataFrame:
 
 def drop_blank(docs: DataFrame) -> DataFrame:
     """Strip texts and drop the blank ones."""
-    return docs.withColumn("text", T.strip(F.col("text"))).filter(F.col("text") != "")
+    return T.keep_non_blank(docs, T.strip(F.col("text")))
 
 
 def decode_utf8(content: Column) -> Column:
