@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,11 @@ def whole_word(pattern: str) -> str:
     return rf"(?<!{WORD_CHAR})(?:{pattern})(?!{WORD_CHAR})"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, which is computed once even where body uses it in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_LIST))
 
@@ -107,18 +113,25 @@ def content_terms(
 
 def truncate(c: Column, max_len: int) -> Column:
     """Cut to ``max_len - 1`` characters plus dots, on squeezed text."""
-    s = squeeze(c)
-    cut = rstrip(F.substring(s, 1, max_len - 1))
-    return F.when(F.length(s) <= max_len, s).otherwise(F.concat(cut, F.lit("...")))
+    return let(
+        squeeze(c),
+        lambda s: F.when(F.length(s) <= max_len, s).otherwise(
+            F.concat(rstrip(F.substring(s, 1, max_len - 1)), F.lit("..."))
+        ),
+    )
 
 
 def truncate_tight(c: Column, limit: int) -> Column:
     """Cut so that the result with dots fits into ``limit``; 0 means no cut."""
-    s = strip(F.coalesce(c, F.lit("")))
+    text = strip(F.coalesce(c, F.lit("")))
     if limit <= 0:
-        return s
-    cut = rstrip(F.substring(s, 1, max(limit - 3, 0)))
-    return F.when(F.length(s) <= limit, s).otherwise(F.concat(cut, F.lit("...")))
+        return text
+    return let(
+        text,
+        lambda s: F.when(F.length(s) <= limit, s).otherwise(
+            F.concat(rstrip(F.substring(s, 1, max(limit - 3, 0))), F.lit("..."))
+        ),
+    )
 
 
 def section_header(c: Column) -> Column:
@@ -153,9 +166,11 @@ def first_non_empty(*cols: Column) -> Column:
 
 def distinct_ignore_case(arr: Column) -> Column:
     """Drop blanks and later repeats that differ in case only."""
-    lowered = F.transform(arr, F.lower)
-    return F.filter(
-        arr, lambda x, i: (x != "") & (F.array_position(lowered, F.lower(x)) == i + 1)
+    first_of = lambda texts, lowered: F.filter(
+        texts, lambda x, i: (x != "") & (F.array_position(lowered, F.lower(x)) == i + 1)
+    )
+    return let(
+        arr, lambda texts: let(F.transform(texts, F.lower), lambda low: first_of(texts, low))
     )
 
 
@@ -163,30 +178,40 @@ def contains_any(c: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
 
 
+def _markdown_row(cells: Column) -> Column:
+    escaped = F.transform(cells, lambda x: F.replace(x, F.lit("|"), F.lit("\\|")))
+    return F.concat(F.lit("| "), F.array_join(escaped, " | "), F.lit(" |"))
+
+
+def _markdown(rows: Column) -> Column:
+    """Rows of equal width; a blank first row makes the second row the header."""
+    blank = lambda r: F.forall(r, lambda x: x == "")
+    start = F.when(blank(F.get(rows, F.lit(0))), 2).otherwise(1)
+    header = F.get(rows, start - 1)
+    rule = F.transform(header, lambda x: F.lit("---"))
+    body = F.transform(F.slice(rows, start + 1, F.size(rows)), _markdown_row)
+    table = F.array_join(
+        F.concat(F.array(_markdown_row(header), _markdown_row(rule)), body), "\n"
+    )
+    return F.when((F.size(rows) < 2) | blank(header), "").otherwise(table)
+
+
 def table_markdown(rows: Column) -> Column:
     """Cells (array of arrays, ragged allowed) as a Markdown table, '' if too small."""
     cell = lambda x: strip(F.replace(F.coalesce(x, F.lit("")), F.lit("\n"), F.lit(" ")))
     filled = F.transform(
         F.filter(rows, lambda r: r.isNotNull() & (F.size(r) > 0)), lambda r: F.transform(r, cell)
     )
-    width = F.array_max(F.transform(filled, F.size))
-    padded = F.transform(
-        filled, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))
-    )
-    blank = lambda r: F.forall(r, lambda x: x == "")
-    line = lambda r: F.concat(
-        F.lit("| "),
-        F.array_join(F.transform(r, lambda x: F.replace(x, F.lit("|"), F.lit("\\|"))), " | "),
-        F.lit(" |"),
+    pad = lambda all_rows, width: F.transform(
+        all_rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))
     )
-    start = F.when(blank(F.get(padded, F.lit(0))), 2).otherwise(1)
-    header = F.get(padded, start - 1)
-    body = F.slice(padded, start + 1, F.size(padded))
-    rule = F.concat(
-        F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |")
+    padded = let(
+        filled,
+        lambda all_rows: let(
+            F.array_max(F.transform(all_rows, F.size)), lambda width: pad(all_rows, width)
+        ),
     )
-    table = F.array_join(F.concat(F.array(line(header), rule), F.transform(body, line)), "\n")
-    return F.when((F.size(filled) < 2) | blank(header), "").otherwise(table)
+    return let(padded, _markdown)
 
 
 def keep_non_blank(df: DataFrame, value: Column, name: str = "text") -> DataFrame:

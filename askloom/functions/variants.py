@@ -9,6 +9,7 @@ from askloom.functions import rules
 from askloom.functions.text import (
     contains_any,
     distinct_ignore_case,
+    let,
     squeeze,
     strip,
     whole_word,
@@ -43,16 +44,23 @@ def entity_hints(query: Column, aliases: Aliases = rules.ENTITY_ALIASES) -> Colu
     )
     runs = F.regexp_extract_all(text, F.lit(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+"), F.lit(0))
     titles = F.array_distinct(F.transform(runs, lambda x: F.lower(squeeze(x))))
-    return F.slice(F.concat(named, F.filter(titles, lambda t: ~F.array_contains(named, t))), 1, 6)
+    return let(
+        named,
+        lambda known: F.slice(
+            F.concat(known, F.filter(titles, lambda t: ~F.array_contains(known, t))), 1, 6
+        ),
+    )
 
 
 def alias_variants(query: Column, aliases: Aliases = rules.ENTITY_ALIASES) -> Column:
     """The lowercase question with one alias rule applied, for each rule that changes it."""
     lowered = F.lower(squeeze(query))
-    rewritten = F.array(
-        *[F.regexp_replace(lowered, whole_word(p), name) for p, name in aliases]
-    )
-    return F.slice(F.filter(rewritten, lambda x: (x != lowered) & (x != "")), 1, 3)
+
+    def changed(text: Column) -> Column:
+        rewritten = [F.regexp_replace(text, whole_word(p), name) for p, name in aliases]
+        return F.filter(F.array(*rewritten), lambda x: (x != text) & (x != ""))
+
+    return F.slice(let(lowered, changed), 1, 3)
 
 
 def deterministic_variants(query: Column, n: int) -> Column:
@@ -130,13 +138,13 @@ def assembled_variants(
     if settings.multi_query_count <= 1:
         return F.array(text)
     deterministic = deterministic_variants(query, settings.multi_query_count)
-    base = F.slice(deterministic, 2, settings.multi_query_count + 1)
+    base = F.slice(deterministic, 2, settings.multi_query_count)
     if generated is not None:
         base = F.coalesce(generated, base)
     pool = F.transform(
         F.concat(base, alias_variants(query, aliases), concept_expansions(query, aliases)), squeeze
     )
-    valid = F.filter(pool, lambda v: is_valid_variant(v, query))
+    valid = let(text, lambda t: F.filter(pool, lambda v: is_valid_variant(v, t)))
     unique = distinct_ignore_case(F.concat(F.array(text), valid))
     return F.slice(unique, 1, settings.variant_limit)
 
@@ -150,8 +158,10 @@ def corrective_variants(query: Column, used: Column, settings: Settings = DEFAUL
         ),
         squeeze,
     )
-    taken = F.transform(used, F.lower)
-    fresh = F.filter(pool, lambda v: ~F.array_contains(taken, F.lower(v)))
+    fresh = let(
+        F.transform(used, F.lower),
+        lambda taken: F.filter(pool, lambda v: ~F.array_contains(taken, F.lower(v))),
+    )
     return F.slice(distinct_ignore_case(fresh), 1, max(settings.multi_query_count, 2))
 
 

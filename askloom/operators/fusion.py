@@ -104,16 +104,13 @@ def metadata_alignment(
     blob = F.lower(
         F.concat_ws(" ", blank(source_rel), blank(topic), blank(subtopic), blank(section))
     )
-    terms = T.content_terms(query, 14)
-    term_part = F.size(F.filter(terms, lambda t: F.contains(blob, t))) / F.greatest(
-        F.size(terms), F.lit(1)
-    )
-    hits = F.size(
-        F.filter(variants.entity_hints(query, aliases), lambda e: F.contains(blob, e))
-    )
-    return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(
-        F.greatest(term_part, F.least(hits, F.lit(2)) / 2.0)
+    found = lambda words: T.let(
+        blob, lambda b: F.size(F.filter(words, lambda w: F.contains(b, w)))
     )
+    terms = T.content_terms(query, 14)
+    term_part = found(terms) / F.greatest(F.size(terms), F.lit(1))
+    entity_part = F.least(found(variants.entity_hints(query, aliases)), F.lit(2)) / 2.0
+    return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(F.greatest(term_part, entity_part))
 
 
 def rerank(
