@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ("corpus", "questions")
+SECTIONS = ("corpus", "questions", "retrieval")
 
 
 def load():

@@ -55,7 +55,7 @@ def embed_column(
 ) -> DataFrame:
     """Add a vector column. ``embedder`` maps a batch of texts to a 2-d array."""
     model = embedder or (lambda batch: hashed_vectors(batch, dim))
-    schema = St.StructType(df.schema.fields).add(target, St.ArrayType(St.DoubleType()))
+    schema = St.StructType([*df.schema.fields]).add(target, St.ArrayType(St.DoubleType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -19,6 +19,7 @@ CHUNK_COLUMNS = (
     "chunk_id", "chunk_type", "doc_type", "source", "source_rel", "topic", "subtopic",
     "section", "pages", "has_table", "parent_id", "text",
 )
+ROW_COLUMNS = ("query_id", "query", "rank", "rrf_score", "similarity")
 
 
 @dataclass(frozen=True)
@@ -85,8 +86,9 @@ def attach(
     The corpus is scanned once against the few wanted ids and not moved.
     """
     wanted = rows.join(questions.select("query_id", "query"), "query_id")
-    joined = corpus.chunks.select(*CHUNK_COLUMNS).join(broadcast_if_small(wanted), "chunk_id")
-    return joined.withColumn("relevant", F.lit(True) if relevant is None else relevant)
+    joined = corpus.chunks.join(broadcast_if_small(wanted), "chunk_id")
+    flag = F.lit(True) if relevant is None else F.coalesce(relevant, F.lit(False))
+    return joined.select(*CHUNK_COLUMNS, *ROW_COLUMNS, flag.alias("relevant"))
 
 
 def retrieve(
@@ -110,7 +112,7 @@ def retrieve(
             settings, embedder, index,
         )
     )
-    fused = fusion.rrf(lists, fused_n, settings)
+    fused = cut_lineage(fusion.rrf(lists, fused_n, settings))
     rows = cut_lineage(attach(fused, corpus, questions, relevant))
     graded = fusion.grade_with_floor(rows, settings.min_relevant)
     first_rows, first_graded = rows, graded
@@ -122,10 +124,13 @@ def retrieve(
         )
     )
     if not failing.isEmpty():
+        # numbered after the variants of the first pass
+        again = second_variants(failing, settings, aliases).withColumn(
+            "variant_id", F.col("variant_id") + settings.variant_limit
+        )
         more = cut_lineage(
             fusion.ranked_lists(
-                corpus.chunks, corpus.vectors, second_variants(failing, settings, aliases), k,
-                settings, embedder, index,
+                corpus.chunks, corpus.vectors, again, k, settings, embedder, index
             )
         )
         # only questions whose second pass found something are fused again
@@ -134,7 +139,7 @@ def retrieve(
             "query_id", F.lit(-1).alias("variant_id"), F.lit("fused").alias("list_type"),
             "rank", "chunk_id", "similarity",
         )
-        wide = fusion.rrf(old.unionByName(more), fused_n + 2, settings)
+        wide = cut_lineage(fusion.rrf(old.unionByName(more), fused_n + 2, settings))
         new_rows = cut_lineage(attach(wide, corpus, questions, relevant))
         new_graded = fusion.grade_with_floor(new_rows, settings.min_relevant)
         rows = rows.join(redone, "query_id", "left_anti").unionByName(new_rows)

@@ -44,9 +44,15 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retrieval_corpus(spark: SparkSession, sf: str) -> Corpus:
+    """Default-size children and parents; ``quality`` is the label of the document."""
     kept = docs(spark, sf)
     children = chunking.chunk_children(kept)
-    return Corpus(children, chunking.chunk_parents(kept), embed_chunks(children))
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    return Corpus(
+        children.join(labels, "doc_id", "left"),
+        chunking.chunk_parents(kept),
+        embed_chunks(children),
+    )
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
