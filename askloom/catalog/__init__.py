@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ("corpus", "questions", "retrieval")
+SECTIONS = ("corpus", "questions", "retrieval", "evaluation")
 
 
 def load():

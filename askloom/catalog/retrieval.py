@@ -292,16 +292,16 @@ cte(
 )
 
 
-def run(spark, sf) -> R.Retrieval:
+def run(spark, sf, corpus: R.Corpus | None = None) -> R.Retrieval:
     return R.retrieve(
-        V.retrieval_corpus(spark, sf), V.questions(spark, sf), K,
+        corpus or V.retrieval_corpus(spark, sf), V.questions(spark, sf), K,
         relevant=F.col("quality") == 1, aliases=ALIASES, corrective_below=SECOND_PASS_BELOW,
     )
 
 
 def first_lists(spark, sf):
     corpus = V.retrieval_corpus(spark, sf)
-    variants = R.first_variants(V.questions(spark, sf), DEFAULTS, ALIASES)
+    variants = cut_lineage(R.first_variants(V.questions(spark, sf), DEFAULTS, ALIASES))
     return corpus, fusion.ranked_lists(corpus.chunks, corpus.vectors, variants, K)
 
 
@@ -482,15 +482,13 @@ cte(
 )
 
 
-def bundle_rows(spark, sf, result: R.Retrieval | None = None):
-    result = result or run(spark, sf)
+def bundle_rows(corpus: R.Corpus, result: R.Retrieval):
     local = result.context.withColumn("is_dynamic", F.lit(False))
     hits = result.lists.filter(
         (F.col("variant_id") == 0) & (F.col("list_type") == "lexical") & (F.col("rank") <= K)
     )
-    corpus = V.retrieval_corpus(spark, sf)
     dynamic = (
-        corpus.chunks.join(broadcast_if_small(hits), "chunk_id")
+        corpus.chunks.drop("embedding").join(broadcast_if_small(hits), "chunk_id")
         .withColumn("chunk_type", F.lit("dynamic"))
         .withColumn("doc_type", F.lit("dynamic"))
         .withColumn("parent_id", F.lit(None).cast("string"))
@@ -501,8 +499,11 @@ def bundle_rows(spark, sf, result: R.Retrieval | None = None):
     return local.unionByName(dynamic).withColumn("tokens", T.token_count(F.col("text")).cast("long"))
 
 
-def budgeted(spark, sf, result: R.Retrieval | None = None):
-    return context.token_budget(bundle_rows(spark, sf, result))
+def budgeted(spark, sf):
+    """The retrieval result and its context within the token budget."""
+    corpus = V.retrieval_corpus(spark, sf)
+    result = run(spark, sf, corpus)
+    return result, context.token_budget(bundle_rows(corpus, result))
 
 
 @query(
@@ -511,7 +512,7 @@ def budgeted(spark, sf, result: R.Retrieval | None = None):
     ("budgeted",),
 )
 def token_budget(spark, sf):
-    out = budgeted(spark, sf).select(
+    out = budgeted(spark, sf)[1].select(
         "query_id", "chunk_id", "is_dynamic", "rank", "tokens", "running_tokens"
     )
     return as_long(out, "rank")
@@ -546,7 +547,7 @@ GROUP BY query_id
 )
 def context_text(spark, sf):
     rows = fusion.ranked(
-        budgeted(spark, sf), F.asc("is_dynamic"), F.asc("rank"), rank="position"
+        budgeted(spark, sf)[1], F.asc("is_dynamic"), F.asc("rank"), rank="position"
     )
     return context.context_text(rows.withColumn("rank", F.col("position")))
 

@@ -214,11 +214,24 @@ def table_markdown(rows: Column) -> Column:
     return let(padded, _markdown)
 
 
+def each(df: DataFrame, columns: list[str], array: Column, name: str, pos: str | None = None) -> DataFrame:
+    """One row per array element, next to ``columns``; empty arrays give no row.
+
+    A plain explode makes Spark add a filter on the array's size, which computes
+    an expensive array twice. The outer form does not; its NULL rows are dropped.
+    """
+    if pos is None:
+        out = df.select(*columns, F.explode_outer(array).alias(name))
+    else:
+        out = df.select(*columns, F.posexplode_outer(array).alias(pos, name))
+    return out.filter(F.col(name).isNotNull())
+
+
 def keep_non_blank(df: DataFrame, value: Column, name: str = "text") -> DataFrame:
-    """Set ``name`` to ``value`` and drop rows where it is ''.
+    """Set ``name`` to ``value`` and drop rows where it is '', computing it once.
 
-    A filter on a computed text would be pushed below the projection and the
-    text computed twice; exploding a list of zero or one values computes it once.
+    A filter on a computed text would be pushed below the projection and compute
+    the text twice.
     """
-    kept = F.explode(F.filter(F.array(value), lambda x: x != ""))
-    return df.select(*[c for c in df.columns if c != name], kept.alias(name))
+    kept = F.filter(F.array(value), lambda x: x != "")
+    return each(df, [c for c in df.columns if c != name], kept, name)

@@ -39,14 +39,11 @@ def chunk_flat(
     doc_type: str = "local",
 ) -> DataFrame:
     """One row per window; every other column of ``docs`` is carried along."""
+    tokenized = docs.withColumn("_tokens", T.tokens(F.col("text")))
+    carried = [c for c in docs.columns if c != "text"]
+    windows = token_windows(F.col("_tokens"), size, overlap)
     return (
-        docs.withColumn("_tokens", T.tokens(F.col("text")))
-        .select(
-            *[c for c in docs.columns if c != "text"],
-            F.posexplode(token_windows(F.col("_tokens"), size, overlap)).alias(
-                "chunk_index", "_window"
-            ),
-        )
+        T.each(tokenized, carried, windows, "_window", "chunk_index")
         .withColumn("text", F.array_join("_window", ""))
         .withColumn("doc_type", F.lit(doc_type))
         .withColumn("chunk_type", F.lit(doc_type))
@@ -56,14 +53,11 @@ def chunk_flat(
 
 
 def _parent_windows(docs: DataFrame, settings: Settings) -> DataFrame:
+    tokenized = docs.withColumn("_tokens", T.tokens(F.col("text")))
+    carried = [c for c in docs.columns if c != "text"]
+    windows = token_windows(F.col("_tokens"), settings.parent_size, settings.parent_overlap)
     return (
-        docs.withColumn("_tokens", T.tokens(F.col("text")))
-        .select(
-            *[c for c in docs.columns if c != "text"],
-            F.posexplode(
-                token_windows(F.col("_tokens"), settings.parent_size, settings.parent_overlap)
-            ).alias("parent_index", "_window"),
-        )
+        T.each(tokenized, carried, windows, "_window", "parent_index")
         .withColumn("text", F.array_join("_window", ""))
         .withColumn(
             "parent_id", F.concat(F.col("source"), F.lit("::parent::"), F.col("parent_index"))
@@ -87,13 +81,9 @@ def chunk_children(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     per_parent = windows_per_full_parent(settings)
     parents = _parent_windows(docs, settings)
     carried = [c for c in parents.columns if c not in ("text", "_window")]
+    windows = token_windows(F.col("_window"), settings.child_size, settings.child_overlap)
     return (
-        parents.select(
-            *carried,
-            F.posexplode(
-                token_windows(F.col("_window"), settings.child_size, settings.child_overlap)
-            ).alias("child_index", "_child"),
-        )
+        T.each(parents, carried, windows, "_child", "child_index")
         .withColumn("text", F.array_join("_child", ""))
         .withColumn("chunk_index", F.col("parent_index") * per_parent + F.col("child_index"))
         .withColumn("chunk_id", F.concat_ws("_", "source", "chunk_index"))

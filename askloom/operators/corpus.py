@@ -67,7 +67,7 @@ def lexicon_table(spark: SparkSession, areas: dict[str, tuple[str, ...]]) -> Dat
 
 def topic_hits(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, area, hits): how often the words of an area occur in a document."""
-    words = docs.select(key, F.explode(T.alnum_tokens(F.col("text"))).alias("word"))
+    words = T.each(docs, [key], T.alnum_tokens(F.col("text")), "word")
     return words.join(lexicon, "word").groupBy(key, "area").agg(F.count("*").alias("hits"))
 
 

@@ -74,10 +74,9 @@ def _frame(schema: St.StructType, columns: tuple) -> pd.DataFrame:
 
 
 def _scan_with_queries(
-    docs: DataFrame, queries: DataFrame, k: int, query_key: str, key: str, schema: St.StructType
+    docs: DataFrame, local: pd.DataFrame, k: int, query_key: str, key: str, schema: St.StructType
 ) -> DataFrame:
-    """Small batch (checked by the caller): every task holds the question matrix."""
-    local = queries.toPandas()
+    """Small batch (counted by the caller): every task holds the question matrix."""
     shared = docs.sparkSession.sparkContext.broadcast(
         (local[query_key].to_numpy(), _matrix(local["embedding"]))
     )
@@ -153,9 +152,9 @@ def nearest(
     docs = docs.select(key, "embedding")
     queries = queries.select(query_key, "embedding")
     schema = _result_schema(queries, docs, query_key, key)
-    probe = queries.limit(settings.max_broadcast_queries + 1).count()
-    if probe <= settings.max_broadcast_queries:
-        found = _scan_with_queries(docs, queries, n, query_key, key, schema)
+    probe = queries.limit(settings.max_broadcast_queries + 1).toPandas()
+    if len(probe) <= settings.max_broadcast_queries:
+        found = _scan_with_queries(docs, probe, n, query_key, key, schema)
     else:
         found = _block_join(
             docs, queries, queries.count(), n, query_key, key, schema, settings, doc_block_rows
@@ -198,7 +197,7 @@ def _with_buckets(df: DataFrame, key: str, planes: np.ndarray) -> DataFrame:
             for t in range(tables):
                 codes = ((matrix @ planes[t].T) > 0) @ weights
                 yield pd.DataFrame(
-                    {key: batch[key], "embedding": list(matrix), "table_no": t, "bucket": codes}
+                    {key: batch[key].to_numpy(), "embedding": list(matrix), "table_no": t, "bucket": codes}
                 )
 
     return df.select(key, "embedding").mapInPandas(run, schema)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askloom.functions import text as T
@@ -21,38 +21,51 @@ from askloom.settings import DEFAULTS, Settings
 SCORE_DIGITS = 6
 
 
+def local_chunks(chunks: DataFrame) -> DataFrame:
+    return chunks.filter(F.col("doc_type") == "local") if "doc_type" in chunks.columns else chunks
+
+
+def lexical_length(text: Column) -> Column:
+    """Length of a chunk in search tokens, one at least; stored as ``doc_len``."""
+    return F.greatest(F.size(T.search_tokens(text)), F.lit(1))
+
+
 def tokenized(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(key, tokens, doc_len) of the local chunks."""
-    local = chunks.filter(F.col("doc_type") == "local") if "doc_type" in chunks.columns else chunks
-    words = local.select(key, T.search_tokens(F.col("text")).alias("tokens"))
+    words = local_chunks(chunks).select(key, T.search_tokens(F.col("text")).alias("tokens"))
     return words.withColumn("doc_len", F.greatest(F.size("tokens"), F.lit(1)))
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(key, term, tf, doc_len) for every term of the corpus."""
-    words = tokenized(chunks, key).select(key, "doc_len", F.explode("tokens").alias("term"))
+    words = T.each(tokenized(chunks, key), [key, "doc_len"], F.col("tokens"), "term")
     return words.groupBy(key, "term").agg(
         F.count("*").alias("tf"), F.first("doc_len").alias("doc_len")
     )
 
 
 def term_df(post: DataFrame) -> DataFrame:
-    """(term, df); counted per map task before the shuffle, so hot terms stay cheap."""
-    return post.groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df); counted per map task before the shuffle, so hot terms stay cheap.
+
+    The condition always holds. It keeps ``doc_len`` in this branch, so the plan
+    reads the same shuffle as the scoring branch instead of a second scan.
+    """
+    return post.groupBy("term").agg(F.count_if(F.col("doc_len") > 0).alias("df"))
 
 
 def corpus_stats(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """One row: number of chunks and mean length."""
-    return tokenized(chunks, key).agg(
+    """One row: number of chunks and mean length. A stored ``doc_len`` saves reading the texts."""
+    lengths = (
+        local_chunks(chunks) if "doc_len" in chunks.columns else tokenized(chunks, key)
+    ).select("doc_len")
+    return lengths.agg(
         F.count("*").alias("n_docs"),
         F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avg_len"),
     )
 
 
 def question_terms(questions: DataFrame, key: str, text: str, max_terms: int = 20) -> DataFrame:
-    return questions.select(
-        key, F.explode(T.content_terms(F.col(text), max_terms)).alias("term")
-    )
+    return T.each(questions, [key], T.content_terms(F.col(text), max_terms), "term")
 
 
 @dataclass(frozen=True)
@@ -85,7 +98,7 @@ def load_index(spark, path: str) -> LexicalIndex:
 
 def query_index(chunks: DataFrame, terms: DataFrame, key: str = "chunk_id") -> LexicalIndex:
     """The part of the index a question batch needs, straight from the chunk table."""
-    words = tokenized(chunks, key).select(key, "doc_len", F.explode("tokens").alias("term"))
+    words = T.each(tokenized(chunks, key), [key, "doc_len"], F.col("tokens"), "term")
     wanted = terms.select("term").distinct()
     hits = words.join(wanted, "term").repartition(key)
     post = hits.groupBy(key, "term").agg(

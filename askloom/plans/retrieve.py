@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from askloom.functions import text as T
 from askloom.functions import udfs, variants
 from askloom.functions.rules import ENTITY_ALIASES
-from askloom.operators import fusion
-from askloom.operators.lexical import LexicalIndex
+from askloom.operators import chunking, fusion
+from askloom.operators.lexical import LexicalIndex, lexical_length
 from askloom.operators.sizes import broadcast_if_small
 from askloom.session import cut_lineage
 from askloom.settings import DEFAULTS, Settings
@@ -24,11 +25,26 @@ ROW_COLUMNS = ("query_id", "query", "rank", "rrf_score", "similarity")
 
 @dataclass(frozen=True)
 class Corpus:
-    """Chunk table, parent table and chunk vectors (chunk_id, embedding)."""
+    """Chunk table (with an ``embedding`` column) and parent table, as stored tables."""
 
     chunks: DataFrame
     parents: DataFrame
-    vectors: DataFrame
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.chunks.select("chunk_id", "embedding")
+
+
+def ingest(
+    docs: DataFrame, settings: Settings = DEFAULTS, embedder=None, extra: DataFrame | None = None
+) -> Corpus:
+    """Chunk, embed and store cleaned documents. ``extra`` adds columns by ``doc_id``."""
+    children = chunking.chunk_children(docs, settings)
+    if extra is not None:
+        children = children.join(extra, "doc_id", "left")
+    children = children.withColumn("doc_len", lexical_length(F.col("text")))
+    embedded = udfs.embed_column(children, "text", "embedding", embedder, settings.vector_dim)
+    return Corpus(cut_lineage(embedded), cut_lineage(chunking.chunk_parents(docs, settings)))
 
 
 @dataclass(frozen=True)
@@ -55,7 +71,7 @@ def embed_chunks(chunks: DataFrame, embedder=None, settings: Settings = DEFAULTS
 
 
 def explode_variants(questions: DataFrame, texts: Column) -> DataFrame:
-    return questions.select("query_id", F.posexplode(texts).alias("variant_id", "variant"))
+    return T.each(questions, ["query_id"], texts, "variant", "variant_id")
 
 
 def first_variants(
@@ -106,10 +122,10 @@ def retrieve(
     if corrective_below is None:
         corrective_below = max(1, min(settings.min_relevant, k))
     fused_n = max(k + settings.max_parents, k)
+    asked = cut_lineage(first_variants(questions, settings, aliases))
     lists = cut_lineage(
         fusion.ranked_lists(
-            corpus.chunks, corpus.vectors, first_variants(questions, settings, aliases), k,
-            settings, embedder, index,
+            corpus.chunks, corpus.vectors, asked, k, settings, embedder, index
         )
     )
     fused = cut_lineage(fusion.rrf(lists, fused_n, settings))
@@ -125,8 +141,10 @@ def retrieve(
     )
     if not failing.isEmpty():
         # numbered after the variants of the first pass
-        again = second_variants(failing, settings, aliases).withColumn(
-            "variant_id", F.col("variant_id") + settings.variant_limit
+        again = cut_lineage(
+            second_variants(failing, settings, aliases).withColumn(
+                "variant_id", F.col("variant_id") + settings.variant_limit
+            )
         )
         more = cut_lineage(
             fusion.ranked_lists(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from askloom.functions import text as T
 from askloom.operators import chunking, corpus
 from askloom.operators.sizes import spread_if_small
-from askloom.plans.retrieve import Corpus, embed_chunks
+from askloom.plans.retrieve import Corpus, ingest
 from askloom.settings import Settings
 
 # Small windows make many chunks; the retrieval corpus uses the default sizes.
@@ -45,14 +45,8 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def retrieval_corpus(spark: SparkSession, sf: str) -> Corpus:
     """Default-size children and parents; ``quality`` is the label of the document."""
-    kept = docs(spark, sf)
-    children = chunking.chunk_children(kept)
     labels = table(spark, sf, "labels").select("doc_id", "quality")
-    return Corpus(
-        children.join(labels, "doc_id", "left"),
-        chunking.chunk_parents(kept),
-        embed_chunks(children),
-    )
+    return ingest(docs(spark, sf), extra=labels)
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,9 +57,8 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Each line of a document is a page; a line with cell bars is also a table."""
-    lines = spread_if_small(table(spark, sf, "documents"), "doc_id").select(
-        "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")
-    )
+    documents = spread_if_small(table(spark, sf, "documents"), "doc_id")
+    lines = T.each(documents, ["doc_id"], F.split("text", "\n", -1), "text", "pos")
     bars = F.length("text") - F.length(F.replace("text", F.lit("|"), F.lit("")))
     cells = F.split("text", r"\|", -1)
     numbers = F.transform(cells, lambda x, i: F.concat(F.lit("c"), (i + 1).cast("string")))
@@ -107,13 +100,13 @@ def containing(bodies: DataFrame, passages: DataFrame) -> DataFrame:
     )
     split = bodies.select("target", F.split("body", r"\s+", -1).alias("w"))
     starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: i <= F.size("w") - 2)
-    runs = split.select(
-        "target",
-        F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("key"),
+    runs = T.each(
+        split, ["target"], F.transform(starts, lambda i: F.array_join(F.slice("w", i, 3), " ")),
+        "key",
     )
     places = F.sequence(F.lit(1), F.greatest(F.length("body"), F.lit(1)))
-    grams = bodies.select(
-        "target", F.explode(F.transform(places, lambda i: F.substring("body", i, 3))).alias("key")
+    grams = T.each(
+        bodies, ["target"], F.transform(places, lambda i: F.substring("body", i, 3)), "key"
     )
     candidates = (
         runs.join(keyed.filter(~F.col("short")), "key")
