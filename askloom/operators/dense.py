@@ -105,7 +105,8 @@ def _score_group(query_key: str, key: str, k: int, schema: St.StructType):
 
     def run(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if d.empty or q.empty:
-            return _frame(schema, ([], [], []))
+            nothing = pd.Series([], dtype="object")
+            return _frame(schema, (nothing, nothing, nothing.astype("float64")))
         rows, ids, values = _best(
             _matrix(q["embedding"]), d[key].to_numpy(), _matrix(d["embedding"]), k
         )
