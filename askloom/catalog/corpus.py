@@ -432,7 +432,7 @@ def ttl_purge(spark, sf):
         .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
         .alias("inserted_at"),
     )
-    return store.purge_expired(rows, F.lit(TTL_NOW).cast("timestamp"), 24)
+    return store.purge_expired(rows, F.lit(TTL_NOW + "Z").cast("timestamp"), 24)
 
 
 @query("rekey", "SELECT md5(source || '_' || chunk_index) AS record_id, chunk_id, text FROM chunks", ("chunks",))
