@@ -33,7 +33,9 @@ def with_ctes(body: str, *needs: str) -> str:
     if not ordered:
         return body
     parts = ",\n".join(f"{n} AS MATERIALIZED (\n{CTES[n][1]}\n)" for n in ordered)
-    return f"WITH RECURSIVE {parts}\n{body}"
+    own = body.strip()
+    joined = f",\n{own[5:]}" if own.startswith("WITH ") else f"\n{own}"
+    return f"WITH RECURSIVE {parts}{joined}"
 
 
 def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()):
