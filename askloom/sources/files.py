@@ -41,7 +41,7 @@ def decode_utf8(content: Column) -> Column:
 
     A replacement mark that the file itself holds vanishes too.
     """
-    return F.replace(F.decode(content, "UTF-8"), F.lit(chr(0xFFFD)), F.lit(""))
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit(chr(0xFFFD)), F.lit(""))
 
 
 def load_text_folder(spark: SparkSession, folder: str) -> DataFrame:
