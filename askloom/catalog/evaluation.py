@@ -12,7 +12,9 @@ from askloom.catalog.retrieval import K, embedded_questions
 from askloom.functions import rules, variants
 from askloom.functions import text as T
 from askloom.operators import context, dense, fusion, lexical, metrics
+from askloom.operators.sizes import broadcast_if_small
 from askloom.plans import views as V
+from askloom.session import cut_lineage
 
 cte(
     "qrels",
@@ -53,13 +55,12 @@ USING (query_id)""",
 )
 
 
-def top_rows(spark, sf, k: int = K):
+def top_rows(spark, sf, chunks=None):
     """The best lexical rows of every question, with chunk columns."""
-    chunks = V.chunks(spark, sf)
-    found = lexical.lexical_topk(chunks, V.questions(spark, sf), k).filter(F.col("rank") <= k)
-    return found.select("query_id", "chunk_id", "rank", "similarity").join(
-        chunks, "chunk_id"
-    )
+    chunks = V.stored_chunks(spark, sf) if chunks is None else chunks
+    found = lexical.lexical_topk(chunks, V.questions(spark, sf), K).filter(F.col("rank") <= K)
+    found = cut_lineage(found.select("query_id", "chunk_id", "rank", "similarity"))
+    return chunks.join(broadcast_if_small(found), "chunk_id")
 
 
 @query("unique_sources", "SELECT * FROM sources", ("sources",))
@@ -68,21 +69,20 @@ def unique_sources(spark, sf):
 
 
 def matches(spark, sf):
+    """The matched ranks and the judgements they were matched against."""
+    qrels = cut_lineage(V.qrels(spark, sf))
     sources = metrics.unique_sources(top_rows(spark, sf), K)
-    return metrics.matched_ranks(sources, V.qrels(spark, sf))
+    return metrics.matched_ranks(sources, qrels), qrels
 
 
 @query("matched_ranks", "SELECT * FROM matched", ("matched",))
 def matched_ranks(spark, sf):
-    return as_long(matches(spark, sf), "source_rank")
+    return as_long(matches(spark, sf)[0], "source_rank")
 
 
 @query("retrieval_metrics", "SELECT * FROM rank_metrics", ("rank_metrics",))
 def retrieval_metrics(spark, sf):
-    return as_long(
-        metrics.retrieval_metrics(matches(spark, sf), V.qrels(spark, sf), K),
-        "hits", "first_hit_rank",
-    )
+    return as_long(metrics.retrieval_metrics(*matches(spark, sf), K), "hits", "first_hit_rank")
 
 
 MEANS = ("hit_at_k", "precision_at_k", "recall_at_k", "ap_at_k", "mrr_at_k", "ndcg_at_k")
@@ -96,7 +96,7 @@ MEANS = ("hit_at_k", "precision_at_k", "recall_at_k", "ap_at_k", "mrr_at_k", "nd
     ("rank_metrics",),
 )
 def benchmark_summary(spark, sf):
-    per_query = metrics.retrieval_metrics(matches(spark, sf), V.qrels(spark, sf), K)
+    per_query = metrics.retrieval_metrics(*matches(spark, sf), K)
     return metrics.macro_means(per_query, MEANS)
 
 
@@ -305,15 +305,16 @@ FROM questions LEFT JOIN (SELECT query_id, sum(s) FILTER (WHERE n <= 4) AS top_s
 
 
 def small_budget(spark, sf):
-    chunks = V.chunks(spark, sf)
+    corpus = V.retrieval_corpus(spark, sf)
     columns = ("source", "source_rel", "topic", "subtopic", "text")
-    local = top_rows(spark, sf).withColumn("is_dynamic", F.lit(False))
-    from askloom.plans.retrieve import embed_chunks
-
-    near = dense.nearest(embed_chunks(chunks), embedded_questions(spark, sf), 3)
-    near = near.select(
-        "query_id", "chunk_id", "rank", fusion.clamp(F.col("score")).alias("similarity")
-    ).join(chunks, "chunk_id")
+    local = top_rows(spark, sf, corpus.chunks).withColumn("is_dynamic", F.lit(False))
+    near = dense.nearest(corpus.vectors, embedded_questions(spark, sf), 3)
+    near = cut_lineage(
+        near.select(
+            "query_id", "chunk_id", "rank", fusion.clamp(F.col("score")).alias("similarity")
+        )
+    )
+    near = corpus.chunks.join(broadcast_if_small(near), "chunk_id")
     keep = ("query_id", "chunk_id", "rank", "similarity", *columns, "is_dynamic")
     rows = local.select(*keep).unionByName(
         near.withColumn("is_dynamic", F.lit(True)).select(*keep)

@@ -128,7 +128,7 @@ def corpus_stats(spark, sf):
 )
 def bm25_scores(spark, sf):
     terms = lexical.question_terms(V.questions(spark, sf), "query_id", "query")
-    return lexical.bm25_scores(V.chunks(spark, sf), terms)
+    return lexical.bm25_scores(V.stored_chunks(spark, sf), terms)
 
 
 TOP_OUT = ("query_id", "chunk_id", "score", "rank", "similarity")
@@ -136,7 +136,7 @@ TOP_OUT = ("query_id", "chunk_id", "score", "rank", "similarity")
 
 @query("lexical_topk", f"SELECT {', '.join(TOP_OUT)} FROM qs_lexical", ("qs_lexical",))
 def lexical_topk(spark, sf):
-    found = lexical.lexical_topk(V.chunks(spark, sf), V.questions(spark, sf), K)
+    found = lexical.lexical_topk(V.stored_chunks(spark, sf), V.questions(spark, sf), K)
     return as_long(found.select(*TOP_OUT), "rank")
 
 

@@ -11,6 +11,7 @@ from askloom.functions.rules import ENTITY_ALIASES
 from askloom.operators.dense import dense_topk
 from askloom.operators.lexical import LexicalIndex, lexical_topk
 from askloom.operators.sizes import broadcast_if_small
+from askloom.session import cut_lineage
 from askloom.settings import DEFAULTS, Settings
 
 FUSION_DIGITS = 9
@@ -32,35 +33,41 @@ def ranked(df: DataFrame, *order: Column, rank: str = "rank") -> DataFrame:
 
 
 def distinct_texts(variant_rows: DataFrame) -> DataFrame:
-    """Each different text once, keyed by its lowercase squeezed form."""
+    """Each different text once, in its lowercase squeezed form."""
     return variant_rows.select(
         F.lower(T.squeeze(F.col("variant"))).alias("variant_key")
     ).distinct()
 
 
+def numbered_texts(variant_rows: DataFrame) -> DataFrame:
+    """Distinct texts with a number. The table is written, so the numbers stay."""
+    texts = distinct_texts(variant_rows)
+    return cut_lineage(texts.withColumn("text_id", F.monotonically_increasing_id()))
+
+
 def ranked_lists(
     chunks: DataFrame, vectors: DataFrame, variant_rows: DataFrame, k: int,
     settings: Settings = DEFAULTS, embedder=None, index: LexicalIndex | None = None,
-    texts: DataFrame | None = None,
 ) -> DataFrame:
     """One dense and one lexical list per variant.
 
     ``variant_rows``: (query_id, variant_id, variant). A text that several
-    questions share is embedded and scored once.
+    questions share is embedded and scored once, under a number instead of the
+    long text.
     """
-    keyed = variant_rows.withColumn("variant_key", F.lower(T.squeeze(F.col("variant"))))
-    texts = distinct_texts(variant_rows) if texts is None else texts
+    texts = numbered_texts(variant_rows)
     embedded = udfs.embed_column(texts, "variant_key", "embedding", embedder, settings.vector_dim)
-    dense = dense_topk(vectors, embedded, k, query_key="variant_key", settings=settings)
+    dense = dense_topk(vectors, embedded, k, query_key="text_id", settings=settings)
     lexical = lexical_topk(
-        chunks, texts, k, query_key="variant_key", text="variant_key", settings=settings,
-        index=index,
+        chunks, texts, k, query_key="text_id", text="variant_key", settings=settings, index=index
     )
-    columns = ("variant_key", "chunk_id", "rank", "similarity")
+    columns = ("text_id", "chunk_id", "rank", "similarity")
     lists = dense.select(*columns, F.lit("dense").alias("list_type")).unionByName(
         lexical.select(*columns, F.lit("lexical").alias("list_type"))
     )
-    return keyed.join(lists, "variant_key").select(
+    keyed = variant_rows.withColumn("variant_key", F.lower(T.squeeze(F.col("variant"))))
+    asked = keyed.join(texts, "variant_key").select("query_id", "variant_id", "text_id")
+    return asked.join(lists, "text_id").select(
         "query_id", "variant_id", "list_type", "rank", "chunk_id", "similarity"
     )
 

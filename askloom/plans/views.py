@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from askloom.functions import text as T
 from askloom.operators import chunking, corpus
-from askloom.operators.sizes import spread_if_small
+from askloom.operators.lexical import lexical_length
+from askloom.operators.sizes import broadcast_if_small, spread_if_small
 from askloom.plans.retrieve import Corpus, ingest
+from askloom.session import cut_lineage
 from askloom.settings import Settings
 
 # Small windows make many chunks; the retrieval corpus uses the default sizes.
@@ -43,6 +45,11 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_children(docs(spark, sf))
 
 
+def stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunk table as ingestion leaves it, for queries that read it more than once."""
+    return cut_lineage(chunks(spark, sf).withColumn("doc_len", lexical_length(F.col("text"))))
+
+
 def retrieval_corpus(spark: SparkSession, sf: str) -> Corpus:
     """Default-size children and parents; ``quality`` is the label of the document."""
     labels = table(spark, sf, "labels").select("doc_id", "quality")
@@ -104,19 +111,19 @@ def containing(bodies: DataFrame, passages: DataFrame) -> DataFrame:
         split, ["target"], F.transform(starts, lambda i: F.array_join(F.slice("w", i, 3), " ")),
         "key",
     )
-    places = F.sequence(F.lit(1), F.greatest(F.length("body"), F.lit(1)))
-    grams = T.each(
-        bodies, ["target"], F.transform(places, lambda i: F.substring("body", i, 3)), "key"
-    )
-    candidates = (
-        runs.join(keyed.filter(~F.col("short")), "key")
-        .unionByName(grams.join(keyed.filter("short"), "key"))
-        .select("query_id", "target")
-        .distinct()
-    )
+    found = runs.join(keyed.filter(~F.col("short")), "key")
+    short = keyed.filter("short")
+    if not short.isEmpty():
+        letters = bodies.select("target", F.split("body", "", -1).alias("c"))
+        grams = T.each(
+            letters, ["target"],
+            F.transform("c", lambda x, i: F.array_join(F.slice("c", i + 1, 3), "")), "key",
+        )
+        found = found.unionByName(grams.join(short, "key"))
+    candidates = cut_lineage(found.select("query_id", "target").distinct())
+    asked = candidates.join(passages.select("query_id", "query"), "query_id")
     return (
-        candidates.join(passages.select("query_id", "query"), "query_id")
-        .join(bodies, "target")
+        bodies.join(broadcast_if_small(asked), "target")
         .filter(F.contains("body", F.col("query")))
         .select("query_id", "target")
     )
