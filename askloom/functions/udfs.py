@@ -116,3 +116,13 @@ def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
         return len(a) - row.bit_count()
 
     return pd.Series([length(a, b) for a, b in zip(left, right)])
+
+
+def model_token_count(text: Column, encode: Callable[[str], list[int]]) -> Column:
+    """Token count of a model's own tokenizer, given as a callable on one text."""
+
+    @F.pandas_udf(St.IntegerType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(encode(t or "")))
+
+    return run(text)

@@ -6,6 +6,8 @@ published_at, embedding); ``position`` is the order in which they were fetched.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,8 +21,8 @@ from askloom.session import cut_lineage
 from askloom.settings import DEFAULTS, Settings
 
 SCORE_DIGITS = 6
-HEAD_ROWS = 2048
-SALTS = 64
+HEAD_ROWS = 8192
+SLICE_ROWS = 50_000
 
 
 def normalize(articles: DataFrame) -> DataFrame:
@@ -134,7 +136,7 @@ def _far_from(threshold: float, schema: St.StructType):
 
 def greedy_dedup(
     rows: DataFrame, threshold: float = DEFAULTS.news_dedup, head_rows: int = HEAD_ROWS,
-    salts: int = SALTS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """In fetch order, drop a row that is too similar to any kept earlier row.
 
@@ -142,9 +144,9 @@ def greedy_dedup(
     doc_id) of the kept rows. Exact, and safe for a question with any number of
     rows: copies of one vector are reduced to the first by an aggregate; then, in
     rounds, the first ``head_rows`` rows of each question are settled in one
-    bounded task and the rest, spread over ``salts`` slices, is filtered against
-    what they kept. No similar pair is ever written out. A question with up to
-    ``head_rows`` different rows takes one round.
+    bounded task and the rest, in slices of about ``slice_rows`` rows, is filtered
+    against what they kept. No similar pair is ever written out. A question with
+    up to ``head_rows`` different rows takes one round.
     """
     schema = St.StructType([rows.schema[c] for c in ("query_id", "position", "doc_id", "embedding")])
     rows = rows.select(*schema.names)
@@ -179,6 +181,8 @@ def greedy_dedup(
         rest = remaining.join(ends, "query_id").filter(
             F.struct("position", "doc_id") > F.col("_end")
         )
+        # enough slices even if one question owns every row
+        salts = max(1, math.ceil(remaining.count() / slice_rows))
         salted = rest.drop("_end").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
         copies = kept.join(ends, "query_id", "left_semi").withColumn(
             "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
@@ -243,7 +247,17 @@ def run_funnel(
     flagged = flagged.withColumn(
         "_relevant", F.coalesce(F.col("relevance_score") >= settings.news_relevance, F.lit(False))
     )
-    flagged = cut_lineage(flagged.drop("query_vector", "centroid"))
+    # rows that fail keep their flags for the counts, not their texts
+    flags = [c for c in flagged.columns if c.startswith("_")]
+    flagged = cut_lineage(
+        flagged.select(
+            "query_id", "position", "doc_id", "title", *flags,
+            *[
+                F.when(F.col("_relevant"), F.col(c)).alias(c)
+                for c in ("url", "published", "combined", "embedding", "relevance_score")
+            ],
+        )
+    )
     early = flagged.groupBy("query_id").agg(
         F.count("*").alias("fetched"),
         F.count_if("_language").alias("after_language"),

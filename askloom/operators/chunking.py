@@ -52,7 +52,8 @@ def chunk_flat(
     )
 
 
-def _parent_windows(docs: DataFrame, settings: Settings) -> DataFrame:
+def chunk_parents(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Parent windows of each document with heading, page range and table flag."""
     tokenized = docs.withColumn("_tokens", T.tokens(F.col("text")))
     carried = [c for c in docs.columns if c != "text"]
     windows = token_windows(F.col("_tokens"), settings.parent_size, settings.parent_overlap)
@@ -65,25 +66,22 @@ def _parent_windows(docs: DataFrame, settings: Settings) -> DataFrame:
         .withColumn("section", T.section_header(F.col("text")))
         .withColumn("pages", T.page_range(F.col("text")))
         .withColumn("has_table", T.has_table(F.col("text")))
+        .drop("_window")
     )
 
 
-def chunk_parents(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    return _parent_windows(docs, settings).drop("_window")
-
-
-def chunk_children(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def children_of(parents: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Children cut inside each parent, numbered across the document.
 
     A projection from start to end: a full parent always yields the same number
     of children, so ``chunk_index`` is arithmetic on the two positions.
     """
     per_parent = windows_per_full_parent(settings)
-    parents = _parent_windows(docs, settings)
-    carried = [c for c in parents.columns if c not in ("text", "_window")]
-    windows = token_windows(F.col("_window"), settings.child_size, settings.child_overlap)
+    tokenized = parents.withColumn("_tokens", T.tokens(F.col("text")))
+    carried = [c for c in parents.columns if c != "text"]
+    windows = token_windows(F.col("_tokens"), settings.child_size, settings.child_overlap)
     return (
-        T.each(parents, carried, windows, "_child", "child_index")
+        T.each(tokenized, carried, windows, "_child", "child_index")
         .withColumn("text", F.array_join("_child", ""))
         .withColumn("chunk_index", F.col("parent_index") * per_parent + F.col("child_index"))
         .withColumn("chunk_id", F.concat_ws("_", "source", "chunk_index"))
@@ -91,3 +89,7 @@ def chunk_children(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         .withColumn("doc_type", F.lit("local"))
         .drop("_child")
     )
+
+
+def chunk_children(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    return children_of(chunk_parents(docs, settings), settings)

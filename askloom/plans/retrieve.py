@@ -38,13 +38,17 @@ class Corpus:
 def ingest(
     docs: DataFrame, settings: Settings = DEFAULTS, embedder=None, extra: DataFrame | None = None
 ) -> Corpus:
-    """Chunk, embed and store cleaned documents. ``extra`` adds columns by ``doc_id``."""
-    children = chunking.chunk_children(docs, settings)
+    """Chunk, embed and store cleaned documents. ``extra`` adds columns by ``doc_id``.
+
+    Children are cut from the stored parents, so the texts are read once.
+    """
+    parents = cut_lineage(chunking.chunk_parents(docs, settings))
+    children = chunking.children_of(parents, settings)
     if extra is not None:
         children = children.join(extra, "doc_id", "left")
     children = children.withColumn("doc_len", lexical_length(F.col("text")))
     embedded = udfs.embed_column(children, "text", "embedding", embedder, settings.vector_dim)
-    return Corpus(cut_lineage(embedded), cut_lineage(chunking.chunk_parents(docs, settings)))
+    return Corpus(cut_lineage(embedded), parents)
 
 
 @dataclass(frozen=True)

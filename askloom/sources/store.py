@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askloom.session import cut_lineage
+
 BUCKETS = 512
 
 
@@ -22,8 +24,13 @@ def newly_added(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 
 
 def with_bucket(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Partition column of the stored tables: a hash bucket of the source."""
-    return df.withColumn("source_bucket", F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int"))
+    """Partition column of the stored tables: a hash bucket of the source.
+
+    The rebalance hint gathers each bucket into few files and splits a bucket
+    that a very large source makes too big for one task.
+    """
+    bucketed = df.withColumn("source_bucket", F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int"))
+    return bucketed.hint("rebalance", "source_bucket")
 
 
 def write_table(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
@@ -37,8 +44,6 @@ def upsert_table(spark: SparkSession, batch: DataFrame, path: str, buckets: int
     The merged rows go to the checkpoint folder first, since a job cannot
     overwrite files it still reads. Running the same batch again gives the same table.
     """
-    from askloom.session import cut_lineage
-
     incoming = with_bucket(batch, buckets)
     touched = [r[0] for r in incoming.select("source_bucket").distinct().collect()]
     existing = spark.read.parquet(path).filter(F.col("source_bucket").isin(touched))

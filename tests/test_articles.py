@@ -38,7 +38,7 @@ def test_dedup_against_loop_with_hot_group_and_copies(spark, head):
         v = rng.choice(base) if rng.random() < 0.6 else [rng.uniform(-1, 1) for _ in range(4)]
         rows.append((q, i, i, [0.0] * 4 if i % 40 == 5 else v))
     df = spark.createDataFrame(rows, ROW)
-    got = {(r["query_id"], r["doc_id"]) for r in A.greedy_dedup(df, 0.8, head_rows=head, salts=3).collect()}
+    got = {(r["query_id"], r["doc_id"]) for r in A.greedy_dedup(df, 0.8, head_rows=head, slice_rows=40).collect()}
     assert got == loop(rows, 0.8)
 
 

@@ -142,3 +142,12 @@ def test_assembled_and_corrective(value):
 )
 def test_follow_up(value, message, needs):
     assert value(variants.follow_up_needs_context(F.lit(message))) is needs
+
+
+def test_pluggable_models(spark):
+    df = spark.createDataFrame([("a b c", "a")], "t string, q string")
+    scored = df.select(
+        udfs.model_token_count(F.col("t"), str.split).alias("n"),
+        udfs.score_pairs(F.col("q"), F.col("t"), lambda q, t: [len(x) for x in t]).alias("s"),
+    ).first()
+    assert (scored["n"], scored["s"]) == (3, 5.0)
