@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from askloom.catalog import sqltext as S
 from askloom.catalog.corpus import as_long
 from askloom.catalog.registry import cte, query
+from askloom.functions import rules
+from askloom.functions import text as T
 from askloom.functions.text import WS
 from askloom.operators import articles as A
 from askloom.operators import dense
@@ -259,3 +261,20 @@ def dynamic_chunks(spark, sf):
         out.select("query_id", "doc_id", "source", "chunk_index", "text", "relevance_score"),
         "chunk_index",
     )
+
+
+HITS = ", ".join(
+    f"{{'misses': -len(list_filter(w, lambda t: t IN ({S.quoted(words)}))), 'lang': '{lang}'}}"
+    for lang, words in sorted(rules.LANGUAGE_WORDS.items())
+)
+
+
+@query(
+    "detect_language",
+    f"SELECT doc_id, CASE WHEN best.misses <= -3 THEN best.lang END AS detected FROM (SELECT doc_id, "
+    f"list_min([{HITS}]) AS best FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\p{{L}}+') AS w FROM documents))",
+)
+def detect_language(spark, sf):
+    return V.raw_docs(spark, sf).select(
+        "doc_id", T.detect_language(F.col("text")).alias("detected")
+    )

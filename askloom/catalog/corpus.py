@@ -208,22 +208,21 @@ def hier_children(spark, sf):
     return as_long(out, "chunk_index", "parent_index", "child_index")
 
 
-HEADED = "split_part(text, chr(10), 1)"
-
-
 @query(
     "section_header",
     f"SELECT doc_id, {S.section_header('headed')} AS section FROM "
-    "(SELECT doc_id, text || chr(10) || upper(lang) || ' Section ' || doc_id || ': ' || source AS headed, "
-    "text FROM (SELECT doc_id, lang, source, substr(text, 1, 400) AS text FROM documents)) ",
+    "(SELECT doc_id, split_part(text, chr(10), 1) || chr(10) || upper(lang) || ' Section ' || doc_id "
+    "|| ': ' || source || chr(10) || text AS headed FROM documents)",
 )
 def section_header(spark, sf):
-    documents = V.table(spark, sf, "documents")
+    # a heading after the first line; behind a long first line it is out of reach
     headed = F.concat(
-        F.substring("text", 1, 400), F.lit("\n"), F.upper("lang"), F.lit(" Section "),
-        F.col("doc_id").cast("string"), F.lit(": "), F.col("source"),
+        F.get(F.split("text", "\n", 2), F.lit(0)), F.lit("\n"), F.upper("lang"), F.lit(" Section "),
+        F.col("doc_id").cast("string"), F.lit(": "), F.col("source"), F.lit("\n"), F.col("text"),
+    )
+    return V.table(spark, sf, "documents").select(
+        "doc_id", T.section_header(headed).alias("section")
     )
-    return documents.select("doc_id", T.section_header(headed).alias("section"))
 
 
 @query(

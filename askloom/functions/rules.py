@@ -127,3 +127,11 @@ DEFAULT_FOLLOW_UP = "Updated recommendation generated for this follow-up questio
 
 # Fixed values. File types a corpus folder may hold.
 SUPPORTED_EXTENSIONS = (".pdf", ".txt", ".md", ".docx", ".doc")
+
+# Fixed values. Frequent words that tell four languages apart.
+LANGUAGE_WORDS = {
+    "de": ("der", "die", "und", "das", "den", "von", "zu", "mit", "ist", "ein", "nicht", "auf"),
+    "en": ("the", "of", "and", "to", "is", "that", "it", "for", "was", "with", "as", "this"),
+    "es": ("el", "los", "y", "del", "por", "con", "las", "para", "se", "como", "una", "su"),
+    "fr": ("le", "les", "des", "et", "du", "est", "pour", "dans", "une", "qui", "sur", "pas"),
+}

@@ -178,6 +178,25 @@ def contains_any(c: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
 
 
+def detect_language(c: Column, min_hits: int = 3) -> Column:
+    """Language whose frequent words occur most often; NULL below ``min_hits`` words.
+
+    A light stand-in where articles come without a language.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
+    hits = lambda w: F.array(
+        *[
+            F.struct(
+                (-F.size(F.filter(w, lambda t: t.isin(*profile)))).alias("misses"),
+                F.lit(lang).alias("lang"),
+            )
+            for lang, profile in sorted(rules.LANGUAGE_WORDS.items())
+        ]
+    )
+    best = let(words, lambda w: F.array_min(hits(w)))
+    return let(best, lambda b: F.when(b["misses"] <= -min_hits, b["lang"]))
+
+
 def _markdown_row(cells: Column) -> Column:
     escaped = F.transform(cells, lambda x: F.replace(x, F.lit("|"), F.lit("\\|")))
     return F.concat(F.lit("| "), F.array_join(escaped, " | "), F.lit(" |"))
