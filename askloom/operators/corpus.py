@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions import text as T
 from askloom.functions import udfs
+from askloom.operators.sizes import broadcast_if_small
 
 
 def clean_documents(docs: DataFrame, fold_unicode: bool = True) -> DataFrame:
@@ -68,7 +69,7 @@ def lexicon_table(spark: SparkSession, areas: dict[str, tuple[str, ...]]) -> Dat
 def topic_hits(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, area, hits): how often the words of an area occur in a document."""
     words = T.each(docs, [key], T.alnum_tokens(F.col("text")), "word")
-    return words.join(lexicon, "word").groupBy(key, "area").agg(F.count("*").alias("hits"))
+    return words.join(broadcast_if_small(lexicon), "word").groupBy(key, "area").agg(F.count("*").alias("hits"))
 
 
 def top_areas(hits: DataFrame, n: int = 3, key: str = "doc_id") -> DataFrame:

@@ -12,6 +12,7 @@ from askloom.functions import rules
 from askloom.functions import text as T
 from askloom.functions.variants import follow_up_needs_context
 from askloom.operators.ordering import numbered
+from askloom.operators.sizes import broadcast_if_small
 from askloom.settings import DEFAULTS
 
 OFFSET = "+05:30"
@@ -150,7 +151,7 @@ def select_by_index(rows: DataFrame, array: str, indices: DataFrame) -> DataFram
     """Elements of an array column whose position is in ``indices``."""
     others = [c for c in rows.columns if c != array]
     return T.each(rows, others, F.col(array), "element", "index").join(
-        indices, "index", "left_semi"
+        broadcast_if_small(indices), "index", "left_semi"
     )
 
 
