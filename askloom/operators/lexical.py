@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askloom.functions import text as T
+from askloom.operators.sizes import broadcast_if_small
 from askloom.settings import DEFAULTS, Settings
 
 SCORE_DIGITS = 6
@@ -96,11 +97,22 @@ def load_index(spark, path: str) -> LexicalIndex:
     return LexicalIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
 
 
+def wanted_terms(terms: DataFrame) -> DataFrame:
+    """Distinct question terms; small by count in all but huge batches."""
+    return broadcast_if_small(terms.select("term").distinct())
+
+
+def part_of(index: LexicalIndex, terms: DataFrame) -> LexicalIndex:
+    """The rows of a stored index that a question batch needs."""
+    wanted = wanted_terms(terms)
+    keep = lambda df: df.join(wanted, "term", "left_semi")
+    return LexicalIndex(keep(index.postings), keep(index.terms), index.stats)
+
+
 def query_index(chunks: DataFrame, terms: DataFrame, key: str = "chunk_id") -> LexicalIndex:
     """The part of the index a question batch needs, straight from the chunk table."""
     words = T.each(tokenized(chunks, key), [key, "doc_len"], F.col("tokens"), "term")
-    wanted = terms.select("term").distinct()
-    hits = words.join(wanted, "term").repartition(key)
+    hits = words.join(wanted_terms(terms), "term").repartition(key)
     post = hits.groupBy(key, "term").agg(
         F.count("*").alias("tf"), F.first("doc_len").alias("doc_len")
     )
@@ -133,9 +145,11 @@ def bm25_scores(
     Scores are rounded before anything ranks on them: a sum over shuffled rows may
     differ in its last bits between runs, the ranking must not.
     """
-    weights = term_weights(index or query_index(chunks, terms, key), settings, key)
+    part = part_of(index, terms) if index else query_index(chunks, terms, key)
+    asked = broadcast_if_small(terms.select(query_key, "term"))
     return (
-        weights.join(terms.select(query_key, "term"), "term")
+        term_weights(part, settings, key)
+        .join(asked, "term")
         .groupBy(query_key, key)
         .agg(F.round(F.sum("weight"), SCORE_DIGITS).alias("score"))
         .filter(F.col("score") > 0)
