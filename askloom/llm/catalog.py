@@ -4,13 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from askloom.llm import exact_dedup, line_dedup, mixing, simhash
-from askloom.llm.common import table
-from askloom.llm.registry import ORACLE, QUERIES, query
+from askloom.llm import (
+    exact_dedup,
+    html,
+    licenses,
+    line_dedup,
+    mixing,
+    packing,
+    quality,
+    simhash,
+    toxicity,
+    warc,
+)
+from askloom.llm.common import shared_path, table
+from askloom.llm.registry import ORACLE, QUERIES, query, tokenizer_path
 
 __all__ = ["ORACLE", "QUERIES"]
 
 
+@query(
+    "op1_warc",
+    """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload,
+         from_hex(sha1(coalesce(html, '')))::BIT::VARCHAR AS bits
+  FROM pages),
+ranked AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first_id FROM payloads)
+SELECT page_id, strlen(payload) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           16 * substr(bits, i + 1, 1)::INT + 8 * substr(bits, i + 2, 1)::INT + 4 * substr(bits, i + 3, 1)::INT
+           + 2 * substr(bits, i + 4, 1)::INT + substr(bits, i + 5, 1)::INT + 1, 1) FOR i IN range(0, 160, 5)], '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM ranked
+""",
+)
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+
+
 @query(
     "op2_mixing",
     r"""
@@ -67,6 +99,69 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op5_host_quality",
+    r"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+places AS (
+  SELECT doc_id, pos, array_to_string(words[pos : pos + 4], ' ') AS run
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS pos FROM docs)),
+again AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, run) AS n FROM places) WHERE n > 1),
+repeats AS (SELECT doc_id, count(DISTINCT pos + k) AS n FROM again, range(5) r(k) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+measured AS (
+  SELECT d.doc_id, d.source, len(d.words)::BIGINT AS n_words,
+         length(array_to_string(d.words, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(d.text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM docs d LEFT JOIN lines l USING (doc_id) LEFT JOIN repeats r USING (doc_id)),
+judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured),
+hosts AS (
+  SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS failed FROM judged GROUP BY source),
+moments AS (
+  SELECT avg(failed / n) AS m, var_samp(failed / n) AS v, avg(n) AS size FROM hosts),
+prior AS (
+  SELECT m, CASE WHEN v > 0 AND m > 0 AND m < 1
+                 THEN greatest(1.0::DOUBLE, least(m * (1 - m) / v - 1, greatest(size, 1.0::DOUBLE))) ELSE size END AS s
+  FROM moments),
+verdicts AS (SELECT source, (failed + s * m) / (n + s) <= 0.5 AS host_kept FROM hosts, prior)
+SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat_words, j.base_failed,
+       NOT j.base_failed AND v.host_kept AS kept
+FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source
+""",
+)
+def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
+@query("op6_license_scan")
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
+
+
+@query("op8_html_text")
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_texts(table(spark, sf_dir, "pages"))
+
+
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
