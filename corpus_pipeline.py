@@ -12,9 +12,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from askloom.llm import exact_dedup, mixing, simhash
+from askloom.llm import exact_dedup, mixing, packing, simhash, toxicity
 from askloom.llm.common import table, written
-from askloom.llm.registry import prepare
+from askloom.llm.registry import prepare, tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents at or above the toxicity threshold of their language go."""
+    prepare(spark)
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +41,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences; a document that the mix repeats is packed as often."""
+    prepare(spark)
+    return packing.pack(docs, tokenizer=tokenizer_path())
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact dedup", drop_exact_copies),
     ("simhash near dedup", drop_near_copies),
     ("mixing", mix_sources),
+    ("packing", pack_windows),
 ]
 
 ORACLE_SQL = None
