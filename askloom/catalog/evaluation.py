@@ -12,9 +12,9 @@ from askloom.catalog.retrieval import K, embedded_questions
 from askloom.functions import rules, variants
 from askloom.functions import text as T
 from askloom.operators import context, dense, fusion, lexical, metrics
-from askloom.operators.sizes import broadcast_if_small
 from askloom.plans import views as V
 from askloom.session import cut_lineage
+from askloom.settings import DEFAULTS
 
 cte(
     "qrels",
@@ -55,12 +55,13 @@ USING (query_id)""",
 )
 
 
-def top_rows(spark, sf, chunks=None):
+def top_rows(spark, sf):
     """The best lexical rows of every question, with chunk columns."""
-    chunks = V.stored_chunks(spark, sf) if chunks is None else chunks
-    found = lexical.lexical_topk(chunks, V.questions(spark, sf), K).filter(F.col("rank") <= K)
+    corpus = V.retrieval_corpus(spark, sf)
+    chunks = corpus.chunks
+    found = lexical.lexical_topk(corpus.index, V.questions(spark, sf), K).filter(F.col("rank") <= K)
     found = cut_lineage(found.select("query_id", "chunk_id", "rank", "similarity"))
-    return chunks.join(broadcast_if_small(found), "chunk_id")
+    return chunks.join(found, "chunk_id")
 
 
 @query("unique_sources", "SELECT * FROM sources", ("sources",))
@@ -271,7 +272,7 @@ cte(
 cte(
     "small_budget",
     "SELECT * FROM (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY is_dynamic, rank "
-    "ROWS UNBOUNDED PRECEDING) AS running FROM small_bundle) WHERE running <= 900",
+    f"ROWS UNBOUNDED PRECEDING) AS running FROM small_bundle) WHERE running <= {DEFAULTS.max_context_tokens}",
     "small_bundle",
 )
 R4 = "CAST(round(CAST({x} AS DECIMAL(20, 10)), 4) AS DOUBLE)"
@@ -307,20 +308,20 @@ FROM questions LEFT JOIN (SELECT query_id, sum(s) FILTER (WHERE n <= 4) AS top_s
 def small_budget(spark, sf):
     corpus = V.retrieval_corpus(spark, sf)
     columns = ("source", "source_rel", "topic", "subtopic", "text")
-    local = top_rows(spark, sf, corpus.chunks).withColumn("is_dynamic", F.lit(False))
+    local = top_rows(spark, sf).withColumn("is_dynamic", F.lit(False))
     near = dense.nearest(corpus.vectors, embedded_questions(spark, sf), 3)
     near = cut_lineage(
         near.select(
             "query_id", "chunk_id", "rank", fusion.clamp(F.col("score")).alias("similarity")
         )
     )
-    near = corpus.chunks.join(broadcast_if_small(near), "chunk_id")
+    near = corpus.chunks.join(near, "chunk_id")
     keep = ("query_id", "chunk_id", "rank", "similarity", *columns, "is_dynamic")
     rows = local.select(*keep).unionByName(
         near.withColumn("is_dynamic", F.lit(True)).select(*keep)
     )
     counted = rows.withColumn("tokens", T.token_count(F.col("text")).cast("long"))
-    return context.token_budget(counted, 900)
+    return context.token_budget(counted)
 
 
 @query("coverage_metrics", "SELECT * FROM coverage", ("coverage",))

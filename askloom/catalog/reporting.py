@@ -299,10 +299,9 @@ def paired(spark, sf):
     return asked.join(said, ["session_id", "turn"], "left")
 
 
-@query("conversation_tail", tail_sql(4), ("messages",))
+@query("conversation_tail", tail_sql(sessions.MAX_MESSAGES), ("messages",))
 def conversation_tail(spark, sf):
-    # conversations are short here, so the last four messages instead of the last twenty
-    out = sessions.last_messages(sessions.turn_messages(paired(spark, sf)), 4)
+    out = sessions.last_messages(sessions.turn_messages(paired(spark, sf)))
     return as_long(out.select("session_id", "position", "role", "content"), "position")
 
 
@@ -388,9 +387,9 @@ NEEDS = (
 @query(
     "chat_retrieval_query",
     f"""
-WITH asked AS (SELECT session_id, turn, message, lower({S.squeeze('message')}) AS t,
+WITH asked AS (SELECT * FROM (SELECT session_id, turn, message, lower({S.squeeze('message')}) AS t,
     row_number() OVER (PARTITION BY session_id ORDER BY turn) AS nth
-  FROM (SELECT session_id, turn, {S.strip('user_message')} AS message FROM paired) WHERE message <> ''),
+  FROM (SELECT session_id, turn, coalesce({S.strip('user_message')}, '') AS message FROM paired)) WHERE message <> ''),
 f AS (SELECT *, len(regexp_extract_all(t, '[a-z0-9]+')) AS n,
   (SELECT string_agg('- ' || b.message, chr(10) ORDER BY b.nth) FROM asked b
    WHERE b.session_id = a.session_id AND b.nth BETWEEN a.nth - 3 AND a.nth - 1) AS history FROM asked a),
@@ -574,20 +573,17 @@ EVAL_BODY = (
 
 @query(
     "eval_payload",
-    f"SELECT conv_id, turn, {S.truncate_tight(EVAL_BODY, 400)} AS answer_text, "
-    f"array_to_string(list_transform(list_slice(risks, 1, 4), lambda x: {S.truncate_tight('x', 200)}), chr(10)) "
+    f"SELECT conv_id, turn, {S.truncate_tight(EVAL_BODY, DEFAULTS.eval_answer_chars)} AS answer_text, "
+    f"array_to_string(list_transform(list_slice(risks, 1, 4), lambda x: {S.truncate_tight('x', DEFAULTS.eval_context_chars)}), chr(10)) "
     "AS contexts FROM answers",
     ("answers",),
 )
 def eval_payload(spark, sf):
-    from dataclasses import replace
-
-    limits = replace(DEFAULTS, eval_answer_chars=400, eval_context_chars=200)
     raw = F.concat(F.lit("raw answer "), F.col("conv_id").cast("string"))
     return answers(spark, sf).select(
         "conv_id", "turn",
-        records.eval_answer(F.col("answer"), raw, limits).alias("answer_text"),
-        F.array_join(records.eval_contexts(F.col("answer.risks"), limits), "\n").alias("contexts"),
+        records.eval_answer(F.col("answer"), raw).alias("answer_text"),
+        F.array_join(records.eval_contexts(F.col("answer.risks")), "\n").alias("contexts"),
     )
 
 

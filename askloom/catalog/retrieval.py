@@ -11,7 +11,6 @@ from askloom.catalog.registry import cte, query
 from askloom.functions import text as T
 from askloom.functions import udfs
 from askloom.operators import context, dense, fusion, lexical
-from askloom.operators.sizes import broadcast_if_small
 from askloom.plans import retrieve as R
 from askloom.plans import views as V
 from askloom.session import cut_lineage
@@ -19,7 +18,7 @@ from askloom.settings import DEFAULTS
 
 K = V.K
 # Questions with fewer graded rows than this take the second pass.
-SECOND_PASS_BELOW = 4
+SECOND_PASS_BELOW = max(1, min(DEFAULTS.min_relevant, K))
 
 # ---- index -------------------------------------------------------------------------------
 
@@ -107,12 +106,12 @@ scoring_ctes("vk", "variant_keys", "variant_key", "variant_key")
 
 @query("bm25_postings", "SELECT chunk_id, term, tf, doc_len FROM postings", ("postings",))
 def bm25_postings(spark, sf):
-    return as_long(lexical.postings(V.chunks(spark, sf)), "doc_len")
+    return as_long(V.retrieval_corpus(spark, sf).index.postings, "doc_len")
 
 
 @query("bm25_df", "SELECT term, df FROM term_df", ("term_df",))
 def bm25_df(spark, sf):
-    return lexical.term_df(lexical.postings(V.chunks(spark, sf)))
+    return V.retrieval_corpus(spark, sf).index.terms
 
 
 @query(
@@ -120,15 +119,15 @@ def bm25_df(spark, sf):
     ("corpus_stats",),
 )
 def corpus_stats(spark, sf):
-    return lexical.corpus_stats(V.chunks(spark, sf)).withColumn("avg_len", F.round("avg_len", 6))
+    return V.retrieval_corpus(spark, sf).index.stats.withColumn("avg_len", F.round("avg_len", 6))
 
 
-@query(
-    "bm25_scores", "SELECT query_id, chunk_id, score FROM qs_bm25 WHERE score > 0", ("qs_bm25",)
-)
+@query("bm25_scores", "SELECT query_id, chunk_id, score FROM qs_lexical", ("qs_lexical",))
 def bm25_scores(spark, sf):
     terms = lexical.question_terms(V.questions(spark, sf), "query_id", "query")
-    return lexical.bm25_scores(V.stored_chunks(spark, sf), terms)
+    index = V.retrieval_corpus(spark, sf).index
+    found = lexical.bm25_scores(index, terms, n=DEFAULTS.lexical_candidates(K))
+    return found.select("query_id", "chunk_id", "score")
 
 
 TOP_OUT = ("query_id", "chunk_id", "score", "rank", "similarity")
@@ -136,7 +135,7 @@ TOP_OUT = ("query_id", "chunk_id", "score", "rank", "similarity")
 
 @query("lexical_topk", f"SELECT {', '.join(TOP_OUT)} FROM qs_lexical", ("qs_lexical",))
 def lexical_topk(spark, sf):
-    found = lexical.lexical_topk(V.stored_chunks(spark, sf), V.questions(spark, sf), K)
+    found = lexical.lexical_topk(V.retrieval_corpus(spark, sf).index, V.questions(spark, sf), K)
     return as_long(found.select(*TOP_OUT), "rank")
 
 
@@ -146,14 +145,14 @@ def embedded_questions(spark, sf):
 
 @query("dense_topk", f"SELECT {', '.join(TOP_OUT)} FROM qs_dense", ("qs_dense",))
 def dense_topk(spark, sf):
-    vectors = R.embed_chunks(V.chunks(spark, sf))
+    vectors = V.retrieval_corpus(spark, sf).vectors
     found = dense.dense_topk(vectors, embedded_questions(spark, sf), K)
     return as_long(found.select(*TOP_OUT), "rank")
 
 
 @query("ann_topk")
 def ann_topk(spark, sf):
-    vectors = cut_lineage(R.embed_chunks(V.chunks(spark, sf)))
+    vectors = V.retrieval_corpus(spark, sf).vectors
     return dense.ann_topk(
         vectors, embedded_questions(spark, sf), DEFAULTS.dense_candidates(K)
     )
@@ -295,14 +294,14 @@ cte(
 def run(spark, sf, corpus: R.Corpus | None = None) -> R.Retrieval:
     return R.retrieve(
         corpus or V.retrieval_corpus(spark, sf), V.questions(spark, sf), K,
-        relevant=F.col("quality") == 1, aliases=ALIASES, corrective_below=SECOND_PASS_BELOW,
+        relevant=F.col("quality") == 1,
     )
 
 
 def first_lists(spark, sf):
     corpus = V.retrieval_corpus(spark, sf)
     variants = cut_lineage(R.first_variants(V.questions(spark, sf), DEFAULTS, ALIASES))
-    return corpus, fusion.ranked_lists(corpus.chunks, corpus.vectors, variants, K)
+    return corpus, fusion.ranked_lists(corpus.index, corpus.vectors, variants, K)
 
 
 def first_rows(spark, sf):
@@ -488,7 +487,7 @@ def bundle_rows(corpus: R.Corpus, result: R.Retrieval):
         (F.col("variant_id") == 0) & (F.col("list_type") == "lexical") & (F.col("rank") <= K)
     )
     dynamic = (
-        corpus.chunks.drop("embedding").join(broadcast_if_small(hits), "chunk_id")
+        corpus.chunks.join(hits, "chunk_id")
         .withColumn("chunk_type", F.lit("dynamic"))
         .withColumn("doc_type", F.lit("dynamic"))
         .withColumn("parent_id", F.lit(None).cast("string"))

@@ -15,7 +15,7 @@ ACTION_TYPE = (
 )
 METADATA_TYPE = (
     "struct<name: string, brand_positioning: string, idea_description: string, "
-    "brand_risk_level: string, risk_level: string, confidence_score: int, tags: array<string>>"
+    "brand_risk_level: string, risk_level: string, confidence_score: string, tags: array<string>>"
 )
 RECORD_TYPE = (
     "struct<abstention_message: string, brand_diagnosis: string, idea_summary: string, "
@@ -46,7 +46,9 @@ def json_payload(text: Column) -> Column:
     plain = valid(F.concat(F.array(whole), fences))
     plain_object = first(plain, "{")
     inner = udfs.embedded_json(F.when(plain_object.isNull(), whole))
-    return F.coalesce(plain_object, first(inner, "{"), first(plain, "["), first(inner, "["))
+    return F.coalesce(
+        plain_object, F.when(inner.startswith("{"), inner), first(plain, "["), inner
+    )
 
 
 def lenient_int(text: Column) -> Column:
@@ -69,7 +71,7 @@ def parse_record(json_text: Column) -> Column:
             F.struct(
                 meta["name"].alias("name"),
                 *[pick(meta, name, old) for name, old in rules.METADATA_ALIASES.items()],
-                meta["confidence_score"].alias("confidence_score"),
+                lenient_int(meta["confidence_score"]).cast("int").alias("confidence_score"),
                 meta["tags"].alias("tags"),
             ),
         )

@@ -29,19 +29,18 @@ _WORD = re.compile(r"[a-z0-9]+")
 def hashed_vectors(texts: pd.Series, dim: int) -> np.ndarray:
     """Signed feature hashing of ``[a-z0-9]+`` words, unit length (zero stays zero).
 
-    The first four hex digits of md5 pick the slot, the fifth picks the sign.
+    The first four hex digits of md5 pick the slot, the fifth picks the sign. Each different word
+    of the batch is hashed once; its occurrences are summed as arrays.
     """
-    slots: dict[str, tuple[int, float]] = {}
-    out = np.zeros((len(texts), dim))
-    for i, text in enumerate(texts):
-        row = out[i]
-        for word in _WORD.findall((text or "").lower()):
-            slot = slots.get(word)
-            if slot is None:
-                digest = hashlib.md5(word.encode()).hexdigest()
-                slot = (int(digest[:4], 16) % dim, 1.0 if int(digest[4], 16) < 8 else -1.0)
-                slots[word] = slot
-            row[slot[0]] += slot[1]
+    found = [_WORD.findall((text or "").lower()) for text in texts]
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    codes, words = pd.factorize(np.array([w for row in found for w in row], dtype=object))
+    digests = [hashlib.md5(w.encode()).hexdigest() for w in words]
+    slots = np.array([int(d[:4], 16) % dim for d in digests], np.int64)
+    signs = np.array([1.0 if int(d[4], 16) < 8 else -1.0 for d in digests])
+    cells = np.repeat(np.arange(len(found)), lengths) * dim + slots[codes] if len(codes) else codes
+    out = np.bincount(cells, signs[codes] if len(codes) else None, minlength=len(found) * dim)
+    out = out.astype(np.float64).reshape(len(found), dim)
     norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
@@ -49,20 +48,23 @@ def hashed_vectors(texts: pd.Series, dim: int) -> np.ndarray:
 Embedder = Callable[[pd.Series], np.ndarray]
 
 
+def vectors_of(text: Column, embedder: Embedder | None = None, dim: int = DEFAULTS.vector_dim) -> Column:
+    """A vector column. Only the text goes to Python. ``embedder`` maps a batch of texts to a 2-d array."""
+    model = embedder or (lambda batch: hashed_vectors(batch, dim))
+
+    @F.pandas_udf(St.ArrayType(St.DoubleType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(np.asarray(model(texts), dtype=np.float64)), index=texts.index, dtype=object)
+
+    return run(text)
+
+
 def embed_column(
     df: DataFrame, column: str, target: str = "embedding", embedder: Embedder | None = None,
     dim: int = DEFAULTS.vector_dim,
 ) -> DataFrame:
-    """Add a vector column. ``embedder`` maps a batch of texts to a 2-d array."""
-    model = embedder or (lambda batch: hashed_vectors(batch, dim))
-    schema = St.StructType([*df.schema.fields]).add(target, St.ArrayType(St.DoubleType()))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch[target] = list(np.asarray(model(batch[column]), dtype=np.float64))
-            yield batch
-
-    return df.mapInPandas(run, schema)
+    """Add a vector column for a text column."""
+    return df.withColumn(target, vectors_of(F.col(column), embedder, dim))
 
 
 PairScorer = Callable[[pd.Series, pd.Series], np.ndarray]
@@ -78,22 +80,37 @@ def score_pairs(query: Column, text: Column, scorer: PairScorer) -> Column:
     return run(query, text)
 
 
-@F.pandas_udf(St.ArrayType(St.StringType()))
+def first_json(text: str | None) -> str | None:
+    """The first JSON object that starts anywhere in a text, else the first array.
+
+    Of a run of opening brackets the inner ones decode whenever an outer one does, so the outermost
+    that decodes is found by bisection; nesting too deep to decode counts as not decodable.
+    """
+    decoder, text, array = json.JSONDecoder(), text or "", None
+
+    def end_of(start: int) -> int | None:
+        try:
+            return decoder.raw_decode(text, start)[1]
+        except (ValueError, RecursionError):
+            return None
+
+    for run in re.finditer(r"\{|\[+", text):
+        if run[0] == "{":
+            if (end := end_of(run.start())) is not None:
+                return text[run.start():end]
+        elif array is None and end_of(run.end() - 1) is not None:
+            low, high = run.start(), run.end() - 1
+            while low < high:
+                middle = (low + high) // 2
+                low, high = (low, middle) if end_of(middle) is not None else (middle + 1, high)
+            array = text[low:end_of(low)]
+    return array
+
+
+@F.pandas_udf(St.StringType())
 def embedded_json(texts: pd.Series) -> pd.Series:
-    """Every decodable JSON value that starts at a brace or bracket, in order."""
-    decoder = json.JSONDecoder()
-
-    def scan(text: str) -> list[str]:
-        found = []
-        for match in re.finditer(r"[\[{]", text or ""):
-            try:
-                _, end = decoder.raw_decode(text, match.start())
-            except ValueError:
-                continue
-            found.append(text[match.start():end])
-        return found
-
-    return texts.map(scan)
+    """The JSON value embedded in each text."""
+    return texts.map(first_json)
 
 
 @F.pandas_udf(St.IntegerType())

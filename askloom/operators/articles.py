@@ -16,7 +16,6 @@ from pyspark.sql import types as St
 
 from askloom.functions import text as T
 from askloom.operators.chunking import chunk_flat
-from askloom.operators.sizes import broadcast_if_small
 from askloom.session import cut_lineage
 from askloom.settings import DEFAULTS, Settings
 
@@ -267,7 +266,7 @@ def run_funnel(
     )
     relevant = flagged.filter(F.col("_relevant") & (F.col("title") != ""))
     kept = greedy_dedup(relevant, settings.news_dedup)
-    deduped = relevant.join(broadcast_if_small(kept), ["query_id", "position", "doc_id"], "left_semi")
+    deduped = relevant.join(kept, ["query_id", "position", "doc_id"], "left_semi")
     final = recent(deduped, now, settings.news_max_age_days, settings.news_relaxed_days)
     count = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
     stats = (

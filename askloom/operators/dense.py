@@ -18,7 +18,7 @@ from pyspark.sql import types as St
 from askloom.operators.lexical import SCORE_DIGITS, top_k
 from askloom.settings import DEFAULTS, Settings
 
-DOC_BLOCK_ROWS = 100_000
+DOC_BLOCK_ROWS = 50_000
 MAX_SCORE_CELLS = 8_000_000
 
 
@@ -73,33 +73,6 @@ def _frame(schema: St.StructType, columns: tuple) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(schema.names, columns)))
 
 
-def _scan_with_queries(
-    docs: DataFrame, local: pd.DataFrame, k: int, query_key: str, key: str, schema: St.StructType
-) -> DataFrame:
-    """Small batch (counted by the caller): every task holds the question matrix."""
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (local[query_key].to_numpy(), _matrix(local["embedding"]))
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shared.value
-        best = None
-        for batch in batches:
-            if not len(ids) or not len(batch):
-                continue
-            found = _best(matrix, batch[key].to_numpy(), _matrix(batch["embedding"]), k)
-            if best is not None:
-                found = tuple(np.concatenate(x) for x in zip(best, found))
-                keep = _cut(*found, k)
-                found = tuple(x[keep] for x in found)
-            best = found
-        if best is not None:
-            rows, doc_ids, values = best
-            yield _frame(schema, (ids[rows], doc_ids, values))
-
-    return docs.mapInPandas(run, schema)
-
-
 def _score_group(query_key: str, key: str, k: int, schema: St.StructType):
     """Score one bounded group of rows against one bounded group of questions."""
 
@@ -124,13 +97,26 @@ def _copied(df: DataFrame, name: str, n: int) -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
 
 
-def _block_join(
-    docs: DataFrame, queries: DataFrame, n_queries: int, k: int, query_key: str, key: str,
-    schema: St.StructType, settings: Settings, doc_block_rows: int,
+def _block_counts(docs: DataFrame, queries: DataFrame, doc_rows: int, query_rows: int) -> tuple[int, int]:
+    """Even block counts from the table sizes; no fewer groups than there are cores."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    query_blocks = max(1, math.ceil(queries.count() / query_rows))
+    return max(cores, math.ceil(docs.count() / doc_rows)), query_blocks
+
+
+def nearest(
+    docs: DataFrame, queries: DataFrame, n: int, query_key: str = "query_id",
+    key: str = "chunk_id", settings: Settings = DEFAULTS, doc_block_rows: int = DOC_BLOCK_ROWS,
 ) -> DataFrame:
-    """Large batch: even blocks of both sides meet in pairs, each pair one bounded task."""
-    query_blocks = max(1, math.ceil(n_queries / settings.max_broadcast_queries))
-    doc_blocks = max(1, math.ceil(docs.count() / doc_block_rows))
+    """(query, doc, score, rank): exact ``n`` nearest by cosine of unit vectors.
+
+    Even blocks of both sides meet in pairs, each pair one bounded task. A document block is copied
+    once per question block; the driver sees two counts.
+    """
+    docs = docs.select(key, "embedding")
+    queries = queries.select(query_key, "embedding")
+    schema = _result_schema(queries, docs, query_key, key)
+    doc_blocks, query_blocks = _block_counts(docs, queries, doc_block_rows, settings.query_block_rows)
     left = _copied(
         _blocks(docs, key, doc_blocks).withColumnRenamed("block", "doc_block"),
         "query_block", query_blocks,
@@ -140,26 +126,9 @@ def _block_join(
         "doc_block", doc_blocks,
     )
     blocks = ("doc_block", "query_block")
-    return left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInPandas(
-        _score_group(query_key, key, k, schema), schema
+    found = left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInPandas(
+        _score_group(query_key, key, n, schema), schema
     )
-
-
-def nearest(
-    docs: DataFrame, queries: DataFrame, n: int, query_key: str = "query_id",
-    key: str = "chunk_id", settings: Settings = DEFAULTS, doc_block_rows: int = DOC_BLOCK_ROWS,
-) -> DataFrame:
-    """(query, doc, score, rank): exact ``n`` nearest by cosine of unit vectors."""
-    docs = docs.select(key, "embedding")
-    queries = queries.select(query_key, "embedding")
-    schema = _result_schema(queries, docs, query_key, key)
-    probe = queries.limit(settings.max_broadcast_queries + 1).toPandas()
-    if len(probe) <= settings.max_broadcast_queries:
-        found = _scan_with_queries(docs, probe, n, query_key, key, schema)
-    else:
-        found = _block_join(
-            docs, queries, queries.count(), n, query_key, key, schema, settings, doc_block_rows
-        )
     return top_k(found, query_key, "score", n, key)
 
 
@@ -217,8 +186,7 @@ def ann_topk(
     """
     first = docs.select(F.size("embedding")).limit(1).collect()
     planes = _planes(first[0][0] if first else settings.vector_dim, bits, tables, seed)
-    doc_blocks = max(1, math.ceil(docs.count() / doc_block_rows))
-    query_blocks = max(1, math.ceil(queries.count() / settings.max_broadcast_queries))
+    doc_blocks, query_blocks = _block_counts(docs, queries, doc_block_rows, settings.query_block_rows)
     left = _copied(
         _blocks(_with_buckets(docs, key, planes), key, doc_blocks).withColumnRenamed(
             "block", "doc_block"

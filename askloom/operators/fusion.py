@@ -10,7 +10,6 @@ from askloom.functions import udfs, variants
 from askloom.functions.rules import ENTITY_ALIASES
 from askloom.operators.dense import dense_topk
 from askloom.operators.lexical import LexicalIndex, lexical_topk
-from askloom.operators.sizes import broadcast_if_small
 from askloom.session import cut_lineage
 from askloom.settings import DEFAULTS, Settings
 
@@ -46,8 +45,8 @@ def numbered_texts(variant_rows: DataFrame) -> DataFrame:
 
 
 def ranked_lists(
-    chunks: DataFrame, vectors: DataFrame, variant_rows: DataFrame, k: int,
-    settings: Settings = DEFAULTS, embedder=None, index: LexicalIndex | None = None,
+    index: LexicalIndex, vectors: DataFrame, variant_rows: DataFrame, k: int,
+    settings: Settings = DEFAULTS, embedder=None,
 ) -> DataFrame:
     """One dense and one lexical list per variant.
 
@@ -59,7 +58,7 @@ def ranked_lists(
     embedded = udfs.embed_column(texts, "variant_key", "embedding", embedder, settings.vector_dim)
     dense = dense_topk(vectors, embedded, k, query_key="text_id", settings=settings)
     lexical = lexical_topk(
-        chunks, texts, k, query_key="text_id", text="variant_key", settings=settings, index=index
+        index, texts, k, query_key="text_id", text="variant_key", settings=settings
     )
     columns = ("text_id", "chunk_id", "rank", "similarity")
     lists = dense.select(*columns, F.lit("dense").alias("list_type")).unionByName(
@@ -220,7 +219,7 @@ def with_parents(
         "parent_id", "source", "source_rel", "topic", "subtopic", "section", "pages",
         "has_table", "text",
     ]
-    found = parents.select(*parent_columns).join(broadcast_if_small(best), "parent_id").filter(
+    found = parents.select(*parent_columns).join(cut_lineage(best), "parent_id").filter(
         T.strip(F.col("text")) != ""
     )
     top = ranked(found, F.desc("similarity"), F.asc("parent_id")).filter(

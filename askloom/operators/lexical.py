@@ -1,11 +1,9 @@
-"""BM25 over a chunk table for a whole batch of questions.
-
-The scoring plan keeps the corpus side narrow. Tokens are matched against the
-distinct question terms first; what is left is moved once, by chunk. Term
-frequency, per-chunk scores and the first top-k cut then run on that same
-partitioning, so the only other shuffle carries at most ``k`` rows per question
-and task. Chunks are the shuffle key, so a term that occurs in a third of the
-corpus is spread over all tasks.
+"""BM25 for a whole batch of questions over a stored index of a chunk table.
+
+The index is built once per corpus version: postings sorted by term, term counts and corpus
+statistics. Scoring reads the postings of the asked terms, never a text. Partial sums per
+(question, chunk) are formed before the one shuffle, and each question is cut to its best
+rows per task before the ranking.
 """
 
 from __future__ import annotations
@@ -16,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askloom.functions import text as T
-from askloom.operators.sizes import broadcast_if_small
+from askloom.session import cut_lineage
 from askloom.settings import DEFAULTS, Settings
 
 SCORE_DIGITS = 6
@@ -46,12 +44,8 @@ def postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
 
 
 def term_df(post: DataFrame) -> DataFrame:
-    """(term, df); counted per map task before the shuffle, so hot terms stay cheap.
-
-    The condition always holds. It keeps ``doc_len`` in this branch, so the plan
-    reads the same shuffle as the scoring branch instead of a second scan.
-    """
-    return post.groupBy("term").agg(F.count_if(F.col("doc_len") > 0).alias("df"))
+    """(term, df); counted per map task before the shuffle, so hot terms stay cheap."""
+    return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -97,30 +91,25 @@ def load_index(spark, path: str) -> LexicalIndex:
     return LexicalIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
 
 
-def wanted_terms(terms: DataFrame) -> DataFrame:
-    """Distinct question terms; small by count in all but huge batches."""
-    return broadcast_if_small(terms.select("term").distinct())
+def weighted_terms(index: LexicalIndex, terms: DataFrame) -> DataFrame:
+    """Question terms with their document frequency: small, whatever the corpus holds."""
+    return terms.join(index.terms, "term")
 
 
-def part_of(index: LexicalIndex, terms: DataFrame) -> LexicalIndex:
-    """The rows of a stored index that a question batch needs."""
-    wanted = wanted_terms(terms)
-    keep = lambda df: df.join(wanted, "term", "left_semi")
-    return LexicalIndex(keep(index.postings), keep(index.terms), index.stats)
-
-
-def query_index(chunks: DataFrame, terms: DataFrame, key: str = "chunk_id") -> LexicalIndex:
-    """The part of the index a question batch needs, straight from the chunk table."""
-    words = T.each(tokenized(chunks, key), [key, "doc_len"], F.col("tokens"), "term")
-    hits = words.join(wanted_terms(terms), "term").repartition(key)
-    post = hits.groupBy(key, "term").agg(
-        F.count("*").alias("tf"), F.first("doc_len").alias("doc_len")
-    )
-    return LexicalIndex(post, term_df(post), corpus_stats(chunks, key))
+def bm25_scores(
+    index: LexicalIndex, terms: DataFrame, query_key: str = "query_id",
+    settings: Settings = DEFAULTS, key: str = "chunk_id", n: int | None = None,
+) -> DataFrame:
+    """(query, chunk, score): the best ``n`` chunks of each question, or all that share a term.
 
+    The corpus side is the stored postings, read only where their term is asked. Frequencies come
+    with the question terms, so no join matches a term of the corpus with anything larger than
+    the question batch. The asked terms are a written table: Spark broadcasts it if its size
+    allows, and splits a hot term's postings if not.
 
-def term_weights(index: LexicalIndex, settings: Settings = DEFAULTS, key: str = "chunk_id") -> DataFrame:
-    """(key, term, weight): the score one question term adds to one chunk."""
+    Scores are rounded before anything ranks on them: a sum over shuffled rows may
+    differ in its last bits between runs, the ranking must not.
+    """
     stats = index.stats.select(
         F.col("n_docs").cast("double").alias("n"),
         F.greatest("avg_len", F.lit(1.0)).alias("avg_len"),
@@ -129,31 +118,15 @@ def term_weights(index: LexicalIndex, settings: Settings = DEFAULTS, key: str =
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf").cast("double")
     damping = tf + k1 * ((1.0 - b) + b * (F.col("doc_len") / F.col("avg_len")))
-    return (
-        index.postings.join(index.terms, "term")
-        .join(F.broadcast(stats))  # one row
-        .select(key, "term", (idf * (tf * (k1 + 1.0) / damping)).alias("weight"))
-    )
-
-
-def bm25_scores(
-    chunks: DataFrame, terms: DataFrame, query_key: str = "query_id",
-    settings: Settings = DEFAULTS, key: str = "chunk_id", index: LexicalIndex | None = None,
-) -> DataFrame:
-    """(query, chunk, score) for every chunk that shares a term with the question.
-
-    Scores are rounded before anything ranks on them: a sum over shuffled rows may
-    differ in its last bits between runs, the ranking must not.
-    """
-    part = part_of(index, terms) if index else query_index(chunks, terms, key)
-    asked = broadcast_if_small(terms.select(query_key, "term"))
-    return (
-        term_weights(part, settings, key)
-        .join(asked, "term")
+    asked = weighted_terms(index, terms.select(query_key, "term")).join(F.broadcast(stats))  # one row
+    asked = cut_lineage(asked.withColumn("idf", idf))
+    scored = (
+        index.postings.join(asked, "term")
         .groupBy(query_key, key)
-        .agg(F.round(F.sum("weight"), SCORE_DIGITS).alias("score"))
+        .agg(F.round(F.sum(F.col("idf") * (tf * (k1 + 1.0) / damping)), SCORE_DIGITS).alias("score"))
         .filter(F.col("score") > 0)
     )
+    return scored if n is None else top_k(scored, query_key, "score", n, key)
 
 
 def top_k(scored: DataFrame, query_key: str, score: str, k: int, key: str = "chunk_id") -> DataFrame:
@@ -163,14 +136,12 @@ def top_k(scored: DataFrame, query_key: str, score: str, k: int, key: str = "chu
 
 
 def lexical_topk(
-    chunks: DataFrame, questions: DataFrame, k: int, query_key: str = "query_id",
+    index: LexicalIndex, questions: DataFrame, k: int, query_key: str = "query_id",
     text: str = "query", settings: Settings = DEFAULTS, key: str = "chunk_id",
-    index: LexicalIndex | None = None,
 ) -> DataFrame:
     """Candidates per question with a similarity from score and rank."""
     terms = question_terms(questions, query_key, text)
-    scored = bm25_scores(chunks, terms, query_key, settings, key, index)
-    best = top_k(scored, query_key, "score", settings.lexical_candidates(k), key)
+    best = bm25_scores(index, terms, query_key, settings, key, settings.lexical_candidates(k))
     group = Window.partitionBy(query_key)
     low, high, n = F.min("score").over(group), F.max("score").over(group), F.count("*").over(group)
     scaled = (F.col("score") - low) / F.greatest(high - low, F.lit(1e-9))

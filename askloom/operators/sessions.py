@@ -12,7 +12,7 @@ from askloom.functions import rules
 from askloom.functions import text as T
 from askloom.functions.variants import follow_up_needs_context
 from askloom.operators.ordering import numbered
-from askloom.operators.sizes import broadcast_if_small
+from askloom.session import cut_lineage
 from askloom.settings import DEFAULTS
 
 OFFSET = "+05:30"
@@ -106,7 +106,12 @@ def detail(sessions: DataFrame, actions: DataFrame, turns: DataFrame) -> DataFra
         "session_id", F.lit("turn").alias("kind"), "position", F.col("message").alias("content")
     )
     children = child_actions.select(*columns).unionByName(child_turns.select(*columns))
-    return sessions.join(children, "session_id", "left")
+    # a left join could not split a session with most of the rows
+    with_children = sessions.join(cut_lineage(children), "session_id")
+    without = sessions.join(
+        actions.select("session_id").unionByName(turns.select("session_id")), "session_id", "left_anti"
+    )
+    return with_children.unionByName(without, allowMissingColumns=True)
 
 
 def summary(sessions: DataFrame, logs: DataFrame) -> DataFrame:
@@ -151,7 +156,7 @@ def select_by_index(rows: DataFrame, array: str, indices: DataFrame) -> DataFram
     """Elements of an array column whose position is in ``indices``."""
     others = [c for c in rows.columns if c != array]
     return T.each(rows, others, F.col(array), "element", "index").join(
-        broadcast_if_small(indices), "index", "left_semi"
+        indices, "index", "left_semi"
     )
 
 
@@ -239,15 +244,17 @@ def chat_retrieval_query(turns: DataFrame, sessions: DataFrame, recent: int = 3)
     """(session_id, turn, retrieval_query, mode) for every user message.
 
     A message that needs its conversation gets the session's question and the
-    last ``recent`` user messages in front. Messages are numbered without a hot
-    key in one task; each is sent to the ``recent`` places after it.
+    last ``recent`` user messages in front; blank ones count among these but are not
+    shown. Messages are numbered without a hot key in one task; each is sent to the
+    ``recent`` places after it.
     """
-    asked = numbered(
-        turns.select("session_id", "turn", T.strip(F.col("user_message")).alias("message")).filter(
-            F.col("message") != ""
+    every = numbered(
+        turns.select(
+            "session_id", "turn", T.strip(F.coalesce("user_message", F.lit(""))).alias("message")
         ),
         "session_id", ("turn",), "_n",
     )
+    asked = every.filter(F.col("message") != "")
     sent = asked.select(
         "session_id",
         F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + recent)).alias("_n"),

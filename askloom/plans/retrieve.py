@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.functions import text as T
 from askloom.functions import udfs, variants
 from askloom.functions.rules import ENTITY_ALIASES
 from askloom.operators import chunking, fusion
-from askloom.operators.lexical import LexicalIndex, lexical_length
-from askloom.operators.sizes import broadcast_if_small
-from askloom.session import cut_lineage
+from askloom.operators.lexical import LexicalIndex, build_index, lexical_length, load_index
+from askloom.session import cut_lineage, scratch_path
 from askloom.settings import DEFAULTS, Settings
 
 CHUNK_COLUMNS = (
@@ -25,30 +24,44 @@ ROW_COLUMNS = ("query_id", "query", "rank", "rrf_score", "similarity")
 
 @dataclass(frozen=True)
 class Corpus:
-    """Chunk table (with an ``embedding`` column) and parent table, as stored tables."""
+    """One version of an ingested corpus: stored tables under one path.
 
+    ``chunks`` have text and metadata; vectors, parents and the lexical index are tables of
+    their own, so that a question batch reads neither texts for scoring nor vectors for texts.
+    """
+
+    path: str
     chunks: DataFrame
+    vectors: DataFrame
     parents: DataFrame
+    index: LexicalIndex
 
-    @property
-    def vectors(self) -> DataFrame:
-        return self.chunks.select("chunk_id", "embedding")
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Corpus:
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        return cls(path, read("chunks"), read("vectors"), read("parents"), load_index(spark, f"{path}/index"))
 
 
 def ingest(
-    docs: DataFrame, settings: Settings = DEFAULTS, embedder=None, extra: DataFrame | None = None
+    docs: DataFrame, settings: Settings = DEFAULTS, embedder=None, extra: DataFrame | None = None,
+    path: str | None = None,
 ) -> Corpus:
-    """Chunk, embed and store cleaned documents. ``extra`` adds columns by ``doc_id``.
+    """Chunk, embed and index cleaned documents once, under ``path``.
 
-    Children are cut from the stored parents, so the texts are read once.
+    ``extra`` adds columns by ``doc_id``. Children are cut from the stored parents, so the texts
+    are read once. Without a path the version lives as long as the application.
     """
-    parents = cut_lineage(chunking.chunk_parents(docs, settings))
-    children = chunking.children_of(parents, settings)
+    spark = docs.sparkSession
+    path = path or scratch_path(spark, "corpus")
+    chunking.chunk_parents(docs, settings).write.parquet(f"{path}/parents")
+    children = chunking.children_of(spark.read.parquet(f"{path}/parents"), settings)
     if extra is not None:
         children = children.join(extra, "doc_id", "left")
-    children = children.withColumn("doc_len", lexical_length(F.col("text")))
-    embedded = udfs.embed_column(children, "text", "embedding", embedder, settings.vector_dim)
-    return Corpus(cut_lineage(embedded), parents)
+    children.withColumn("doc_len", lexical_length(F.col("text"))).write.parquet(f"{path}/chunks")
+    chunks = spark.read.parquet(f"{path}/chunks")
+    embed_chunks(chunks, embedder, settings).write.parquet(f"{path}/vectors")
+    build_index(chunks, f"{path}/index")
+    return Corpus.open(spark, path)
 
 
 @dataclass(frozen=True)
@@ -103,18 +116,19 @@ def attach(
 ) -> DataFrame:
     """Bring text and metadata to the fused rows.
 
-    The corpus is scanned once against the few wanted ids and not moved.
+    The wanted ids are a written table, so Spark knows its size: as long as they are few, it scans
+    the corpus against them and does not move it.
     """
     wanted = rows.join(questions.select("query_id", "query"), "query_id")
-    joined = corpus.chunks.join(broadcast_if_small(wanted), "chunk_id")
+    joined = corpus.chunks.join(cut_lineage(wanted), "chunk_id")
     flag = F.lit(True) if relevant is None else F.coalesce(relevant, F.lit(False))
     return joined.select(*CHUNK_COLUMNS, *ROW_COLUMNS, flag.alias("relevant"))
 
 
 def retrieve(
     corpus: Corpus, questions: DataFrame, k: int, settings: Settings = DEFAULTS,
-    relevant: Column | None = None, embedder=None, index: LexicalIndex | None = None,
-    aliases=ENTITY_ALIASES, corrective_below: int | None = None,
+    relevant: Column | None = None, embedder=None, aliases=ENTITY_ALIASES,
+    corrective_below: int | None = None,
 ) -> Retrieval:
     """Variants, ranked lists, fusion, grading, rerank, second pass, diversify, parents, gate.
 
@@ -129,7 +143,7 @@ def retrieve(
     asked = cut_lineage(first_variants(questions, settings, aliases))
     lists = cut_lineage(
         fusion.ranked_lists(
-            corpus.chunks, corpus.vectors, asked, k, settings, embedder, index
+            corpus.index, corpus.vectors, asked, k, settings, embedder
         )
     )
     fused = fusion.rrf(lists, fused_n, settings)
@@ -152,7 +166,7 @@ def retrieve(
         )
         more = cut_lineage(
             fusion.ranked_lists(
-                corpus.chunks, corpus.vectors, again, k, settings, embedder, index
+                corpus.index, corpus.vectors, again, k, settings, embedder
             )
         )
         # only questions whose second pass found something are fused again

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from askloom.functions import text as T
 from askloom.operators import chunking, corpus
-from askloom.operators.lexical import lexical_length
-from askloom.operators.sizes import broadcast_if_small, spread_if_small
 from askloom.plans.retrieve import Corpus, ingest
-from askloom.session import cut_lineage
+from askloom.session import cut_lineage, drop_path
 from askloom.settings import Settings
 
 # Small windows make many chunks; the retrieval corpus uses the default sizes.
@@ -33,27 +31,54 @@ def as_documents(documents: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal out a table whose files make fewer tasks than there are cores, and only such a one."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def raw_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return as_documents(spread_if_small(table(spark, sf, "documents"), "doc_id"))
+    return as_documents(spread(table(spark, sf, "documents"), "doc_id"))
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.clean_documents(raw_docs(spark, sf), fold_unicode=False)
+    return corpus.clean_documents(raw_docs(spark, sf))
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.chunk_children(docs(spark, sf))
+    return retrieval_corpus(spark, sf).chunks
+
+
+_VERSIONS: dict[tuple[str, str], tuple[tuple, Corpus]] = {}
 
 
-def stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """The chunk table as ingestion leaves it, for queries that read it more than once."""
-    return cut_lineage(chunks(spark, sf).withColumn("doc_len", lexical_length(F.col("text"))))
+def input_version(spark: SparkSession, sf: str, *names: str) -> tuple:
+    """Bytes and modification time of the input tables."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+        files = path.getFileSystem(conf)
+        out.append((files.getContentSummary(path).getLength(), files.getFileStatus(path).getModificationTime()))
+    return tuple(out)
 
 
 def retrieval_corpus(spark: SparkSession, sf: str) -> Corpus:
-    """Default-size children and parents; ``quality`` is the label of the document."""
+    """The stored corpus of a data folder: ingested by the first query that asks, opened by the rest.
+
+    Default-size children and parents; ``quality`` is the label of the document. A new version of
+    the input replaces the old one.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    version = input_version(spark, sf, "documents", "labels")
+    if key in _VERSIONS and _VERSIONS[key][0] == version:
+        return Corpus.open(spark, _VERSIONS[key][1].path)
     labels = table(spark, sf, "labels").select("doc_id", "quality")
-    return ingest(docs(spark, sf), extra=labels)
+    fresh = ingest(docs(spark, sf), extra=labels)
+    if key in _VERSIONS:
+        drop_path(spark, _VERSIONS[key][1].path)
+    _VERSIONS[key] = (version, fresh)
+    return fresh
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,7 +89,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Each line of a document is a page; a line with cell bars is also a table."""
-    documents = spread_if_small(table(spark, sf, "documents"), "doc_id")
+    documents = spread(table(spark, sf, "documents"), "doc_id")
     lines = T.each(documents, ["doc_id"], F.split("text", "\n", -1), "text", "pos")
     bars = F.length("text") - F.length(F.replace("text", F.lit("|"), F.lit("")))
     cells = F.split("text", r"\|", -1)
@@ -90,40 +115,11 @@ def qrels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def containing(bodies: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query_id, target) of bodies that contain a passage, by equi-joins.
+    """(query_id, target) of bodies that contain a passage of any length.
 
-    A passage of five or more words has inner words that occur as whole words in
-    any text around it: the second to fourth word are the join key. Shorter
-    passages (three characters at least) use their first characters. Keys only
-    find candidates; the text itself is fetched for those and checked.
+    Every body is searched for every passage, in one scan that moves no text: the passages of a
+    benchmark are the side that Spark sends to all tasks, as far as its size check allows.
     """
-    words = F.split(F.col("query"), r"\s+", -1)
-    keyed = passages.select(
-        "query_id",
-        (F.size(words) < 5).alias("short"),
-        F.when(F.size(words) >= 5, F.array_join(F.slice(words, 2, 3), " "))
-        .otherwise(F.substring("query", 1, 3))
-        .alias("key"),
-    )
-    split = bodies.select("target", F.split("body", r"\s+", -1).alias("w"))
-    starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: i <= F.size("w") - 2)
-    runs = T.each(
-        split, ["target"], F.transform(starts, lambda i: F.array_join(F.slice("w", i, 3), " ")),
-        "key",
-    )
-    found = runs.join(keyed.filter(~F.col("short")), "key")
-    short = keyed.filter("short")
-    if not short.isEmpty():
-        letters = bodies.select("target", F.split("body", "", -1).alias("c"))
-        grams = T.each(
-            letters, ["target"],
-            F.transform("c", lambda x, i: F.array_join(F.slice("c", i + 1, 3), "")), "key",
-        )
-        found = found.unionByName(grams.join(short, "key"))
-    candidates = cut_lineage(found.select("query_id", "target").distinct())
-    asked = candidates.join(passages.select("query_id", "query"), "query_id")
-    return (
-        bodies.join(broadcast_if_small(asked), "target")
-        .filter(F.contains("body", F.col("query")))
-        .select("query_id", "target")
+    return bodies.join(passages.select("query_id", "query"), F.contains("body", F.col("query"))).select(
+        "query_id", "target"
     )

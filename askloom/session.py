@@ -48,6 +48,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def scratch_path(spark: SparkSession, label: str = "table") -> str:
+    """A new path in this application's own part of the shared folder.
+
+    The part is deleted when the application ends.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        folder = f"{ensure_checkpoint_dir(spark)}/askloom-{app}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS[app] = folder
+    return f"{_FOLDERS[app]}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table or folder that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
@@ -56,7 +81,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     gives Spark its true size (for join choices) and pruned columns.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/askloom-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -45,9 +45,8 @@ class Settings:
     eval_answer_chars: int = 3000
     # vectors
     vector_dim: int = 64
-    # A query batch up to this many vectors is shipped to every task as one
-    # matrix; larger batches take the block-join path (operators/dense.py).
-    max_broadcast_queries: int = 20_000
+    # Questions that meet a block of documents in one task (operators/dense.py).
+    query_block_rows: int = 4_000
 
     def dense_candidates(self, k: int) -> int:
         return max(k, min(max(k * self.dense_multiplier, k), self.dense_cap))

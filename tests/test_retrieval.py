@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions import udfs
 from askloom.operators import context, dense, fusion, lexical
+from askloom.plans import retrieve, views
 from askloom.plans import retrieve as R
 from askloom.settings import Settings
 
@@ -49,16 +50,50 @@ def test_bm25_against_loop(spark, tmp_path):
     terms = lexical.question_terms(questions, "query_id", "query")
     want = {(q, c): s for q, ts in ((1, ["waa", "wbc"]), (3, ["wff", "waa"])) for c, s in loop_bm25(rows, ts).items()}
     index = lexical.build_index(chunks, str(tmp_path / "index"))
-    for scored in (lexical.bm25_scores(chunks, terms), lexical.bm25_scores(chunks, terms, index=index)):
-        got = {(r["query_id"], r["chunk_id"]): r["score"] for r in scored.collect()}
-        assert got.keys() == want.keys()
-        assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in lexical.bm25_scores(index, terms).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    best = lexical.bm25_scores(index, terms, n=2).collect()
+    for q in (1, 3):
+        own = sorted(((-s, c) for (x, c), s in got.items() if x == q))[:2]
+        assert [(-r["score"], r["chunk_id"]) for r in sorted(best, key=lambda r: r["rank"]) if r["query_id"] == q] == own
+
+
+def test_a_term_of_every_chunk_is_split(spark, tmp_path):
+    """A term in every chunk scores in all of them, by a join whose hot side may be split."""
+    chunks = chunk_frame(spark, [(f"c{i:04d}", f"everywhere w{i % 7}") for i in range(2000)])
+    index = lexical.build_index(chunks, str(tmp_path / "index"))
+    questions = spark.createDataFrame([(i, f"everywhere w{i}") for i in range(7)], "query_id int, query string")
+    scored = lexical.bm25_scores(index, lexical.question_terms(questions, "query_id", "query"))
+    assert scored.count() == 7 * 2000
+    assert lexical.lexical_topk(index, questions, 5).where("rank = 1").count() == 7
+
+
+@pytest.mark.parametrize("passage", ["", "a", "ai", "use", "we use ai", "we use ai daily here now", "é d", " x", "not there"])
+def test_passages_of_any_length_are_found(spark, passage):
+    bodies = spark.createDataFrame([("1", "we use ai daily here now"), ("2", "café d'or x"), ("3", "")], "target string, body string")
+    asked = spark.createDataFrame([(1, passage)], "query_id int, query string")
+    want = {t for t, b in (("1", "we use ai daily here now"), ("2", "café d'or x"), ("3", "")) if passage in b}
+    assert {r["target"] for r in views.containing(bodies, asked).collect()} == want
 
 
-def test_single_lexical_candidate_scores_04(spark):
+def test_the_stored_corpus_is_built_once_and_opened_after(spark):
+    sf = "/root/testdata/sf0.001"
+    first, second = views.retrieval_corpus(spark, sf), views.retrieval_corpus(spark, sf)
+    assert first.path == second.path
+    opened = retrieve.Corpus.open(spark, first.path)
+    assert opened.chunks.count() == opened.vectors.count() > 0
+    plan = fusion.ranked_lists(
+        opened.index, opened.vectors, retrieve.first_variants(views.questions(spark, sf)), 5
+    )._jdf.queryExecution().optimizedPlan().toString()
+    assert "doc_type" not in plan and "parent_id" not in plan  # no chunk row is read for scoring
+
+
+def test_single_lexical_candidate_scores_04(spark, tmp_path):
     chunks = chunk_frame(spark, [("a", "alpha beta"), ("b", "gamma")])
     q = spark.createDataFrame([(1, "alpha")], "query_id int, query string")
-    assert lexical.lexical_topk(chunks, q, 5).first()["similarity"] == pytest.approx(0.4)
+    index = lexical.build_index(chunks, str(tmp_path / "index"))
+    assert lexical.lexical_topk(index, q, 5).first()["similarity"] == pytest.approx(0.4)
 
 
 def vectors(spark, n, name, seed, dim=8):
@@ -88,7 +123,7 @@ def test_exact_nearest_both_paths(spark):
     qm, queries = vectors(spark, 23, "q", 2)
     want = brute(qm, dm, 7)
     assert as_set(dense.nearest(docs.repartition(5), queries, 7)) == want
-    blocks = Settings(max_broadcast_queries=5)
+    blocks = Settings(query_block_rows=5)
     assert as_set(dense.nearest(docs, queries, 7, settings=blocks, doc_block_rows=70)) == want
 
 

@@ -50,6 +50,18 @@ def test_chat_retrieval_query(spark):
     assert got[5].split("\n")[1:5] == ["Recent follow-up questions:", "- what next 2", "- what next 3", "- what next 4"]
 
 
+def test_blank_messages_count_among_the_recent_turns(spark):
+    said = ["aa one", "bb two", " ", "cc three"]
+    turns = spark.createDataFrame([(1, i, m, None) for i, m in enumerate(said)], TURN)
+    ideas = spark.createDataFrame([(1, "idea")], "session_id long, idea_text string")
+    got = {r["turn"]: r["retrieval_query"] for r in sessions.chat_retrieval_query(turns, ideas).collect()}
+    assert sorted(got) == [0, 1, 3]
+    assert got[3].split("\n")[1:4] == ["Recent follow-up questions:", "- aa one", "- bb two"]
+    turns = turns.union(spark.createDataFrame([(1, 4, "dd four", None)], TURN))
+    got = {r["turn"]: r["retrieval_query"] for r in sessions.chat_retrieval_query(turns, ideas).collect()}
+    assert got[4].split("\n")[1:4] == ["Recent follow-up questions:", "- bb two", "- cc three"]
+
+
 def test_detail_keeps_sessions_without_children(spark):
     s = spark.createDataFrame([(1,), (2,)], "session_id long")
     acts = spark.createDataFrame([(1, 1, "old", "2024-01-01"), (1, 2, "new", "2024-01-02")], "session_id long, action_id long, title string, t string")
