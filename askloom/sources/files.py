@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from askloom.functions import text as T
 
-TEXT_GLOB = "*.{txt,md,TXT,MD,Txt,Md}"
+#: Text and Markdown in any letter case.
+TEXT_GLOB = "*.{[tT][xX][tT],[mM][dD]}"
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 SCHEME = re.compile("^[a-z0-9]+:(//[^/]*)?")
 EXTENSION = r"^.+(\.[^.]+)$"
 
@@ -44,6 +46,24 @@ def decode_utf8(content: Column) -> Column:
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit(chr(0xFFFD)), F.lit(""))
 
 
+def plain_path(uri: Column) -> Column:
+    """A path without scheme and escapes: the same for batch and stream."""
+    unescaped = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(unescaped, SCHEME.pattern, "")
+
+
+def as_documents(files: DataFrame, folder: str) -> DataFrame:
+    """(source, text, version) and path metadata of binary file rows; blank ones drop."""
+    base = SCHEME.sub("", folder).rstrip("/")
+    docs = files.select(
+        plain_path(F.col("path")).alias("source"),
+        decode_utf8(F.col("content")).alias("text"),
+        F.col("modificationTime").alias("version"),
+    )
+    relative = F.substring("source", F.lit(len(base) + 2), F.length("source"))
+    return drop_blank(with_path_metadata(docs.withColumn("rel", relative), "rel").drop("rel"))
+
+
 def load_text_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Text and Markdown files under ``folder`` (absolute), with path metadata; blank ones drop.
 
@@ -57,11 +77,4 @@ def load_text_folder(spark: SparkSession, folder: str) -> DataFrame:
         .option("ignoreCorruptFiles", True)
         .load(folder)
     )
-    base = SCHEME.sub("", folder).rstrip("/")
-    unescaped = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
-    full = F.regexp_replace(unescaped, SCHEME.pattern, "")
-    relative = F.substring(full, F.lit(len(base) + 2), F.length(full))
-    docs = read.select(
-        full.alias("source"), relative.alias("rel"), decode_utf8(F.col("content")).alias("text")
-    )
-    return drop_blank(with_path_metadata(docs, "rel").drop("rel"))
+    return as_documents(read, folder).drop("version")

@@ -15,10 +15,7 @@ from askloom.operators import chunking, corpus
 from askloom.operators.sessions import MAX_MESSAGES, turn_messages
 from askloom.settings import DEFAULTS, Settings
 from askloom.sources import store
-from askloom.sources.files import TEXT_GLOB
-
-TEXT_SCHEMA = "value string"
-
+from askloom.sources.files import FILE_SCHEMA, TEXT_GLOB, as_documents
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     try:
@@ -29,28 +26,27 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def watch_text_folder(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """New text files of a folder as (source, text, version)."""
+    """New text files of a folder as (source, text, version) with the batch loader's metadata.
+
+    Ids, decoding and metadata are those of ``load_text_folder``, so a stream goes on where a batch
+    load ended.
+    """
     files = (
-        spark.readStream.format("text")
-        .schema(TEXT_SCHEMA)
-        .option("wholetext", True)
+        spark.readStream.format("binaryFile")
+        .schema(FILE_SCHEMA)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", TEXT_GLOB)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
     )
-    return files.select(
-        F.col("_metadata.file_path").alias("source"),
-        F.col("value").alias("text"),
-        F.col("_metadata.file_modification_time").alias("version"),
-    )
+    return as_documents(files, folder)
 
 
 def newest_versions(docs: DataFrame) -> DataFrame:
-    """One row per source: the last version of a batch."""
-    return docs.groupBy("source").agg(
-        F.max_by("text", F.struct("version", "text")).alias("text")
-    )
+    """One row per source: the last version of a batch, with its other columns."""
+    kept = [c for c in docs.columns if c not in ("source", "version")]
+    newest = F.max_by(F.struct(*kept), F.struct("version", "text")).alias("_newest")
+    return docs.groupBy("source").agg(newest).select("source", *(f"_newest.{c}" for c in kept))
 
 
 def store_batch(
@@ -91,13 +87,22 @@ def ingest_stream(
 
 
 def fresh_articles(articles: DataFrame, hours: int = 24) -> DataFrame:
-    """Arrivals without url repeats; rows older than ``hours`` behind the newest are late and drop.
+    """Arrivals without repeats of a url under the same question; late rows drop.
 
-    State holds urls for the length of the watermark only.
+    Rows are late if older than ``hours`` behind the newest. State holds the keys for the length
+    of the watermark only.
     """
-    return articles.withWatermark("published_at", f"{hours} hours").dropDuplicatesWithinWatermark(
-        ["url"]
-    )
+    key = [c for c in ("query_id", "url") if c in articles.columns]
+    return articles.withWatermark("published_at", f"{hours} hours").dropDuplicatesWithinWatermark(key)
+
+
+def expire_articles(spark: SparkSession, chunk_path: str, hours: int = 24, now: str | None = None) -> int:
+    """Drop stored dynamic rows that are older than ``hours``: the regular job beside the streams.
+
+    Returns how many buckets were rewritten; the others are not touched.
+    """
+    at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    return store.purge_table(spark, chunk_path, at, hours)
 
 
 STATE = "turns array<bigint>, parts array<int>, roles array<string>, contents array<string>"
@@ -151,6 +156,6 @@ def transcript(messages: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "conversation_tails", "fresh_articles", "ingest_stream", "newest_versions",
+    "conversation_tails", "expire_articles", "fresh_articles", "ingest_stream", "newest_versions",
     "store_batch", "transcript", "watch_text_folder",
 ]

@@ -11,7 +11,7 @@ from askloom.sources import benchmark, files, store
 def test_text_folder(spark, tmp_path):
     for name, data in {
         "top.md": b"hello", "A b/one.TXT": b" caf\xc3\xa9 \xff ", "A b/B+/two.txt": b"x", "A b/blank.txt": b" \n ",
-        "A b/skip.csv": b"no",
+        "A b/skip.csv": b"no", "y.tXt": b"mixed", "z.mD": b"case",
     }.items():
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
@@ -23,6 +23,8 @@ def test_text_folder(spark, tmp_path):
     root = str(tmp_path)
     assert got == {
         "top.md": ("top.md", "top", ".md", "General", "", "hello", f"{root}/top.md"),
+        "y.tXt": ("y.tXt", "y", ".txt", "General", "", "mixed", f"{root}/y.tXt"),
+        "z.mD": ("z.mD", "z", ".md", "General", "", "case", f"{root}/z.mD"),
         "A b/one.TXT": ("one.TXT", "one", ".txt", "A b", "", "café", f"{root}/A b/one.TXT"),
         "A b/B+/two.txt": ("two.txt", "two", ".txt", "A b", "B+", "x", f"{root}/A b/B+/two.txt"),
     }
@@ -34,7 +36,7 @@ def test_upsert_is_idempotent_and_touches_only_its_sources(spark, tmp_path):
     store.write_table(spark.createDataFrame([("a", "a_0", "1"), ("a", "a_1", "2"), ("b", "b_0", "3")], schema), path, 4)
     batch = spark.createDataFrame([("a", "a_0", "new"), ("c", "c_0", "4")], schema)
     for _ in range(2):
-        store.upsert_table(spark, batch, path, 4)
+        store.upsert_table(spark, batch, path)
         rows = sorted((r["source"], r["chunk_id"], r["text"]) for r in spark.read.parquet(path).collect())
         assert rows == [("a", "a_0", "new"), ("b", "b_0", "3"), ("c", "c_0", "4")]
 
@@ -48,6 +50,30 @@ def test_purge_keeps_unreadable_times(spark):
     assert kept.count() == 4
 
 
+def test_bucket_counts_follow_the_data(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "t"), "source string, chunk_id string, text string"
+    store.write_table(spark.createDataFrame([("a", "a_0", "1")], schema), path)
+    assert store.bucket_count(spark, path) == 1
+    monkeypatch.setattr(store, "BUCKET_BYTES", 300)
+    monkeypatch.setattr(store, "GROWTH", 1)
+    batch = spark.createDataFrame([(f"s{i}", f"s{i}_0", "t" * 50) for i in range(200)], schema)
+    store.upsert_table(spark, batch, path)
+    assert store.bucket_count(spark, path) > 4
+    assert spark.read.parquet(path).count() == 201
+
+
+def test_purge_rewrites_only_buckets_with_expired_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(f"s{i}", f"c{i}", "dynamic" if i < 3 else "local", "2024-01-01T00:00:00Z") for i in range(40)]
+    rows += [("s1", "young", "dynamic", "2024-01-09T23:00:00Z"), ("odd", "x", "dynamic", "?")]
+    store.write_table(spark.createDataFrame(rows, "source string, chunk_id string, doc_type string, inserted_at string"), path, 16)
+    now = F.lit("2024-01-10T00:00:00Z").cast("timestamp")
+    assert 1 <= store.purge_table(spark, path, now) <= 3
+    left = {r["chunk_id"] for r in spark.read.parquet(path).collect()}
+    assert left == {f"c{i}" for i in range(3, 40)} | {"young", "x"}
+    assert store.purge_table(spark, path, now) == 0
+
+
 ITEMS = {
     "benchmark_name": "b",
     "items": [

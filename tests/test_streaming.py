@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from askloom.operators import chunking, corpus, sessions
 from askloom.settings import Settings
+from askloom.sources import files, store
 from askloom.streaming import jobs
 
 SMALL = Settings(parent_size=6, parent_overlap=1, child_size=3, child_overlap=0)
@@ -34,6 +35,38 @@ def test_watch_text_folder(spark, tmp_path):
     assert [(r["source"].endswith("/sub/a.txt"), r["text"]) for r in rows] == [(True, "line one\nline two")]
 
 
+def test_a_stream_goes_on_where_a_batch_load_ended(spark, tmp_path):
+    folder, chunk_path, parent_path = (tmp_path / n for n in ("docs +x", "chunks", "parents"))
+    (folder / "a b").mkdir(parents=True)
+    (folder / "a b" / "x.txt").write_text("first words of the file")
+    (folder / "y.MD").write_bytes(b"bytes \xff here")
+    jobs.store_batch(files.load_text_folder(spark, str(folder)).withColumn("version", F.lit(0).cast("timestamp")), str(chunk_path), str(parent_path), SMALL)
+    (folder / "a b" / "x.txt").write_text("second words now")
+    jobs.ingest_stream(jobs.watch_text_folder(spark, str(folder)), str(chunk_path), str(parent_path), str(tmp_path / "cp"), SMALL).awaitTermination()
+    rows = spark.read.parquet(str(parent_path)).collect()
+    assert sorted((r["source"], r["topic"], r["text"]) for r in rows) == [
+        (f"{folder}/a b/x.txt", "a b", "second words now"), (f"{folder}/y.MD", "General", "bytes  here"),
+    ]
+
+
+def test_expired_articles_go(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [("u1", "a", "dynamic", "2024-01-01T00:00:00Z"), ("u2", "b", "dynamic", "2024-01-09T20:00:00Z"), ("f", "c", "local", None)]
+    store.write_table(spark.createDataFrame(rows, "source string, chunk_id string, doc_type string, inserted_at string"), path, 8)
+    assert jobs.expire_articles(spark, path, 24, "2024-01-10T00:00:00Z") == 1
+    assert sorted(r["chunk_id"] for r in spark.read.parquet(path).collect()) == ["b", "c"]
+
+
+def test_one_url_counts_for_every_question(spark, tmp_path):
+    feed, schema = str(tmp_path / "feed"), "query_id long, url string, published_at timestamp"
+    rows = [(1, "a", "2024-01-10"), (2, "a", "2024-01-10"), (1, "a", "2024-01-10")]
+    spark.createDataFrame(rows, "query_id long, url string, t string").select("query_id", "url", F.col("t").cast("timestamp").alias("published_at")).coalesce(1).write.json(feed)
+    stream = jobs.fresh_articles(spark.readStream.schema(schema).json(feed))
+    query = stream.writeStream.format("memory").queryName("per_question").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((r["query_id"], r["url"]) for r in spark.sql("select * from per_question").collect()) == [(1, "a"), (2, "a")]
+
+
 def test_fresh_articles(spark, tmp_path):
     feed = str(tmp_path / "feed")
     schema = "url string, published_at timestamp"
