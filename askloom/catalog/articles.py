@@ -1,53 +1,78 @@
-"""Article funnel queries. Documents with a vector are the articles; the vector's label
-is the question they were fetched for."""
+"""Article funnel queries. Every document is an article, fetched for the question of its source."""
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from askloom.catalog import sqltext as S
 from askloom.catalog.corpus import as_long
 from askloom.catalog.registry import cte, query
-from askloom.functions import rules
+from askloom.functions import rules, udfs
 from askloom.functions import text as T
 from askloom.functions.text import WS
 from askloom.operators import articles as A
 from askloom.operators import dense
 from askloom.plans import views as V
+from askloom.session import cut_lineage
 from askloom.settings import DEFAULTS
 
-NOW = "2024-01-31 00:00:00"
-# The vectors carry no structure, so the thresholds are lower than the defaults.
-FUNNEL = replace(
-    DEFAULTS, news_relevance=0.10, news_dedup=0.25, news_max_age_days=10, news_relaxed_days=25
-)
+NOW = "2024-02-20 00:00:00"
+FUNNEL = DEFAULTS
+
+
+def dense_sql(name: str, text: str) -> None:
+    """Vector of a text of every document, as ``functions.udfs.hashed_vectors`` makes it."""
+    cte(
+        f"{name}_slots",
+        f"SELECT doc_id, {S.hash_slot('w')} AS slot, sum({S.hash_sign('w')}) AS v FROM "
+        f"(SELECT doc_id, unnest({S.alnum_tokens(text)}) AS w FROM documents) GROUP BY ALL",
+    )
+    cte(
+        f"{name}_vectors",
+        f"""SELECT doc_id, list(coalesce(v / n, 0)::DOUBLE ORDER BY slot) AS vec FROM
+  (SELECT doc_id, d::INTEGER AS slot FROM documents, range({DEFAULTS.vector_dim}) r(d)) LEFT JOIN {name}_slots USING (doc_id, slot)
+  LEFT JOIN (SELECT doc_id, nullif(sqrt(sum(v * v)), 0) AS n FROM {name}_slots GROUP BY doc_id) USING (doc_id) GROUP BY doc_id""",
+        f"{name}_slots",
+    )
 
+
+TITLE = "split_part(text, chr(10), 1)"
+dense_sql("body", S.strip(f"concat_ws(' ', {TITLE}, '', text)"))
+dense_sql("title", TITLE)
 cte(
     "articles",
-    """SELECT label AS query_id, doc_id AS position, doc_id, split_part(text, chr(10), 1) AS title, '' AS description,
+    f"""SELECT d.source AS query_id, doc_id AS position, doc_id, {TITLE} AS title, '' AS description,
   text AS content, d.source || '/' || d.lang AS url, lang, strftime(e.ts, '%Y-%m-%dT%H:%M:%SZ') AS published,
-  CAST(v.embedding AS DOUBLE[]) AS embedding
-FROM documents d JOIN embeddings v ON v.vec_id = d.doc_id
+  b.vec AS embedding, t.vec AS title_vector
+FROM documents d JOIN body_vectors b USING (doc_id) JOIN title_vectors t USING (doc_id)
 LEFT JOIN events e ON e.event_id = d.n_chars""",
+    "body_vectors", "title_vectors",
 )
 cte(
     "fetch_queries",
-    """SELECT label AS query_id, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS query_vector,
-  list_transform(range(1, 65), lambda i: 0.0::DOUBLE) AS pad FROM embeddings GROUP BY label""",
+    "SELECT query_id, arg_min(embedding, doc_id) AS query_vector FROM articles GROUP BY query_id",
+    "articles",
 )
 cte(
-    "label_means",
-    "SELECT label, i, avg(x) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS i, "
-    "CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY label, i",
+    "source_means",
+    "SELECT query_id, i, avg(x) AS m FROM (SELECT query_id, generate_subscripts(embedding, 1) AS i, "
+    "unnest(embedding) AS x FROM articles) GROUP BY query_id, i",
+    "articles",
 )
 cte(
     "label_centroids",
-    "SELECT label AS query_id, list(m / n ORDER BY i) AS centroid FROM label_means JOIN "
-    "(SELECT label, sqrt(sum(m * m)) AS n FROM label_means GROUP BY label) USING (label) GROUP BY label",
-    "label_means",
+    "SELECT query_id, list(m / n ORDER BY i) AS centroid FROM source_means JOIN "
+    "(SELECT query_id, sqrt(sum(m * m)) AS n FROM source_means GROUP BY query_id) USING (query_id) GROUP BY query_id",
+    "source_means",
 )
+
+
+def cosine_sql(a: str, b: str) -> str:
+    """A vector without words is similar to nothing."""
+    cosine = f"list_cosine_similarity({a}, {b})"
+    return f"CASE WHEN isfinite(coalesce({cosine}, 0)) THEN coalesce({cosine}, 0) ELSE 0 END"
+
+
 COMBINED = S.strip("title || ' ' || description || ' ' || content")
 cte(
     "funnel_flags",
@@ -60,8 +85,8 @@ FROM (SELECT *, combined <> '' AND lang = 'en' AS is_language, len(regexp_extrac
 )
 cte(
     "scored_articles",
-    """SELECT f.*, round(0.6::DOUBLE * list_cosine_similarity(embedding, query_vector)
-  + 0.4::DOUBLE * list_cosine_similarity(embedding, centroid), 6) AS relevance_score
+    f"""SELECT f.*, round(0.6::DOUBLE * {cosine_sql('embedding', 'query_vector')}
+  + 0.4::DOUBLE * {cosine_sql('embedding', 'centroid')}, 6) AS relevance_score
 FROM funnel_flags f JOIN fetch_queries USING (query_id) JOIN label_centroids USING (query_id)""",
     "funnel_flags", "fetch_queries", "label_centroids",
 )
@@ -74,14 +99,13 @@ cte(
 
 
 def greedy_sql(source: str, threshold: float) -> str:
+    near = f"len(list_filter(g.vecs, lambda v: {cosine_sql('v', 'o.title_vector')} > {threshold})) > 0"
     return f"""SELECT query_id, 0::BIGINT AS rn, CAST([] AS DOUBLE[][]) AS vecs, CAST([] AS BIGINT[]) AS ids
 FROM (SELECT DISTINCT query_id FROM {source})
 UNION ALL
 SELECT g.query_id, o.rn,
-  CASE WHEN len(list_filter(g.vecs, lambda v: list_cosine_similarity(v, o.embedding) > {threshold})) > 0
-    THEN g.vecs ELSE list_append(g.vecs, o.embedding) END,
-  CASE WHEN len(list_filter(g.vecs, lambda v: list_cosine_similarity(v, o.embedding) > {threshold})) > 0
-    THEN g.ids ELSE list_append(g.ids, o.doc_id) END
+  CASE WHEN {near} THEN g.vecs ELSE list_append(g.vecs, o.title_vector) END,
+  CASE WHEN {near} THEN g.ids ELSE list_append(g.ids, o.doc_id) END
 FROM {{name}} g JOIN {source} o ON o.query_id = g.query_id AND o.rn = g.rn + 1"""
 
 
@@ -117,17 +141,13 @@ cte("final_articles", recent_sql("deduped_articles"), "deduped_articles")
 
 
 def articles(spark, sf):
-    vectors = V.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), F.col("label").alias("query_id"),
-        F.transform("embedding", lambda x: x.cast("double")).alias("embedding"),
-    )
     times = V.table(spark, sf, "events").select(
         F.col("event_id").alias("n_chars"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt"),
     )
-    documents = V.spread_if_small(V.table(spark, sf, "documents"), "doc_id")
-    return documents.join(vectors, "doc_id").join(times, "n_chars", "left").select(
-        "query_id",
+    documents = V.spread(V.table(spark, sf, "documents"), "doc_id")
+    return documents.join(times, "n_chars", "left").select(
+        F.col("source").alias("query_id"),
         F.col("doc_id").alias("position"),
         "doc_id",
         F.get(F.split("text", "\n", 2), F.lit(0)).alias("title"),
@@ -136,23 +156,27 @@ def articles(spark, sf):
         F.concat_ws("/", "source", "lang").alias("url"),
         "lang",
         "publishedAt",
-        "embedding",
     )
 
 
+def embedded(spark, sf):
+    """Articles with the vector of their whole text."""
+    return udfs.embed_column(A.normalize(articles(spark, sf)), "combined")
+
+
 def fetch_queries(spark, sf):
-    vectors = V.table(spark, sf, "embeddings").withColumnRenamed("label", "query_id")
-    first = vectors.groupBy("query_id").agg(
-        F.transform(F.min_by("embedding", "vec_id"), lambda x: x.cast("double")).alias("query_vector")
-    )
+    """The first article of a source stands in for its question."""
+    vectors = cut_lineage(embedded(spark, sf).select("query_id", "doc_id", "embedding"))
+    first = vectors.groupBy("query_id").agg(F.min_by("embedding", "doc_id").alias("query_vector"))
     return first.join(A.centroids(vectors, "query_id"), "query_id")
 
 
 @query(
     "merge_sources",
     """
-WITH rated AS (SELECT d.source AS query_id, d.doc_id, d.source || '/' || d.lang AS url, quality, toxic
-  FROM documents d JOIN labels USING (doc_id)),
+WITH rated AS (SELECT d.source AS query_id, d.doc_id, d.source || '/' || d.lang AS url,
+    coalesce(quality, 1) AS quality, coalesce(toxic, 0) AS toxic
+  FROM documents d LEFT JOIN labels USING (doc_id)),
 p AS (SELECT query_id, doc_id, url FROM rated WHERE toxic = 1),
 s AS (SELECT query_id, doc_id, url FROM rated WHERE toxic = 0 AND quality = 1)
 SELECT * FROM p UNION ALL SELECT s.* FROM s LEFT JOIN (SELECT query_id, count(*) AS n FROM p GROUP BY query_id) USING (query_id)
@@ -160,9 +184,10 @@ WHERE coalesce(n, 0) < 3 AND NOT EXISTS (SELECT 1 FROM p WHERE p.query_id = s.qu
 """,
 )
 def merge_sources(spark, sf):
-    rated = V.table(spark, sf, "documents").join(V.table(spark, sf, "labels"), "doc_id").select(
+    # documents without a label come from the second source
+    rated = V.table(spark, sf, "documents").join(V.table(spark, sf, "labels"), "doc_id", "left").select(
         F.col("source").alias("query_id"), "doc_id", F.concat_ws("/", "source", "lang").alias("url"),
-        "quality", "toxic",
+        F.coalesce("quality", F.lit(1)).alias("quality"), F.coalesce("toxic", F.lit(0)).alias("toxic"),
     )
     keep = ("query_id", "doc_id", "url")
     primary = rated.filter("toxic = 1").select(*keep)
@@ -188,7 +213,7 @@ def vector_centroid(spark, sf):
     ("scored_articles",),
 )
 def article_relevance(spark, sf):
-    joined = articles(spark, sf).join(fetch_queries(spark, sf), "query_id")
+    joined = embedded(spark, sf).join(fetch_queries(spark, sf), "query_id")
     score = A.relevance(F.col("embedding"), F.col("query_vector"), F.col("centroid"))
     return joined.select("query_id", "doc_id", score.alias("relevance_score"))
 
@@ -198,12 +223,13 @@ cte(
     "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS rn FROM articles",
     "articles",
 )
-greedy_cte("greedy_all", "all_articles_ranked", 0.2)
+greedy_cte("greedy_all", "all_articles_ranked", DEFAULTS.news_dedup)
 
 
 @query("greedy_dedup", "SELECT query_id, doc_id FROM greedy_all", ("greedy_all",))
 def greedy_dedup(spark, sf):
-    return A.greedy_dedup(articles(spark, sf), 0.2).select("query_id", "doc_id")
+    titles = udfs.embed_column(articles(spark, sf), "title").select("query_id", "position", "doc_id", "embedding")
+    return A.greedy_dedup(titles).select("query_id", "doc_id")
 
 
 @query(

@@ -111,11 +111,6 @@ def path_metadata(spark, sf):
     return files.with_path_metadata(pages.select("page_id", path.alias("path"))).drop("path")
 
 
-@query("nfkc_normalize")
-def nfkc_normalize(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", udfs.nfkc(F.col("text")).alias("text"))
-
-
 @query("strip_control", f"SELECT doc_id, {S.strip_control('text')} AS text FROM documents")
 def strip_control(spark, sf):
     return V.table(spark, sf, "documents").select(

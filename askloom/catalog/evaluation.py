@@ -233,7 +233,41 @@ def rouge_n(spark, sf):
     return pairs.select(*KEYS).join(scored, list(KEYS), "left").na.fill(0.0)
 
 
-@query("rouge_l")
+cte(
+    "ref_tokens",
+    "SELECT conv_id, turn, generate_subscripts(r, 1) AS j, unnest(r) AS w FROM "
+    f"(SELECT conv_id, turn, {S.alnum_tokens('reference')} AS r FROM answer_pairs)",
+    "answer_pairs",
+)
+cte(
+    "cand_tokens",
+    "SELECT conv_id, turn, generate_subscripts(c, 1) AS i, unnest(c) AS w FROM "
+    f"(SELECT conv_id, turn, {S.alnum_tokens('candidate')} AS c FROM answer_pairs)",
+    "answer_pairs",
+)
+# One step per candidate token: the next row of the table of common subsequence lengths.
+cte(
+    "lcs_rows",
+    """SELECT conv_id, turn, 0::BIGINT AS i, j, 0::BIGINT AS v FROM ref_tokens
+UNION ALL
+SELECT conv_id, turn, i, j, max(greatest(old, CASE WHEN hit THEN before + 1 ELSE 0 END))
+  OVER (PARTITION BY conv_id, turn ORDER BY j) FROM (
+  SELECT l.conv_id, l.turn, c.i, l.j, l.v AS old, r.w = c.w AS hit,
+    coalesce(lag(l.v) OVER (PARTITION BY l.conv_id, l.turn ORDER BY l.j), 0) AS before
+  FROM lcs_rows l JOIN cand_tokens c ON c.conv_id = l.conv_id AND c.turn = l.turn AND c.i = l.i + 1
+  JOIN ref_tokens r ON r.conv_id = l.conv_id AND r.turn = l.turn AND r.j = l.j)""",
+    "ref_tokens", "cand_tokens",
+)
+
+
+@query(
+    "rouge_l",
+    "SELECT conv_id, turn, round(CASE WHEN o > 0 THEN 2::DOUBLE * o / (rt + ct) ELSE 0 END, 6) AS rouge_l_f1 FROM ("
+    f"SELECT conv_id, turn, len({S.alnum_tokens('reference')}) AS rt, len({S.alnum_tokens('candidate')}) AS ct, "
+    "coalesce(v, 0) AS o FROM answer_pairs LEFT JOIN "
+    "(SELECT conv_id, turn, max(v) AS v FROM lcs_rows GROUP BY conv_id, turn) USING (conv_id, turn))",
+    ("answer_pairs", "lcs_rows"),
+)
 def rouge_l(spark, sf):
     score = metrics.rouge_l(F.col("reference"), F.col("candidate"))
     return answer_pairs(spark, sf).select(*KEYS, score.alias("rouge_l_f1"))

@@ -150,12 +150,46 @@ def dense_topk(spark, sf):
     return as_long(found.select(*TOP_OUT), "rank")
 
 
-@query("ann_topk")
+def codes_sql(slots: str, key: str, ids: str) -> str:
+    """(key, table, bucket): the side of every hash plane, for rows given as sparse vectors."""
+    return (
+        f"SELECT {key}, t, CAST(sum(CASE WHEN dot > 0 THEN 1 << b ELSE 0 END) AS BIGINT) AS code FROM "
+        f"(SELECT i.{key}, t, b, coalesce(sum(s.v * p.sign), 0) AS dot FROM (SELECT DISTINCT {key} FROM {ids}) i "
+        f"CROSS JOIN (SELECT DISTINCT t, b FROM planes) tb LEFT JOIN {slots} s ON s.{key} = i.{key} "
+        f"LEFT JOIN planes p USING (t, b) WHERE s.slot IS NULL OR p.d = s.slot GROUP BY ALL) GROUP BY ALL"
+    )
+
+
+cte(
+    "planes",
+    f"""SELECT t, b, d, CASE WHEN substr(md5('{dense.SEED}:' || t || ':' || b || ':' || d), 1, 1) IN
+  ('0', '1', '2', '3', '4', '5', '6', '7') THEN 1 ELSE -1 END AS sign
+FROM range({dense.TABLES}) x(t), range({dense.BITS}) y(b), range({DEFAULTS.vector_dim}) z(d)""",
+)
+cte("chunk_codes", codes_sql("chunk_slots", "chunk_id", "chunks"), "planes", "chunk_slots", "chunks")
+cte("question_codes", codes_sql("qs_slots", "query_id", "questions"), "planes", "qs_slots", "questions")
+cte(
+    "ann_pairs",
+    "SELECT DISTINCT query_id, chunk_id FROM question_codes JOIN chunk_codes USING (t, code)",
+    "question_codes", "chunk_codes",
+)
+
+
+@query(
+    "ann_topk",
+    f"""SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+  ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT p.query_id, p.chunk_id, round(coalesce(d.dot / (n.norm * m.norm), 0), 6) + 0::DOUBLE AS score FROM ann_pairs p
+  LEFT JOIN (SELECT a.query_id, b.chunk_id, sum(a.v * b.v) AS dot FROM qs_slots a
+             JOIN chunk_slots b USING (slot) GROUP BY a.query_id, b.chunk_id) d USING (query_id, chunk_id)
+  LEFT JOIN (SELECT query_id, sqrt(sum(v * v)) AS norm FROM qs_slots GROUP BY query_id) n USING (query_id)
+  LEFT JOIN chunk_norms m USING (chunk_id))) WHERE rank <= {DEFAULTS.dense_candidates(K)}""",
+    ("ann_pairs", "qs_slots", "chunk_slots", "chunk_norms"),
+)
 def ann_topk(spark, sf):
     vectors = V.retrieval_corpus(spark, sf).vectors
-    return dense.ann_topk(
-        vectors, embedded_questions(spark, sf), DEFAULTS.dense_candidates(K)
-    )
+    found = dense.ann_topk(vectors, embedded_questions(spark, sf), DEFAULTS.dense_candidates(K))
+    return as_long(found, "rank")
 
 
 # ---- fusion to context -------------------------------------------------------------------

@@ -1,7 +1,8 @@
 """Article funnel: merge, quality filters, relevance, near-duplicates, recency, chunks.
 
 Articles are rows (query_id, position, title, description, content, url, lang,
-published_at, embedding); ``position`` is the order in which they were fetched.
+published_at); ``position`` is the order in which they were fetched. Vectors are made on
+the way: of the whole text for relevance, of the title for near-duplicates.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as St
 
 from askloom.functions import text as T
+from askloom.functions import udfs
 from askloom.operators.chunking import chunk_flat
 from askloom.session import cut_lineage
 from askloom.settings import DEFAULTS, Settings
@@ -223,19 +225,22 @@ def recent(
 
 
 def run_funnel(
-    articles: DataFrame, queries: DataFrame, now: Column, settings: Settings = DEFAULTS
+    articles: DataFrame, queries: DataFrame, now: Column, settings: Settings = DEFAULTS, embedder=None
 ) -> tuple[DataFrame, DataFrame]:
     """(surviving articles, rows left after each stage per question).
 
     ``queries``: (query_id, query_vector, centroid). The row-wise stages are flags
-    of one pass; near-duplicates and recency follow on the few relevant rows.
+    of one pass, in which only readable texts and relevant titles are embedded;
+    near-duplicates and recency follow on the few relevant rows.
     """
+    vector = lambda c: udfs.vectors_of(c, embedder, settings.vector_dim)
     flagged = normalize(articles).join(queries, "query_id")
     text = F.col("combined")
     ok = language_ok(F.col("lang"), text)
     flagged = flagged.withColumn("_language", ok)
     flagged = flagged.withColumn("_length", F.col("_language") & long_enough(text))
     flagged = flagged.withColumn("_readable", F.col("_length") & readable(text))
+    flagged = flagged.withColumn("embedding", vector(F.when(F.col("_readable"), text)))
     flagged = flagged.withColumn(
         "relevance_score",
         F.when(
@@ -265,7 +270,8 @@ def run_funnel(
         F.count_if("_relevant").alias("after_relevance"),
     )
     relevant = flagged.filter(F.col("_relevant") & (F.col("title") != ""))
-    kept = greedy_dedup(relevant, settings.news_dedup)
+    titles = relevant.select("query_id", "position", "doc_id", vector(F.col("title")).alias("embedding"))
+    kept = greedy_dedup(titles, settings.news_dedup)
     deduped = relevant.join(kept, ["query_id", "position", "doc_id"], "left_semi")
     final = recent(deduped, now, settings.news_max_age_days, settings.news_relaxed_days)
     count = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))

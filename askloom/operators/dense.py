@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ from askloom.settings import DEFAULTS, Settings
 
 DOC_BLOCK_ROWS = 50_000
 MAX_SCORE_CELLS = 8_000_000
+# Hash tables of the approximate search, and the planes of each.
+TABLES, BITS, SEED = 16, 4, 7
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -144,7 +147,11 @@ def dense_topk(
 
 
 def _planes(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((tables, bits, dim))
+    """Planes of random signs: the first hex digit of the MD5 of ``seed:table:bit:dimension``."""
+    sign = lambda *at: 1.0 if int(md5(":".join(map(str, at)).encode()).hexdigest()[0], 16) < 8 else -1.0
+    return np.array(
+        [[[sign(seed, t, b, d) for d in range(dim)] for b in range(bits)] for t in range(tables)]
+    )
 
 
 def _with_buckets(df: DataFrame, key: str, planes: np.ndarray) -> DataFrame:
@@ -165,7 +172,7 @@ def _with_buckets(df: DataFrame, key: str, planes: np.ndarray) -> DataFrame:
             if not len(matrix):
                 continue
             for t in range(tables):
-                codes = ((matrix @ planes[t].T) > 0) @ weights
+                codes = (np.round(matrix @ planes[t].T, 9) > 0) @ weights
                 yield pd.DataFrame(
                     {key: batch[key].to_numpy(), "embedding": list(matrix), "table_no": t, "bucket": codes}
                 )
@@ -175,7 +182,7 @@ def _with_buckets(df: DataFrame, key: str, planes: np.ndarray) -> DataFrame:
 
 def ann_topk(
     docs: DataFrame, queries: DataFrame, n: int, query_key: str = "query_id",
-    key: str = "chunk_id", bits: int = 4, tables: int = 16, seed: int = 7,
+    key: str = "chunk_id", bits: int = BITS, tables: int = TABLES, seed: int = SEED,
     settings: Settings = DEFAULTS, doc_block_rows: int = DOC_BLOCK_ROWS,
 ) -> DataFrame:
     """Approximate ``n`` nearest: a question sees the rows of its buckets, scored exactly.
