@@ -485,13 +485,18 @@ STAGES = (
     "SELECT query_id, "
     + ", ".join(f"coalesce({n}, 0) AS {n}" for _, n, _ in STAGES)
     + ", query_id IN (SELECT query_id FROM corrected) AS corrective_pass_used, "
+    f"{S.intent('lowered')} AS query_intent, array_to_string(hints, ' | ') AS entity_hints, "
+    "array_to_string(used, ' | ') AS query_variants, CASE WHEN query_id IN (SELECT query_id FROM corrected) "
+    "THEN array_to_string(fresh, ' | ') ELSE '' END AS corrective_query_variants, "
     "CAST(round(CAST(max_score AS DECIMAL(18, 6)), 4) AS DOUBLE) AS max_score, low_confidence FROM questions "
     + " ".join(stage_sql(*s) for s in STAGES)
-    + " JOIN gate USING (query_id)",
-    ("questions", "gate", "corrected", "all_lists"),
+    + " JOIN gate USING (query_id) JOIN (SELECT query_id, lowered, hints, used, fresh FROM q_corrective) USING (query_id)",
+    ("questions", "gate", "corrected", "all_lists", "q_corrective"),
 )
 def retrieval_diag(spark, sf):
-    return R.diagnostics(run(spark, sf))
+    shown = R.diagnostics(run(spark, sf))
+    names = ("entity_hints", "query_variants", "corrective_query_variants")
+    return shown.withColumns({n: F.array_join(n, " | ") for n in names})
 
 
 # The lexical hits of the plain question stand in for the article rows of the fallback.

@@ -194,8 +194,35 @@ def retrieve(
     )
 
 
-def diagnostics(result: Retrieval) -> DataFrame:
-    """Rows at each stage, per question."""
+def question_notes(
+    questions: DataFrame, corrected: DataFrame, settings: Settings = DEFAULTS, aliases=ENTITY_ALIASES
+) -> DataFrame:
+    """Intent, entity hints, variants and, after a second pass, corrective variants of each question."""
+    generated = F.col("generated") if "generated" in questions.columns else None
+    used = variants.assembled_variants(F.col("query"), generated, settings, aliases)
+    noted = questions.select(
+        "query_id",
+        variants.intent(F.col("query")).alias("query_intent"),
+        variants.entity_hints(F.col("query"), aliases).alias("entity_hints"),
+        used.alias("query_variants"),
+        variants.corrective_variants(F.col("query"), used, settings).alias("_fresh"),
+    )
+    mark = corrected.withColumn("corrective_pass_used", F.lit(True))
+    return (
+        noted.join(mark, "query_id", "left")
+        .na.fill({"corrective_pass_used": False})
+        .withColumn(
+            "corrective_query_variants",
+            F.when(F.col("corrective_pass_used"), F.col("_fresh")).otherwise(F.expr("cast(array() as array<string>)")),
+        )
+        .drop("_fresh")
+    )
+
+
+def diagnostics(
+    result: Retrieval, settings: Settings = DEFAULTS, aliases=ENTITY_ALIASES
+) -> DataFrame:
+    """What was asked and the rows at each stage, per question."""
 
     def per_query(df: DataFrame, name: str, condition: Column | None = None) -> DataFrame:
         counted = F.count("*") if condition is None else F.count_if(condition)
@@ -217,10 +244,9 @@ def diagnostics(result: Retrieval) -> DataFrame:
     for stage in stages:
         report = report.join(stage, "query_id", "left")
     report = report.na.fill(0)
-    used = result.corrected.withColumn("corrective_pass_used", F.lit(True))
+    notes = question_notes(result.questions, result.corrected, settings, aliases)
     return (
-        report.join(used, "query_id", "left")
+        report.join(notes, "query_id")
         .join(result.confidence, "query_id", "left")
-        .na.fill({"corrective_pass_used": False})
         .withColumn("max_score", F.round("max_score", 4))
     )
