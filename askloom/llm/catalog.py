@@ -16,8 +16,9 @@ from askloom.llm import (
     toxicity,
     warc,
 )
-from askloom.llm.common import shared_path, table
+from askloom.llm.common import table
 from askloom.llm.registry import ORACLE, QUERIES, query, tokenizer_path
+from askloom.session import scratch_path
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -40,7 +41,7 @@ FROM ranked
 """,
 )
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+    return warc.round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
 
 
 @query(
@@ -154,7 +155,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path()).drop("ids")
 
 
 @query("op8_html_text")

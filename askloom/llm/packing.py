@@ -26,6 +26,7 @@ from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -41,15 +42,24 @@ MIN_PIECE = 256
 #: The id that ends a document.
 END = 1
 END_BYTES = END.to_bytes(2, "little")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
 
 
 class WordIds:
     """Ids of texts, word by word: this tokenizer never joins anything across white space.
 
     The ids of words seen lately are kept, in two generations of at most ``CACHE_WORDS`` words, which
-    costs far less than encoding whole texts. It lower-cases, and it separates a full stop or comma
-    from an ASCII letter or digit before it, so such words share the ids of their stem.
+    costs far less than encoding whole texts. A new word of letters only is given to the
+    tokenizer's model as it is, because normalising and splitting change nothing but its case; a full
+    stop or comma behind an ASCII letter or digit is a token of its own. All other words go
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,46 +68,46 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids must fit two bytes")
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.marks = {mark: self.whole(mark.decode()) for mark in (b".", b",")}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [array("H", x.ids).tobytes() for x in found]
-
-    def learn(self, words: set[bytes]) -> None:
-        """Put all ``words`` into the young generation."""
-        young, old = self.young, self.old
-        stems: dict[bytes, list[tuple[bytes, bytes]]] = {}
-        for word in words:
-            if word in young:
-                continue
-            if word in old:
-                young[word] = old[word]
-                continue
-            stem = word if b"<|" in word else word.lower()  # special tokens are matched as they are
-            mark = b""
-            if stem[-1:] in (b".", b",") and stem[-2:-1].isalnum():
-                stem, mark = stem[:-1], stem[-1:]
-            stems.setdefault(stem, []).append((word, mark))
-        marks = dict(zip((b"", b".", b","), [b"", *self.encode([b".", b","])], strict=True))
-        fresh = [s for s in stems if s not in young and s not in old]
-        for stem, ids in zip(fresh, self.encode(fresh), strict=True):
-            young[stem] = ids
-        for stem, forms in stems.items():
-            ids = young.get(stem)
+    def whole(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, word: bytes) -> bytes:
+        if word[-1:] in self.marks and word[-2:-1].isalnum() and b"<|" not in word:
+            return self.find(word[:-1]) + self.marks[word[-1:]]
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and "Σ" not in text and (text.isascii() or is_normalized("NFC", text)):
+            low = text.lower()
+            if low.isalpha():
+                form = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+                return array("H", [t.id for t in self.model.tokenize(form)]).tobytes()
+        return self.whole(text)
+
+    def find(self, word: bytes) -> bytes:
+        ids = self.young.get(word)
+        if ids is None:
+            ids = self.old.get(word)
             if ids is None:
-                ids = old[stem]
-            for word, mark in forms:
-                young[word] = ids + marks[mark]
+                ids = self.encode(word)
+            self.young[word] = ids
+        return ids
 
-    def batch(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text with the end id, two bytes each."""
+    def text(self, text: bytes) -> bytes:
+        """Ids of a text with the end id, two bytes each."""
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {}, self.young
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.young.__getitem__, words)) + END_BYTES for words in split]
+        words = text.split()
+        parts = list(map(self.young.get, words))
+        if None in parts:
+            find = self.find
+            parts = [find(w) if p is None else p for w, p in zip(words, parts, strict=True)]
+        parts.append(END_BYTES)
+        return b"".join(parts)
 
 
 @lru_cache(maxsize=2)
@@ -112,7 +122,7 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
         for batch in batches:
-            found = words.batch(batch["text"].to_pylist())
+            found = [words.text(t.as_py()) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"], batch["source"],
@@ -183,62 +193,106 @@ def cut_last(pieces: list[tuple], window: int) -> list[list[tuple]]:
 
 
 def pack_bin(rows: pd.DataFrame, window: int, min_piece: int) -> pd.DataFrame:
-    """Pieces of one bin. Rows: doc_id, _source, ids, tokens, _at (order), _share, _credit, _bin."""
-    rows = rows.sort_values(["_source", "_at", "doc_id"], kind="stable").reset_index(drop=True)
+    """Pieces of one bin. Rows: _row, _source, tokens, _at (order), _share, _credit, _bin."""
+    rows = rows.sort_values(["_source", "_at", "_row"], kind="stable").reset_index(drop=True)
     queues, share, credit = {}, {}, {}
     for source, part in rows.groupby("_source", sort=True):
-        queues[source] = list(zip(part.index.tolist(), part["tokens"].tolist(), strict=True))
+        queues[source] = list(zip(part["_row"].tolist(), part["tokens"].tolist(), strict=True))
         share[source] = float(part["_share"].iloc[0])
         credit[source] = float(part["_credit"].iloc[0])
-    ids = [np.frombuffer(x, "<u2").astype("<u4") for x in rows["ids"]]
     first = int(rows["_bin"].iloc[0]) << 32
     out, sequence = [], 0
     for pieces in fill(queues, share, credit, window, min_piece):
         for part in cut_last(pieces, window):
             offset = 0
-            for doc, start, length in part:
-                out.append((doc, start, length, zlib.crc32(ids[doc][start : start + length].tobytes()), first + sequence, offset))
+            for row, start, length in part:
+                out.append((row, start, length, first + sequence, offset))
                 offset += length
             sequence += 1
-    found = pd.DataFrame(out, columns=["row", "start", "length", "ids_crc32", "sequence_id", "offset"])
-    of = found.pop("row").to_numpy()
-    found.insert(0, "doc_id", rows["doc_id"].to_numpy()[of])
-    found["doc_tokens"] = rows["tokens"].to_numpy()[of]
-    return found
+    return pd.DataFrame(out, columns=["_row", "start", "length", "sequence_id", "offset"])
 
 
-def pack(
-    docs: DataFrame, *, tokenizer: str, window: int = WINDOW, bin_tokens: int = BIN_TOKENS,
-    min_piece: int = MIN_PIECE, weights: dict[str, float] | None = None, seed: int = 17,
-) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece.
+def plan(rows: DataFrame, *, window: int, bin_tokens: int, min_piece: int, weights: dict[str, float] | None, seed: int) -> DataFrame:
+    """Pieces (_row, start, length, sequence_id, offset) of documents (_row, doc_id, source, tokens).
 
-    ``weights`` gives sources (by name) other target shares than their shares of all tokens; as all
-    tokens are packed, such windows hold what is left once a source has run out.
+    Only counts travel here; the ids stay where they are.
     """
-    rows = written(
-        tokenised(docs, tokenizer).withColumns(
-            {"_row": F.monotonically_increasing_id(), "_source": group_key(F.col("source"))}
-        ),
-        "tokens",
-    )
-    total = rows.agg(F.sum("tokens")).first()[0]
-    bins = max(1, -(-(total or 0) // bin_tokens))
+    total = rows.agg(F.sum("tokens")).first()[0] or 0
+    bins = max(1, -(-total // bin_tokens))
     # order within a source: a hash of the id, so neighbours in the input part
-    keyed = rows.select("_row", "_source", "tokens", F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)).alias("_draw"))
+    keyed = rows.select(
+        "_row", "tokens", group_key(F.col("source")).alias("_source"),
+        F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)).alias("_draw"),
+    )
     placed = prefix_sums(keyed, "_source", ["_draw", "_row"], {"tokens": "t"})
     bin_ = F.least(F.floor(F.col("t_before") * bins / F.col("t_total")), F.lit(bins - 1)).cast("int")
     placed = written(
         placed.select("_row", "_source", "tokens", F.col("t_before").alias("_at"), F.col("t_total").alias("_all"), bin_.alias("_bin")),
         "places",
     )
-    shares = credits(placed, total or 1, weights)
-    dealt = placed.select("_row", "_at", "_bin").join(rows.select("_row", "doc_id", "_source", "ids", "tokens"), "_row")
-    dealt = dealt.drop("_row").join(shares, ["_source", "_bin"])
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    dealt = placed.drop("_all").join(credits(placed, total or 1, weights), ["_source", "_bin"])
     return dealt.groupBy("_bin").applyInPandas(
         lambda part: pack_bin(part, window, min_piece),
-        f"doc_id {id_type}, start long, length long, ids_crc32 long, sequence_id long, offset long, doc_tokens long",
+        "_row long, start long, length long, sequence_id long, offset long",
+    )
+
+
+def pack(
+    docs: DataFrame, *, tokenizer: str, window: int = WINDOW, bin_tokens: int = BIN_TOKENS,
+    min_piece: int = MIN_PIECE, weights: dict[str, float] | None = None, seed: int = 17,
+) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids of every piece.
+
+    ``ids`` holds two little-endian bytes per id. ``weights`` gives sources (by name) other target
+    shares than their shares of all tokens; as all tokens are packed, such windows hold what is left
+    once a source has run out. The ids are shuffled once, to meet the pieces of their document.
+    """
+    rows = written(tokenised(docs, tokenizer).withColumn("_row", F.monotonically_increasing_id()), "tokens")
+    pieces = plan(
+        rows.select("_row", "doc_id", "source", "tokens"),
+        window=window, bin_tokens=bin_tokens, min_piece=min_piece, weights=weights, seed=seed,
+    )
+    of_row = pieces.groupBy("_row").agg(
+        F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces")
+    )
+    joined = rows.select("_row", "doc_id", "tokens", "ids").join(of_row, "_row").drop("_row")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return joined.mapInArrow(
+        cut,
+        f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
+        "offset long, ids binary",
+    )
+
+
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of each document with their ids and checksums."""
+    for batch in batches:
+        lists = batch["pieces"]
+        part = lists.flatten()
+        of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        start, length = (part.field(k).to_numpy(zero_copy_only=False) for k in ("start", "length"))
+        ids, sums, now, wide = [], [], -1, b""
+        for row, a, n in zip(of.tolist(), start.tolist(), length.tolist(), strict=True):
+            if row != now:
+                now, own = row, batch["ids"][row].as_py()
+                wide = np.frombuffer(own, "<u2").astype("<u4").tobytes()
+            ids.append(own[2 * a : 2 * (a + n)])
+            sums.append(zlib.crc32(wide[4 * a : 4 * (a + n)]))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch["doc_id"].take(pa.array(of)), pa.array(start), pa.array(length), pa.array(sums, pa.int64()),
+                batch["tokens"].take(pa.array(of)), part.field("sequence_id"), part.field("offset"), pa.array(ids, pa.binary()),
+            ],
+            ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
+        )
+
+
+def sequences(pieces: DataFrame) -> DataFrame:
+    """sequence_id, length and ids (two little-endian bytes each) of every sequence, unpadded."""
+    return (
+        pieces.groupBy("sequence_id")
+        .agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"), F.sum("length").alias("length"))
+        .select("sequence_id", "length", F.aggregate("parts", F.lit(b""), lambda done, x: F.concat(done, x["ids"])).alias("ids"))
     )
 
 
