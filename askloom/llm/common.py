@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from askloom.session import ensure_checkpoint_dir
+from askloom.session import drop_path, scratch_path
 
 #: A word of the contracts: a run of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,18 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``)."""
-    return f"{ensure_checkpoint_dir(spark)}/askloom-{label}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Later stages start from the files, so a lost executor costs no recomputation beyond its own
     tasks, and joins between written tables leave Spark free to split skewed partitions.
     """
-    path = shared_path(df.sparkSession, label)
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -36,12 +29,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
             if "/askloom-" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+                drop_path(df.sparkSession, folder)
 
 
 def word_count(text: Column) -> Column:
