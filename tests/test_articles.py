@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from askloom.functions import udfs
 from askloom.operators import articles as A
 
 ROW = "query_id int, position int, doc_id int, embedding array<double>"
@@ -75,3 +77,19 @@ def test_relevance(value):
     assert value(A.relevance(v(0, 0), v(1, 0), v(0, 1))) == 0.0
     none = F.lit(None).cast("array<double>")
     assert value(A.relevance(v(1, 0), v(1, 0), none)) == pytest.approx(1.0)
+
+
+def test_funnel_drops_repeated_titles_and_keeps_articles_without_vectors(spark):
+    body = " ".join(["plain words of an article that is long enough to be read"] * 20)
+    rows = [
+        (1, 0, 10, "Same title here", body, "u0", "en", "2024-01-30"), (1, 1, 11, "same TITLE here", body + " more", "u1", "en", "2024-01-30"),
+        (1, 2, 12, "Another subject", body, "u2", "en", "2024-01-29"), (1, 3, 13, "", body, "u3", "en", "2024-01-29"),
+        (1, 4, 14, "Fremd", body, "u4", "de", "2024-01-29"), (1, 5, 15, "Too short", "few words", "u5", "en", "2024-01-29"),
+    ]
+    articles = spark.createDataFrame(rows, "query_id int, position int, doc_id int, title string, content string, url string, lang string, publishedAt string")
+    vector = udfs.hashed_vectors(pd.Series([body]), 64)[0].tolist()
+    queries = spark.createDataFrame([(1, vector, vector)], "query_id int, query_vector array<double>, centroid array<double>")
+    kept, stats = A.run_funnel(articles, queries, F.lit("2024-01-31T00:00:00Z").cast("timestamp"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [10, 12]
+    row = stats.first()
+    assert (row["fetched"], row["after_language"], row["after_length"], row["after_relevance"], row["after_dedup"], row["after_recency"]) == (6, 5, 4, 4, 2, 2)

