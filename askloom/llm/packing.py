@@ -42,7 +42,8 @@ MIN_PIECE = 256
 #: The id that ends a document.
 END = 1
 END_BYTES = END.to_bytes(2, "little")
-CACHE_WORDS = 200_000
+KEPT_WORDS = 300_000
+NEW_WORDS = 150_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -55,8 +56,9 @@ def byte_letters() -> dict[int, str]:
 class WordIds:
     """Ids of texts, word by word: this tokenizer never joins anything across white space.
 
-    The ids of words seen lately are kept, in two generations of at most ``CACHE_WORDS`` words, which
-    costs far less than encoding whole texts. A new word of letters only is given to the
+    The ids of words that came up twice are kept, up to ``KEPT_WORDS`` of them; words seen once wait
+    for their second time among at most ``NEW_WORDS``. That costs far less than encoding whole texts,
+    and rare words push no frequent ones out. A new word of letters only is given to the
     tokenizer's model as it is, because normalising and splitting change nothing but its case; a full
     stop or comma behind an ASCII letter or digit is a token of its own. All other words go
     through the whole tokenizer.
@@ -71,38 +73,50 @@ class WordIds:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.marks = {mark: self.whole(mark.decode()) for mark in (b".", b",")}
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.kept: dict[bytes, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, word: bytes) -> bytes:
-        if word[-1:] in self.marks and word[-2:-1].isalnum() and b"<|" not in word:
-            return self.find(word[:-1]) + self.marks[word[-1:]]
-        text = word.decode("utf-8", "replace")
-        if text.isalpha() and "Σ" not in text and (text.isascii() or is_normalized("NFC", text)):
-            low = text.lower()
-            if low.isalpha():
-                form = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
-                return array("H", [t.id for t in self.model.tokenize(form)]).tobytes()
-        return self.whole(text)
+        if word.isalpha():  # ASCII letters
+            form = word.decode()
+        else:
+            form = word.decode("utf-8", "replace")
+            if not form.isalpha() or "Σ" in form or not is_normalized("NFC", form):
+                return self.whole(form)
+            form = form.lower()
+            if not form.isalpha():
+                return self.whole(word.decode("utf-8", "replace"))
+            form = form.encode().decode("latin-1").translate(self.letters)
+        return array("H", [t.id for t in self.model.tokenize(form)]).tobytes()
 
     def find(self, word: bytes) -> bytes:
-        ids = self.young.get(word)
+        """Ids of a word that is not kept yet."""
+        ids = self.new.pop(word, None)
+        if ids is not None:
+            self.kept[word] = ids
+            return ids
+        stem, mark = word, b""
+        if b"<|" not in word:  # special tokens match as they are
+            if word[-1:] in self.marks and word[-2:-1].isalnum():
+                stem, mark = word[:-1], self.marks[word[-1:]]
+            stem = stem.lower()
+        ids = self.kept.get(stem) if stem != word else None
         if ids is None:
-            ids = self.old.get(word)
-            if ids is None:
-                ids = self.encode(word)
-            self.young[word] = ids
+            ids = self.encode(stem)
+        self.new[word] = ids = ids + mark
         return ids
 
     def text(self, text: bytes) -> bytes:
         """Ids of a text with the end id, two bytes each."""
-        if len(self.young) > CACHE_WORDS:
-            self.young, self.old = {}, self.young
+        if len(self.new) > NEW_WORDS:
+            self.new = {}
+        if len(self.kept) > KEPT_WORDS:
+            self.kept, self.new = {}, self.kept
         words = text.split()
-        parts = list(map(self.young.get, words))
+        parts = list(map(self.kept.get, words))
         if None in parts:
             find = self.find
             parts = [find(w) if p is None else p for w, p in zip(words, parts, strict=True)]

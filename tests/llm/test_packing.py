@@ -33,7 +33,8 @@ def test_word_ids_equal_whole_text_ids(text):
 
 
 def test_word_ids_after_the_cache_turned(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    monkeypatch.setattr(packing, "KEPT_WORDS", 3)
+    monkeypatch.setattr(packing, "NEW_WORDS", 2)
     words = packing.WordIds(tokenizer_path())
     texts = ["One two. three", "two One, four five", "five. six", "", "One two. three"]
     got = [np.frombuffer(words.text(t.encode()), "<u2").tolist() for t in texts]
