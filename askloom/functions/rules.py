@@ -2,10 +2,9 @@
 
 # Fixed values. Words ignored by lexical matching (35 entries).
 QUERY_STOPWORDS = (
-    "a", "an", "and", "are", "as", "at", "be", "by", "can", "could", "do", "for",
-    "from", "how", "in", "is", "it", "its", "of", "on", "or", "should", "that",
-    "the", "their", "this", "to", "what", "when", "where", "which", "who", "why",
-    "with", "would",
+    "a", "an", "and", "are", "as", "at", "be", "by", "do", "for", "from", "how", "in",
+    "is", "it", "its", "of", "on", "or", "that", "the", "their", "this", "to", "what",
+    "when", "where", "which", "who", "why", "with", "would", "should", "could", "can",
 )
 
 # Fixed values. The answer side keeps "do" and "their" as terms.
@@ -52,7 +51,7 @@ CORRECTIVE_SUFFIXES = (
 # Fixed values. Texts that never count as a query variant.
 PLACEHOLDERS = ("...", "..", ".", "n/a", "none", "null", "unknown")
 
-# Fixed values. Section headings, tried in this order. A part is (heading words, number, rest).
+# Fixed values. Section headings, tried in this order.
 SECTION_HEADINGS = (
     r"(?:Chapter|CHAPTER)\s+[IVX\d]+[.:\s\-]+([^\n]+)",
     r"(?:Part|PART)\s+[A-Z\d]+[.:\s\-]+([^\n]+)",
@@ -125,10 +124,7 @@ DEFAULT_SUMMARY = "Initial brand strategy analysis generated for this decision s
 DEFAULT_QUESTION = "Original brand decision question was not captured."
 DEFAULT_FOLLOW_UP = "Updated recommendation generated for this follow-up question."
 
-# Fixed values. File types a corpus folder may hold.
-SUPPORTED_EXTENSIONS = (".pdf", ".txt", ".md", ".docx", ".doc")
-
-# Fixed values. Frequent words that tell four languages apart.
+# Frequent words that tell four languages apart.
 LANGUAGE_WORDS = {
     "de": ("der", "die", "und", "das", "den", "von", "zu", "mit", "ist", "ein", "nicht", "auf"),
     "en": ("the", "of", "and", "to", "is", "that", "it", "for", "was", "with", "as", "this"),
