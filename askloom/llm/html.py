@@ -2,12 +2,13 @@
 
 A page becomes a light element tree. Parts that are never article text (menus, page headers and
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden parts) are cut
-off by tag, role, class and id. Each text block then earns points for its length and its commas and
-passes them to its ancestors, the nearer the more; a container's sum is discounted by the share
-of its text that is in links. The best container, widened to the article or main element around it,
+off by tag, role, class and id, unless an element holds the page's article or most of its unlinked
+text, as layout wrappers do, or is a form of text rather than of controls. Each text block then earns
+points for its length and its commas and passes them to its ancestors, the nearer the more; a
+container's sum is discounted by the share of its text that is in links. The best container, widened to the article or main element around it,
 is kept with those siblings that score a fair share of its points or read as running text.
 
-Defined results: a null page is empty; a page without text outside the cut parts gives ''. If no
+Defined results: a null page is empty; a page of nothing but menus, footers and the like gives ''. If no
 block earns points, everything that was not cut off is the text. Markup that is cut off in the middle
 ends the page. Character references are decoded after the markup is read; every run of white space,
 no-break spaces included, becomes one space; blocks are joined in page order by one space. Nesting
@@ -17,6 +18,7 @@ of any depth is read without recursion. Other columns are not read.
 from __future__ import annotations
 
 import re
+from heapq import heapify, heappop, heappush
 from html import unescape
 
 import pandas as pd
@@ -43,6 +45,9 @@ BLOCK = frozenset(
 CUT_TAGS = frozenset(
     "head nav footer aside form button select dialog menu object audio video canvas map datalist".split()
 )
+#: Cut off whatever they hold.
+NEVER_TEXT = frozenset("button select dialog object audio video canvas map datalist".split())
+NEVER_ROLES = frozenset("dialog alertdialog alert".split())
 CUT_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split()
 )
@@ -53,6 +58,15 @@ CUT_WORDS = frozenset(
     "related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription "
     "toolbar topbar widget".split()
 )
+#: What a class or id may say besides a cut word and still name such a part.
+AFFIXES = frozenset(
+    "area bar block blocks bottom box btn button buttons col column container desktop external fixed floating form "
+    "global group icons id inner item items left link links list main mobile module outer panel primary region right "
+    "secondary section site slot sticky text title top unit wrap wrapper".split()
+)
+ARTICLE_WORDS = frozenset("article articles content entry page post posts story".split())
+#: Beside an article word these name a part of the article or the layout around it.
+LAYOUT_WORDS = frozenset("banner header masthead navbar overlay promo promotion sidebar social topbar widget".split())
 #: Never cut off by class or id.
 SAFE = frozenset("html body main article h1 h2 h3 h4 h5 h6 p".split())
 CLOSES = {
@@ -70,43 +84,68 @@ P_SCOPE = frozenset("table td th caption button object html".split())
 #: Ancestors that a block passes points to, and the share each gets.
 SHARES = (1.0, 0.5, 1 / 3, 0.25, 0.2)
 LEAST_LENGTH = 25
+#: Characters of text for each control that make a form a container.
+FORM_TEXT = 100
+#: Why an element is cut off: whatever it holds; by its tag or role; by its class or id; as a form.
+NEVER, PART, NAMED, FORM = 1, 2, 3, 4
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "cut", "points", "length", "linked", "links")
+    __slots__ = (
+        "tag", "parent", "kids", "why", "cut", "own", "commas", "controls", "points", "length", "linked", "links"
+    )
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool) -> None:
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag: str, parent: Node | None, why: int) -> None:
+        self.tag, self.parent, self.why, self.cut = tag, parent, why, False
         self.kids: list[Node | str] = []
+        self.own, self.commas, self.controls = 0, 0, 0
         self.points, self.length, self.linked, self.links = 0.0, 0, 0, 0
 
 
-def cut_off(tag: str, attrs: str, in_article: bool) -> bool:
+def names_part(value: str) -> bool:
+    """Whether a token of a class or id names a part that is cut off, and nothing else."""
+    for token in value.split():
+        said = {w for w in re.split(r"[^a-z]+", token) if len(w) > 1}
+        cut = said & CUT_WORDS
+        if cut and said <= CUT_WORDS | AFFIXES | ARTICLE_WORDS and (said.isdisjoint(ARTICLE_WORDS) or not cut <= LAYOUT_WORDS):
+            return True
+    return False
+
+
+def cut_off(tag: str, attrs: str, in_article: bool) -> int:
+    """Why an element is cut off, 0 if it is not."""
+    if tag in NEVER_TEXT:
+        return NEVER
+    why = 0
     if tag in CUT_TAGS or (tag == "header" and not in_article):
-        return True
+        why = FORM if tag == "form" else NAMED if tag == "head" else PART
     if not attrs or attrs.isspace():
-        return False
+        return why
     for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            if tag not in SAFE and not CUT_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-                return True
+            if tag == "header" and not ARTICLE_WORDS.isdisjoint(re.split(r"[^a-z]+", value)) and why == PART:
+                why = 0  # the article's own header
+            if tag not in SAFE and why in (0, FORM) and names_part(value):
+                why = NAMED
         elif name == "role":
-            if value in CUT_ROLES:
-                return True
+            if value in NEVER_ROLES:
+                return NEVER
+            if value in CUT_ROLES and not (tag == "form" and value == "form"):
+                why = PART
         elif name == "hidden" and tag not in ("html", "body"):
-            return True
+            return NEVER
         elif name == "aria-hidden":
             if value == "true":
-                return True
+                return NEVER
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return NEVER
+    return why
 
 
 def tree(page: str) -> list[Node]:
     """All elements in page order, the root first."""
-    root = Node("html", None, False)
+    root = Node("html", None, 0)
     nodes, stack, open_tags = [root], [root], {"html": 1}
 
     def pop_to(index: int) -> None:
@@ -149,13 +188,16 @@ def tree(page: str) -> list[Node]:
             if not found["attrs"].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
+                stack[-1].controls += tag == "textarea"
             continue
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag in BLOCK and tag != "br" and open_tags.get("p"):
             close({"p"}, P_SCOPE)
         parent = stack[-1]
-        node = Node(tag, parent, parent.cut or cut_off(tag, found["attrs"], bool(open_tags.get("article"))))
+        node = Node(tag, parent, cut_off(tag, found["attrs"], bool(open_tags.get("article") or open_tags.get("main"))))
+        if tag in ("button", "select") or (tag == "input" and "hidden" not in found["attrs"].lower()):
+            node.controls = 1
         parent.kids.append(node)
         nodes.append(node)
         if tag not in VOID:
@@ -163,9 +205,71 @@ def tree(page: str) -> list[Node]:
             open_tags[tag] = open_tags.get(tag, 0) + 1
     if at < len(page):
         stack[-1].kids.append(page[at:])
+    settle(nodes)
     return nodes
 
 
+def settle(nodes: list[Node]) -> None:
+    """Mark what is cut off, and bring back the parts that hold the article."""
+    place = {id(n): k for k, n in enumerate(nodes)}
+    up = [0] + [place[id(n.parent)] for n in nodes[1:]]
+    size = len(nodes)
+    never, inside = [False] * size, [-1] * size  # the next part around an element that is cut off
+    parts: dict[int, list[int]] = {}
+    for k, node in enumerate(nodes):
+        if k:
+            above = up[k]
+            never[k] = never[above] or node.why == NEVER
+            inside[k] = above if nodes[above].why else inside[above]
+        if node.why and not never[k]:
+            parts.setdefault(inside[k], []).append(k)
+        if not never[k]:
+            own = " ".join(unescape("".join(x for x in node.kids if isinstance(x, str))).split())
+            node.own, node.commas = len(own), own.count(",") + own.count("，") + own.count("、")
+    # unlinked text; the most in one article or main; whether there is a main: of all, and of what is not cut off
+    text, seen = [n.own for n in nodes], [n.own for n in nodes]
+    most, shown = [0] * size, [0] * size
+    main, main_shown, controls = [False] * size, [False] * size, [n.controls for n in nodes]
+    for k in range(size - 1, -1, -1):
+        node, above = nodes[k], up[k]
+        if never[k]:
+            text[k] = seen[k] = most[k] = shown[k] = 0
+            main[k] = main_shown[k] = False
+        elif node.tag == "a":
+            text[k] = seen[k] = 0
+        elif node.tag in ("article", "main"):
+            most[k], shown[k] = max(most[k], text[k]), max(shown[k], seen[k])
+            main[k] = main[k] or node.tag == "main"
+            main_shown[k] = main_shown[k] or node.tag == "main"
+        if k:
+            controls[above] += controls[k]
+            text[above] += text[k]
+            most[above] = max(most[above], most[k])
+            main[above] = main[above] or main[k]
+            if not node.why:
+                seen[above] += seen[k]
+                shown[above] = max(shown[above], shown[k])
+                main_shown[above] = main_shown[above] or main_shown[k]
+    all_text, rest, best, has_main = text[0], seen[0], shown[0], main_shown[0]
+    todo = [(-text[k], k) for k in parts.get(-1, ())]
+    heapify(todo)
+    while todo:
+        _, k = heappop(todo)
+        why = nodes[k].why
+        if (
+            (main[k] and not has_main)
+            or (most[k] > best and 2 * most[k] > rest)
+            or (why in (NAMED, FORM) and not best and 2 * text[k] > all_text and 4 * rest < all_text)
+            or (why == FORM and text[k] > FORM_TEXT * (controls[k] + 1))
+        ):
+            nodes[k].why = 0
+            rest, best, has_main = rest + seen[k], max(best, shown[k]), has_main or main_shown[k]
+            for below in parts.get(k, ()):
+                heappush(todo, (-text[below], below))
+    for node in nodes:
+        node.cut = node.why > 0 or (node.parent is not None and node.parent.cut)
+
+
 def blocks(top: Node, skip: set[int] = frozenset()) -> list[str]:
     """Texts of the blocks below ``top`` in page order."""
     out: list[str] = []
@@ -203,15 +307,13 @@ def measure(nodes: list[Node]) -> None:
     for node in reversed(nodes):
         if node.cut:
             continue
-        own = " ".join(unescape("".join(k for k in node.kids if isinstance(k, str))).split())
         inline = [k for k in node.kids if isinstance(k, Node) and k.tag not in BLOCK]
-        node.length += len(own)
+        node.length += node.own
         if node.tag == "a":
             node.linked, node.links = node.length, 1
-        if node.tag in BLOCK and (own or inline):
-            run = len(own) + sum(k.length for k in inline)
-            commas = own.count(",") + own.count("，") + own.count("、")
-            points = commas + min(run / 100, 3) + (run >= LEAST_LENGTH) if run else 0
+        if node.tag in BLOCK and (node.own or inline):
+            run = node.own + sum(k.length for k in inline)
+            points = node.commas + min(run / 100, 3) + (run >= LEAST_LENGTH) if run else 0
             points *= 1 - min(density(node), 1.0)
             above = node if node.tag not in ("p", "pre", "li", "td", "blockquote") and node.parent is None else node.parent
             above = above or node
@@ -229,7 +331,7 @@ def measure(nodes: list[Node]) -> None:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    nodes = [n for n in tree(page)]
+    nodes = tree(page)
     measure(nodes)
     # menus inside the article: lists of nothing but links
     skip = {id(n) for n in nodes if n.tag in ("ul", "ol") and not n.cut and n.links >= 3 and n.linked == n.length}

@@ -73,3 +73,41 @@ def test_nulls_repeats_clashes_and_empty_tables(spark):
     got = html.page_texts(spark.createDataFrame(rows, schema)).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, None, "", 0), (None, "u", "a", 1), (2, "u", "é", 1), (2, "u", "é", 1)], key=str)
     assert html.page_texts(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-sidebar", "with-banner", "social-science", "sidebar", "left-sidebar"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_wrappers_of_the_article_are_not_cut(name, tag):
+    chrome = "<nav><a href=1>one</a></nav>", "<div class=sidebar>Other things</div><footer>foot</footer>"
+    body = f"<{tag}><h1>Title</h1><p>{PARA * 4}</p></{tag}>"
+    page = f"{chrome[0]}<div class='{name}'>{body}{chrome[1]}</div>"
+    assert html.main_text(page) == " ".join(("Title " + PARA * 4).split())
+    assert html.main_text(f"<div id=page class='{name}'>{page}</div>") == html.main_text(page)
+
+
+@pytest.mark.parametrize("header", ["<div class='article-header'>", "<header class='entry-header'>", "<header class='post-header'>"])
+def test_header_of_the_article_is_not_cut(header):
+    end = "</div>" if header.startswith("<div") else "</header>"
+    body = f"{header}<h1>Title</h1>{end}<p>{PARA * 3}</p>"
+    for page in (f"<article>{body}</article>", f"<main>{body}</main>", f"<header>site</header><article>{body}</article>"):
+        assert html.main_text(page) == " ".join(("Title " + PARA * 3).split())
+
+
+def test_forms_are_cut_for_their_controls_only():
+    controls = "<input name=a><select><option>b</option></select><textarea>c</textarea><button>go</button>"
+    text = f"<p>{PARA * 4}</p>"
+    want = " ".join((PARA * 4).split())
+    assert html.main_text(f"<form id='aspnetForm'><input type=hidden name=x><nav>menu</nav><div>{text}</div></form>") == want
+    assert html.main_text(f"<form><div>{text}</div>{controls}</form>") == want
+    assert html.main_text(f"<div>{text}</div><form><p>Write to us, we answer.</p>{controls}</form>") == want
+    assert html.main_text(f"<form><article>{text}</article><div class=comments>{PARA * 9}</div></form>") == want
+
+
+def test_parts_with_text_of_their_own_stay_cut():
+    text, want = f"<p>{PARA * 4}</p>", " ".join((PARA * 4).split())
+    for part in ("<div class='related-posts'>{}</div>", "<div id=comments><article>{}</article></div>", "<div class='site-footer'>{}</div>",
+                 "<aside>{}</aside>", "<div class='widget sidebar-2'>{}</div>", "<div class='post-comments'>{}</div>", "<div hidden>{}</div>"):
+        assert html.main_text(f"<article>{text}</article>{part.format(f'<p>{PARA * 3}</p>')}") == want
+    assert html.main_text("<nav>menu</nav><footer>foot</footer>") == ""
+    deep = "<div class=sidebar>" * 20_000 + text + "</div>" * 20_000
+    assert html.main_text(deep) == want
