@@ -5,8 +5,9 @@ footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, hi
 off by tag, role, class and id, unless an element holds the page's article or most of its unlinked
 text, as layout wrappers do, or is a form of text rather than of controls. Each text block then earns
 points for its length and its commas and passes them to its ancestors, the nearer the more; a
-container's sum is discounted by the share of its text that is in links. The best container, widened to the article or main element around it,
-is kept with those siblings that score a fair share of its points or read as running text.
+container's sum is discounted by the share of its text that is in links. The best container is widened to the article or main element around it.
+Without one it is widened for as long as the unlinked text of its parent is mostly sentences, headings,
+lists and tables; beside it everything is kept that is not mostly links.
 
 Defined results: a null page is empty; a page of nothing but menus, footers and the like gives ''. If no
 block earns points, everything that was not cut off is the text. Markup that is cut off in the middle
@@ -18,6 +19,7 @@ of any depth is read without recursion. Other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import deque
 from heapq import heapify, heappop, heappush
 from html import unescape
 
@@ -81,9 +83,14 @@ CLOSES = {
 }
 #: An open paragraph is not looked for beyond these.
 P_SCOPE = frozenset("table td th caption button object html".split())
+#: Blocks that are text of an article whatever their length.
+TEXT_TAGS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption summary".split())
+#: Kept beside the best container, if they are not mostly links.
+BESIDE = TEXT_TAGS | frozenset("ul ol dl table figure address details hgroup header".split())
 #: Ancestors that a block passes points to, and the share each gets.
 SHARES = (1.0, 0.5, 1 / 3, 0.25, 0.2)
 LEAST_LENGTH = 25
+MOSTLY_LINKS = 0.5
 #: Characters of text for each control that make a form a container.
 FORM_TEXT = 100
 #: Why an element is cut off: whatever it holds; by its tag or role; by its class or id; as a form.
@@ -92,14 +99,15 @@ NEVER, PART, NAMED, FORM = 1, 2, 3, 4
 
 class Node:
     __slots__ = (
-        "tag", "parent", "kids", "why", "cut", "own", "commas", "controls", "points", "length", "linked", "links"
+        "tag", "parent", "kids", "why", "cut", "own", "commas", "controls", "points", "length", "linked", "links",
+        "reads",
     )
 
     def __init__(self, tag: str, parent: Node | None, why: int) -> None:
         self.tag, self.parent, self.why, self.cut = tag, parent, why, False
         self.kids: list[Node | str] = []
         self.own, self.commas, self.controls = 0, 0, 0
-        self.points, self.length, self.linked, self.links = 0.0, 0, 0, 0
+        self.points, self.length, self.linked, self.links, self.reads = 0.0, 0, 0, 0, 0
 
 
 def names_part(value: str) -> bool:
@@ -315,6 +323,8 @@ def measure(nodes: list[Node]) -> None:
             run = node.own + sum(k.length for k in inline)
             points = node.commas + min(run / 100, 3) + (run >= LEAST_LENGTH) if run else 0
             points *= 1 - min(density(node), 1.0)
+            if density(node) < MOSTLY_LINKS and (run >= LEAST_LENGTH or node.tag in TEXT_TAGS):
+                node.reads += max(run - sum(k.linked for k in inline), 0)
             above = node if node.tag not in ("p", "pre", "li", "td", "blockquote") and node.parent is None else node.parent
             above = above or node
             for share in SHARES:
@@ -326,6 +336,7 @@ def measure(nodes: list[Node]) -> None:
             node.parent.length += node.length
             node.parent.linked += node.linked
             node.parent.links += node.links
+            node.parent.reads += node.reads
 
 
 def main_text(page: str | None) -> str:
@@ -346,16 +357,54 @@ def main_text(page: str | None) -> str:
         best = around
     if best.parent is None:
         return " ".join(blocks(best, skip))
-    least, kept = 0.2 * score(best), []
-    for near in best.parent.kids:
-        if not isinstance(near, Node) or near.cut:
-            continue
-        reads = near.tag in ("p", "pre", "blockquote", "h1", "h2", "h3") and near.length > 80 and density(near) < 0.25
-        if near is best or score(near) >= max(least, 1e-9) or reads:
-            kept += blocks(near, skip)
+    least, kept, inner = 0.2 * score(best), deque(blocks(best, skip)), best
+    tagged = best.tag in ("article", "main")
+    while inner.parent is not None:
+        outer = inner.parent
+        # whether the parent's unlinked text, but for the part reached so far, mostly reads like an article
+        article = 2 * (inner.length - inner.linked + outer.reads - inner.reads) >= outer.length - outer.linked
+        at = outer.kids.index(inner)
+        for before, kids in ((True, outer.kids[:at]), (False, outer.kids[at + 1 :])):
+            texts: list[str] = []
+            for part in runs(kids):
+                scores = inner is best and score(part) >= max(least, 1e-9)
+                long = part.tag in ("p", "pre", "blockquote", "h1", "h2", "h3") and part.length > 80 and density(part) < 0.25
+                if not part.cut and (scores or long or (not tagged and (article or stands_beside(part)) and density(part) < MOSTLY_LINKS)):
+                    texts += blocks(part, skip)
+            if before:
+                kept.extendleft(reversed(texts))
+            else:
+                kept.extend(texts)
+        if tagged or not article:
+            break
+        inner = outer
     return " ".join(kept)
 
 
+def stands_beside(part: Node) -> bool:
+    """Text, a heading, list or table, or an element that mostly holds such."""
+    return part.tag in BESIDE or part.tag == "" or 0 < part.length - part.linked <= 2 * part.reads
+
+
+def runs(kids: list[Node | str]) -> list[Node]:
+    """Block elements as they are, and each run of text and inline elements as one element."""
+    out: list[Node] = []
+    for kid in kids:
+        if isinstance(kid, Node) and kid.tag in BLOCK:
+            out.append(kid)
+            continue
+        if not out or out[-1].tag != "":
+            out.append(Node("", None, 0))
+        out[-1].kids.append(kid)
+        if isinstance(kid, Node):
+            if not kid.cut:
+                out[-1].length += kid.length
+                out[-1].linked += kid.linked
+        else:
+            out[-1].length += len(" ".join(unescape(kid).split()))
+    return out
+
+
 def extract(html: Column) -> Column:
     @F.pandas_udf("string")
     def texts(pages: pd.Series) -> pd.Series:

@@ -111,3 +111,34 @@ def test_parts_with_text_of_their_own_stay_cut():
     assert html.main_text("<nav>menu</nav><footer>foot</footer>") == ""
     deep = "<div class=sidebar>" * 20_000 + text + "</div>" * 20_000
     assert html.main_text(deep) == want
+
+
+def test_sections_without_an_article_tag_are_all_kept():
+    body = "".join(f"<section><h2>Part {k}</h2><p>{PARA * (1 + 20 * (k == 1))}</p></section>" for k in range(3))
+    text = html.main_text(f"<body><aside>{PARA}</aside><div>{body}</div></body>")
+    assert text.startswith("Part 0") and "Part 2" in text and text.count("A sentence") == 23
+
+
+def test_all_that_stands_beside_the_body_is_kept():
+    links = "<div><a href=1>more of this site</a>, <a href=2>and of that one</a></div>"
+    page = (
+        f"<div id=top><a href=1>one</a> <a href=2>two</a></div><div><h1>Title</h1>Bare lead, <b>bold</b>."
+        f"<div><p>{PARA * 5}</p></div>between<ul><li>First</li><li>Second</li></ul><table><tr><td>a<td>b</table>"
+        f"<figure><figcaption>Figure 1</figcaption></figure>{links}<p>The end.</p><a href=3>next page</a></div>"
+    )
+    want = f"Title Bare lead, bold. {PARA * 5}between First Second a b Figure 1 The end."
+    assert html.main_text(page) == " ".join(want.split())
+    assert html.main_text(page.replace("<p>The end.</p>", "<p>See <a href=4>there</a> again.</p>")) == " ".join(
+        want.replace("The end.", "See there again.").split()
+    )
+
+
+def test_chrome_without_sentences_stays_outside():
+    items = "".join(f"<div><span>Item {k}</span></div>" for k in range(100))
+    page = f"<div>{items}</div><div><h1>Title</h1><div><p>{PARA * 3}</p></div></div>"
+    assert html.main_text(page) == " ".join(("Title " + PARA * 3).split())
+
+
+def test_siblings_of_an_article_tag_are_chosen_as_before():
+    page = f"<article><p>{PARA * 3}</p></article><article><p>{PARA * 2}</p></article><div>short</div><p>short</p>"
+    assert html.main_text(page) == " ".join((PARA * 5).split())
