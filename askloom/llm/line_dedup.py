@@ -1,15 +1,15 @@
 """Removal of repeated three-line windows, in DataFrame functions only.
 
 Every run of ``size`` consecutive lines is hashed. A window that occurs more than once in the
-corpus keeps its first occurrence, by (doc_id, position); the lines covered by any later occurrence
+corpus keeps its first occurrence, by (doc_id, row, position); the lines covered by any later occurrence
 go. Overlapping windows merge by taking the union of the covered positions.
 
 Defined results: lines are split at ``\\n`` and compared exactly, blank lines included, but a window
 needs at least ``min_words`` words, so runs of blank lines are no windows. A null text counts as
 empty and comes back as ''. Texts with fewer than ``size`` lines have no window and stay whole. Rows
-that share an id and text are one occurrence apart from each other only by their row, so ids should
-be unique: of rows with equal ids, the occurrences at the first position all stay. A null id comes
-last. Other columns are not read.
+are numbered once, in a written table, and every row is a document of its own, whatever its id: ids only
+order the occurrences. A null id comes last; of rows with equal or null ids the one with the lower
+number comes first, in the order of the input's partitions. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from askloom.llm.common import WORD, written
 
 
 def windows(docs: DataFrame, size: int, min_words: int) -> DataFrame:
-    """(hash, doc_id, pos) of every window; 128 bits of MD5 stand for the window's lines."""
-    lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    """(hash, doc_id, _row, pos) of every window; 128 bits of MD5 stand for the window's lines."""
+    lines = docs.select("doc_id", "_row", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
     runs = lines.where(F.size("lines") >= size).select(
         "doc_id",
+        "_row",
         F.posexplode(
             F.transform(
                 F.sequence(F.lit(1), F.size("lines") - F.lit(size - 1)),
@@ -33,22 +34,23 @@ def windows(docs: DataFrame, size: int, min_words: int) -> DataFrame:
         ).alias("pos", "run"),
     )
     return runs.where(F.regexp_count("run", F.lit(WORD)) >= min_words).select(
-        F.unhex(F.md5("run")).alias("hash"), "doc_id", "pos"
+        F.unhex(F.md5("run")).alias("hash"), "doc_id", "_row", "pos"
     )
 
 
 def remove_repeated(docs: DataFrame, *, size: int = 3, min_words: int = 3) -> DataFrame:
     """doc_id, n_lines, n_removed and the text without later occurrences of repeated windows."""
-    found = written(windows(docs.select("doc_id", "text"), size, min_words), "windows")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos")
+    rows = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")), "rows")
+    found = written(windows(rows, size, min_words), "windows")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row", "pos")
     # counted before the join, so that windows that occur once travel no further
     repeated = written(
         found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"),
         "repeated",
     ).drop("n")
     later = found.join(repeated, "hash").where(place > F.col("first"))
-    covered = later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
-    lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    covered = later.groupBy("_row").agg(F.collect_set("pos").alias("starts"))
+    lines = rows.select("doc_id", "_row", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
     gone = F.array_distinct(
         F.flatten(
             F.transform(
@@ -58,7 +60,7 @@ def remove_repeated(docs: DataFrame, *, size: int = 3, min_words: int = 3) -> Da
         )
     )
     marked = (
-        lines.join(covered.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+        lines.join(covered, "_row", "left")
         .select("doc_id", "lines", gone.alias("gone"))
         .select(
             "doc_id",

@@ -55,3 +55,19 @@ def test_plan_has_no_python(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = line_dedup.remove_repeated(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    shared = "a b\nc d\ne f"
+    for doc_id in (None, 7):
+        first = "one x\ntwo x\nthree x\n" + shared
+        second = shared + "\nfour x\nfive x\nsix x"
+        rows = [(doc_id, first), (doc_id, second), (1, "p q\nr s\nt u"), (doc_id, "p q\nr s\nt u\nv w"), (doc_id, shared)]
+        out = line_dedup.remove_repeated(table(spark, rows).coalesce(1)).collect()
+        assert sorted(((r.doc_id, r.n_lines, r.n_removed, r.text) for r in out), key=str) == sorted(
+            [
+                (doc_id, 6, 0, first), (doc_id, 6, 3, "four x\nfive x\nsix x"), (1, 3, 0, "p q\nr s\nt u"),
+                (doc_id, 4, 3, "v w"), (doc_id, 3, 3, ""),
+            ],
+            key=str,
+        )
