@@ -6,11 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from askloom.catalog import retrieval as catalog_retrieval
 from askloom.functions import udfs
 from askloom.operators import context, dense, fusion, lexical
 from askloom.plans import retrieve, views
 from askloom.plans import retrieve as R
-from askloom.settings import Settings
+from askloom.settings import DEFAULTS, Settings
 
 WORDS = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
 
@@ -260,3 +261,14 @@ def test_signals(spark, value):
     assert calibrated(0.8, 0.4, False, "not_grounded") == pytest.approx(0.245)
     assert calibrated(0.02, 0.4, True, None) == 0.05
     assert calibrated(0.9, 0.4, True, None) == 0.25
+
+
+def test_ann_recall_of_the_registered_parameters(spark):
+    sf = "/root/testdata/sf0.01"
+    exact = dense.nearest(
+        views.retrieval_corpus(spark, sf).vectors, catalog_retrieval.embedded_questions(spark, sf),
+        DEFAULTS.dense_candidates(views.K),
+    )
+    want = {x[:2] for x in as_set(exact)}
+    found = {x[:2] for x in as_set(catalog_retrieval.ann_topk(spark, sf))}
+    assert len(want & found) / len(want) >= 0.9
