@@ -10,6 +10,7 @@ from askloom.llm import (
     licenses,
     line_dedup,
     mixing,
+    nbsvm,
     packing,
     quality,
     simhash,
@@ -188,3 +189,8 @@ GROUP BY f.doc_id
 )
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+
+
+@query("op12_quality")
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
