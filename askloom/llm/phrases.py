@@ -43,6 +43,8 @@ class Settings:
     #: A phrase goes if a longer one around it has this percentage of its occurrences.
     covered: int = 80
     top: int = 2000
+    #: Parts of a language that are ranked before the whole is.
+    salts: int = 16
     #: One window in so many is a trigger.
     period: int = 16
     #: A bitmap has 2 to this power bits.
@@ -396,12 +398,12 @@ def collocations(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     found = counted(chunks, settings)
     totals = chunks.groupBy("lang").agg(F.sum(F.col("owned") * F.col("freq")).alias("n"))
     candidates = written(scored(found), "candidates")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = (
-        uncovered(candidates, settings.covered)
-        .withColumn("rank", F.row_number().over(order).cast("long"))
-        .where(F.col("rank") <= settings.top)
-    )
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
+    # a language's first phrases are among the first of its salts, however many candidates and tasks it has
+    salted = uncovered(candidates, settings.covered).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(settings.salts)))
+    few = salted.withColumn("rank", nth("lang", "salt")).where(F.col("rank") <= settings.top)
+    first = few.withColumn("rank", nth("lang")).where(F.col("rank") <= settings.top)
     out = written(first.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")
     discard(chunks, found, candidates)
     return out
