@@ -317,7 +317,7 @@ cte(
     ("topic_ranked",),
 )
 def topic_audit(spark, sf):
-    hits = corpus.topic_hits(V.docs(spark, sf), corpus.lexicon_table(spark, AREAS))
+    hits = corpus.topic_hits(V.docs(spark, sf), AREAS)
     return corpus.topic_rollup(hits)
 
 
@@ -327,7 +327,7 @@ def topic_audit(spark, sf):
     ("topic_ranked",),
 )
 def topic_top_areas(spark, sf):
-    hits = corpus.topic_hits(V.docs(spark, sf), corpus.lexicon_table(spark, AREAS))
+    hits = corpus.topic_hits(V.docs(spark, sf), AREAS)
     return as_long(corpus.top_areas(hits), "area_rank")
 
 

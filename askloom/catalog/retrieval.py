@@ -106,12 +106,12 @@ scoring_ctes("vk", "variant_keys", "variant_key", "variant_key")
 
 @query("bm25_postings", "SELECT chunk_id, term, tf, doc_len FROM postings", ("postings",))
 def bm25_postings(spark, sf):
-    return as_long(V.retrieval_corpus(spark, sf).index.postings, "doc_len")
+    return as_long(V.retrieval_corpus(spark, sf).index.postings, "tf", "doc_len")
 
 
 @query("bm25_df", "SELECT term, df FROM term_df", ("term_df",))
 def bm25_df(spark, sf):
-    return V.retrieval_corpus(spark, sf).index.terms
+    return V.retrieval_corpus(spark, sf).index.terms.select("term", "df")
 
 
 @query(
@@ -150,28 +150,73 @@ def dense_topk(spark, sf):
     return as_long(found.select(*TOP_OUT), "rank")
 
 
-def codes_sql(slots: str, key: str, ids: str) -> str:
-    """(key, table, bucket): the side of every hash plane, for rows given as sparse vectors."""
+# The inverted file: the first rows by MD5 are the first centres, two rounds of k-means move them.
+cte(
+    "cell_sample",
+    f"SELECT chunk_id, row_number() OVER (ORDER BY md5(chunk_id), chunk_id) - 1 AS place FROM chunks "
+    f"QUALIFY place < {dense.CELL_SAMPLE}",
+    "chunks",
+)
+cte(
+    "cell_count",
+    f"SELECT count(*) AS rows, least(count(*), {dense.CELL_SAMPLE}, {dense.MOST_CELLS}, "
+    "CAST(ceil(4 * sqrt(count(*))) AS BIGINT)) AS cells FROM chunks",
+    "chunks",
+)
+cte(
+    "chunk_units",
+    "SELECT chunk_id, slot, v / norm AS x FROM chunk_slots JOIN chunk_norms USING (chunk_id) WHERE norm > 0",
+    "chunk_slots", "chunk_norms",
+)
+cte(
+    "centres_0",
+    "SELECT place AS cell, slot, x FROM cell_sample JOIN chunk_units USING (chunk_id) WHERE place < (SELECT cells FROM cell_count)",
+    "cell_sample", "chunk_units", "cell_count",
+)
+
+
+def to_cells(rows: str, centres: str) -> str:
+    """(chunk_id, cell): the nearest centre of every row."""
     return (
-        f"SELECT {key}, t, CAST(sum(CASE WHEN dot > 0 THEN 1 << b ELSE 0 END) AS BIGINT) AS code FROM "
-        f"(SELECT i.{key}, t, b, coalesce(sum(s.v * p.sign), 0) AS dot FROM (SELECT DISTINCT {key} FROM {ids}) i "
-        f"CROSS JOIN (SELECT DISTINCT t, b FROM planes) tb LEFT JOIN {slots} s ON s.{key} = i.{key} "
-        f"LEFT JOIN planes p USING (t, b) WHERE s.slot IS NULL OR p.d = s.slot GROUP BY ALL) GROUP BY ALL"
+        f"SELECT r.chunk_id, g.cell FROM (SELECT chunk_id FROM {rows}) r CROSS JOIN "
+        "(SELECT unnest(range(cells)) AS cell FROM cell_count) g LEFT JOIN "
+        f"(SELECT a.chunk_id, b.cell, sum(a.x * b.x) AS dot FROM chunk_units a JOIN {centres} b USING (slot) "
+        "GROUP BY a.chunk_id, b.cell) d ON d.chunk_id = r.chunk_id AND d.cell = g.cell QUALIFY row_number() OVER "
+        f"(PARTITION BY r.chunk_id ORDER BY round(coalesce(dot, 0), {dense.CELL_DIGITS}) DESC, g.cell) = 1"
     )
 
 
-cte(
-    "planes",
-    f"""SELECT t, b, d, CASE WHEN substr(md5('{dense.SEED}:' || t || ':' || b || ':' || d), 1, 1) IN
-  ('0', '1', '2', '3', '4', '5', '6', '7') THEN 1 ELSE -1 END AS sign
-FROM range({dense.TABLES}) x(t), range({dense.BITS}) y(b), range({DEFAULTS.vector_dim}) z(d)""",
-)
-cte("chunk_codes", codes_sql("chunk_slots", "chunk_id", "chunks"), "planes", "chunk_slots", "chunks")
-cte("question_codes", codes_sql("qs_slots", "query_id", "questions"), "planes", "qs_slots", "questions")
+for _round in range(dense.CELL_ROUNDS):
+    _old, _in, _new = f"centres_{_round}", f"members_{_round}", f"centres_{_round + 1}"
+    cte(_in, to_cells("cell_sample", _old), "cell_sample", "cell_count", "chunk_units", _old)
+    cte(
+        f"sums_{_round}",
+        f"SELECT cell, slot, sum(x) AS s FROM {_in} JOIN chunk_units USING (chunk_id) GROUP BY cell, slot",
+        _in, "chunk_units",
+    )
+    cte(
+        _new,
+        f"WITH sizes AS (SELECT cell, sqrt(sum(s * s)) AS size FROM sums_{_round} GROUP BY cell HAVING size > 0) "
+        f"SELECT cell, slot, round(s / size, {dense.CELL_DIGITS}) AS x FROM sums_{_round} JOIN sizes USING (cell) UNION ALL "
+        f"SELECT cell, slot, x FROM {_old} WHERE cell NOT IN (SELECT cell FROM sizes)",
+        f"sums_{_round}", _old,
+    )
+CENTRES = f"centres_{dense.CELL_ROUNDS}"
+cte("chunk_cells", to_cells("chunks", CENTRES), "chunks", "cell_count", "chunk_units", CENTRES)
 cte(
     "ann_pairs",
-    "SELECT DISTINCT query_id, chunk_id FROM question_codes JOIN chunk_codes USING (t, code)",
-    "question_codes", "chunk_codes",
+    f"""SELECT query_id, chunk_id FROM (
+  SELECT q.query_id, g.cell, sum(coalesce(n, 0)) OVER o AS met, row_number() OVER o AS nth
+  FROM questions q CROSS JOIN (SELECT unnest(range(cells)) AS cell FROM cell_count) g
+  LEFT JOIN (SELECT cell, count(*) AS n FROM chunk_cells GROUP BY cell) s ON s.cell = g.cell
+  LEFT JOIN (SELECT a.query_id, b.cell, sum(a.v / z.norm * b.x) AS dot FROM qs_slots a JOIN {CENTRES} b USING (slot)
+             JOIN (SELECT query_id, sqrt(sum(v * v)) AS norm FROM qs_slots GROUP BY query_id) z ON z.query_id = a.query_id
+             WHERE z.norm > 0 GROUP BY a.query_id, b.cell) d ON d.query_id = q.query_id AND d.cell = g.cell
+  WINDOW o AS (PARTITION BY q.query_id ORDER BY round(coalesce(dot, 0), {dense.CELL_DIGITS}) DESC, g.cell
+               ROWS UNBOUNDED PRECEDING)) p JOIN chunk_cells USING (cell)
+WHERE nth = 1 OR met <= (SELECT greatest((rows * {dense.PROBE_SHARE[0]} + {dense.PROBE_SHARE[1] - 1}) // {dense.PROBE_SHARE[1]},
+                                         {dense.PROBE_LEAST * DEFAULTS.dense_candidates(K)}) FROM cell_count)""",
+    "questions", "cell_count", "chunk_cells", "qs_slots", CENTRES,
 )
 
 
@@ -187,8 +232,7 @@ cte(
     ("ann_pairs", "qs_slots", "chunk_slots", "chunk_norms"),
 )
 def ann_topk(spark, sf):
-    vectors = V.retrieval_corpus(spark, sf).vectors
-    found = dense.ann_topk(vectors, embedded_questions(spark, sf), DEFAULTS.dense_candidates(K))
+    found = dense.ann_topk(V.vector_cells(spark, sf), embedded_questions(spark, sf), DEFAULTS.dense_candidates(K))
     return as_long(found, "rank")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askloom.functions import text as T
@@ -59,16 +59,27 @@ def page_stats(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def lexicon_table(spark: SparkSession, areas: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(word, area) rows of a word list; a word may belong to several areas."""
-    rows = [(word, area) for area, words in sorted(areas.items()) for word in words]
-    return spark.createDataFrame(rows, "word string, area string")
+def topic_hits(docs: DataFrame, areas: dict[str, tuple[str, ...]], key: str = "doc_id") -> DataFrame:
+    """(key, area, hits): how often the words of an area occur in a document.
 
-
-def topic_hits(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, area, hits): how often the words of an area occur in a document."""
-    words = T.each(docs, [key], T.alnum_tokens(F.col("text")), "word")
-    return words.join(lexicon, "word").groupBy(key, "area").agg(F.count("*").alias("hits"))
+    Counted inside the row: the document's words are cut to those that any area has, and each area counts
+    its own among these few. Only areas that occur leave the row; nothing is shuffled.
+    """
+    listed = lambda words: F.array(*[F.lit(w) for w in sorted(words)]).cast("array<string>")
+    known = listed({w for words in areas.values() for w in words})
+    table = F.array(*[
+        F.struct(F.lit(area).alias("area"), listed(set(words)).alias("words")) for area, words in sorted(areas.items())
+    ])
+    wanted = F.filter(T.alnum_tokens(F.col("text")), lambda w: F.array_contains(known, w))
+
+    def counts(found: Column) -> Column:
+        own = lambda a: F.size(F.filter(found, lambda w: F.array_contains(a["words"], w)))
+        each = F.transform(table, lambda a: F.struct(a["area"].alias("area"), own(a).cast("bigint").alias("hits")))
+        return F.filter(each, lambda a: a["hits"] > 0)
+
+    if not areas:
+        return docs.select(key, F.lit("").alias("area"), F.lit(0).cast("bigint").alias("hits")).limit(0)
+    return T.each(docs, [key], T.let(wanted, counts), "hit").select(key, "hit.area", "hit.hits")
 
 
 def top_areas(hits: DataFrame, n: int = 3, key: str = "doc_id") -> DataFrame:

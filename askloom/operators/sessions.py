@@ -165,7 +165,7 @@ def cascade(rows: DataFrame, deleted: DataFrame) -> DataFrame:
     return rows.join(deleted, "session_id", "left_anti")
 
 
-def turn_messages(turns: DataFrame) -> DataFrame:
+def turn_messages(turns: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """Turns (session_id, turn, user_message, assistant_message) as single messages, cut, no blanks."""
     entry = lambda part, role, c: F.struct(
         F.lit(part).alias("part"), F.lit(role).alias("role"),
@@ -173,7 +173,7 @@ def turn_messages(turns: DataFrame) -> DataFrame:
     )
     both = F.array(entry(0, "user", "user_message"), entry(1, "assistant", "assistant_message"))
     kept = F.filter(both, lambda m: m["content"] != "")
-    return T.each(turns, ["session_id", "turn"], kept, "m").select("session_id", "turn", "m.*")
+    return T.each(turns, ["session_id", "turn", *carried], kept, "m").select("session_id", "turn", "m.*", *carried)
 
 
 def last_messages(messages: DataFrame, n: int = MAX_MESSAGES) -> DataFrame:

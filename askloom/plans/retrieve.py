@@ -11,9 +11,11 @@ from askloom.functions import text as T
 from askloom.functions import udfs, variants
 from askloom.functions.rules import ENTITY_ALIASES
 from askloom.operators import chunking, fusion
-from askloom.operators.lexical import LexicalIndex, build_index, lexical_length, load_index
-from askloom.session import cut_lineage, scratch_path
+from askloom.operators.dense import holes, pack_vectors, unpack_vectors
+from askloom.operators.lexical import LexicalIndex, lexical_length, load_index, write_counts, write_segment
+from askloom.session import cut_lineage, drop_path, scratch_path
 from askloom.settings import DEFAULTS, Settings
+from askloom.sources.pointer import read_pointer, write_pointer
 
 CHUNK_COLUMNS = (
     "chunk_id", "chunk_type", "doc_type", "source", "source_rel", "topic", "subtopic",
@@ -28,6 +30,11 @@ class Corpus:
 
     ``chunks`` have text and metadata; vectors, parents and the lexical index are tables of
     their own, so that a question batch reads neither texts for scoring nor vectors for texts.
+
+    The tables lie in segments, each written once by :func:`ingest`, :func:`append` or :func:`compact`. A
+    pointer file names the segments of the current version. It is replaced when all of a version's tables
+    are there, so chunks, parents, vectors and index always belong together, and a version that was never
+    finished cannot be opened.
     """
 
     path: str
@@ -38,8 +45,63 @@ class Corpus:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Corpus:
-        read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return cls(path, read("chunks"), read("vectors"), read("parents"), load_index(spark, f"{path}/index"))
+        state = read_pointer(spark, path)
+        if state is None:
+            raise ValueError(f"{path} holds no finished corpus version")
+        return _opened(spark, path, state["segments"])
+
+
+def _folder(path: str, segment: int) -> str:
+    return f"{path}/segment-{segment}"
+
+
+def _stored(spark: SparkSession, folders: list[str], name: str) -> DataFrame:
+    """A table of several segments, with the columns of the first; more columns may be missing elsewhere."""
+    parts = [spark.read.parquet(f"{f}/{name}") for f in folders]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def _opened(spark: SparkSession, path: str, segments: list[int]) -> Corpus:
+    """The tables of some segments, without what later ones of them replaced."""
+    folders = [_folder(path, s) for s in segments]
+    chunks, parents, vectors = (_stored(spark, folders, name) for name in ("chunks", "parents", "vectors"))
+    indexes = [f"{f}/index" for f in folders]
+    if len(segments) == 1:
+        return Corpus(path, chunks, vectors, parents, load_index(spark, indexes))
+    later = folders[1:]
+    sources, replaced, gone = (_stored(spark, later, name) for name in ("sources", "replaced", "holes"))
+    # the segment that last named a source holds its rows; a few numbers per changed source
+    last = sources.groupBy("source").agg(F.max("below").alias("below"))
+
+    def live(rows: DataFrame) -> DataFrame:
+        marked = rows.join(last, "source", "left")
+        return marked.where(F.coalesce(F.col("segment") >= F.col("below"), F.lit(True))).drop("below")
+
+    dead = replaced.groupBy("chunk").agg(F.max("below").alias("below"))
+    index = load_index(spark, indexes, [f"{f}/removed" for f in later], dead)
+    holes = gone.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    return Corpus(path, live(chunks), vectors.join(holes, "block", "left"), live(parents), index)
+
+
+def _write_segment(
+    spark: SparkSession, docs: DataFrame, folder: str, segment: int, parts: int | None, settings: Settings,
+    embedder, extra: DataFrame | None,
+) -> int:
+    """All tables of one segment; returns the number of folders of its index."""
+    number = F.lit(segment).cast("long")
+    chunking.chunk_parents(docs, settings).withColumn("segment", number).write.mode("overwrite").parquet(f"{folder}/parents")
+    children = chunking.children_of(spark.read.parquet(f"{folder}/parents"), settings)
+    if extra is not None:
+        children = children.join(extra, "doc_id", "left")
+    children = children.withColumn("segment", number).withColumn("doc_len", lexical_length(F.col("text")))
+    children.write.mode("overwrite").parquet(f"{folder}/chunks")
+    chunks = spark.read.parquet(f"{folder}/chunks")
+    packed = pack_vectors(embed_chunks(chunks, embedder, settings), segment=segment)
+    packed.write.mode("overwrite").parquet(f"{folder}/vectors")
+    return write_segment(chunks, f"{folder}/index", segment, parts)
 
 
 def ingest(
@@ -49,18 +111,72 @@ def ingest(
     """Chunk, embed and index cleaned documents once, under ``path``.
 
     ``extra`` adds columns by ``doc_id``. Children are cut from the stored parents, so the texts
-    are read once. Without a path the version lives as long as the application.
+    are read once. Without a path the version lives as long as the application. A path that already holds
+    a corpus gets a new version that takes the place of the old one.
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "corpus")
-    chunking.chunk_parents(docs, settings).write.parquet(f"{path}/parents")
-    children = chunking.children_of(spark.read.parquet(f"{path}/parents"), settings)
-    if extra is not None:
-        children = children.join(extra, "doc_id", "left")
-    children.withColumn("doc_len", lexical_length(F.col("text"))).write.parquet(f"{path}/chunks")
-    chunks = spark.read.parquet(f"{path}/chunks")
-    embed_chunks(chunks, embedder, settings).write.parquet(f"{path}/vectors")
-    build_index(chunks, f"{path}/index")
+    old = read_pointer(spark, path) or {"next": 0, "segments": [], "batches": {}}
+    segment = old["next"]
+    parts = _write_segment(spark, docs, _folder(path, segment), segment, None, settings, embedder, extra)
+    _switch(spark, path, {"segments": [segment], "next": segment + 1, "parts": parts, "batches": old["batches"]}, old)
+    return Corpus.open(spark, path)
+
+
+def _switch(spark: SparkSession, path: str, state: dict, old: dict | None = None) -> None:
+    """Make ``state`` current; segments that only the version before it had are deleted after that."""
+    write_pointer(spark, path, state)
+    for segment in set((old or {}).get("segments", [])) - set(state["segments"]):
+        drop_path(spark, _folder(path, segment))
+
+
+def append(
+    docs: DataFrame, path: str, settings: Settings = DEFAULTS, embedder=None, extra: DataFrame | None = None,
+    batch: tuple[str, int] | None = None,
+) -> Corpus:
+    """Add cleaned documents as a segment; their sources replace what earlier segments hold of them.
+
+    Nothing older is rewritten. Beside its own tables the segment notes which chunks no longer hold, what
+    their terms no longer count, and where their vectors lie. A path without a corpus gets its first
+    segment. ``batch`` (stream, number) makes a repeated batch of a stream a step without effect.
+    """
+    spark = docs.sparkSession
+    state = read_pointer(spark, path)
+    if state is not None and batch is not None and state["batches"].get(batch[0], -1) >= batch[1]:
+        return Corpus.open(spark, path)
+    if state is None:
+        state = {"next": 0, "segments": [], "parts": None, "batches": {}}
+    segment, folder = state["next"], _folder(path, state["next"])
+    parts = _write_segment(spark, docs, folder, segment, state["parts"], settings, embedder, extra)
+    if state["segments"]:
+        before = _opened(spark, path, state["segments"])
+        below = F.lit(segment).cast("long").alias("below")
+        named = spark.read.parquet(f"{folder}/parents").select("source").distinct()
+        named.select("source", below).write.mode("overwrite").parquet(f"{folder}/sources")
+        named = spark.read.parquet(f"{folder}/sources").select("source")
+        dead = cut_lineage(before.chunks.join(named, "source", "left_semi"))
+        dead.select(F.col("chunk_id").alias("chunk"), below).write.mode("overwrite").parquet(f"{folder}/replaced")
+        write_counts(dead, f"{folder}/removed", parts)
+        gone = holes(before.vectors.select("block", "ids"), spark.read.parquet(f"{folder}/replaced"))
+        gone.write.mode("overwrite").parquet(f"{folder}/holes")
+    batches = state["batches"] | ({} if batch is None else {batch[0]: batch[1]})
+    _switch(spark, path, {"segments": [*state["segments"], segment], "next": segment + 1, "parts": parts, "batches": batches})
+    return Corpus.open(spark, path)
+
+
+def compact(spark: SparkSession, path: str) -> Corpus:
+    """Merge all segments into one without the replaced rows. Nothing is chunked or embedded again."""
+    state = read_pointer(spark, path)
+    corpus = Corpus.open(spark, path)
+    if len(state["segments"]) == 1:
+        return corpus
+    segment, folder = state["next"], _folder(path, state["next"])
+    number = F.lit(segment).cast("long")
+    corpus.parents.withColumn("segment", number).write.mode("overwrite").parquet(f"{folder}/parents")
+    corpus.chunks.withColumn("segment", number).write.mode("overwrite").parquet(f"{folder}/chunks")
+    pack_vectors(unpack_vectors(corpus.vectors), segment=segment).write.mode("overwrite").parquet(f"{folder}/vectors")
+    parts = write_segment(spark.read.parquet(f"{folder}/chunks"), f"{folder}/index", segment)
+    _switch(spark, path, {"segments": [segment], "next": segment + 1, "parts": parts, "batches": state["batches"]}, state)
     return Corpus.open(spark, path)
 
 

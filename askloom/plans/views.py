@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from askloom.functions import text as T
 from askloom.operators import chunking, corpus
+from askloom.operators.dense import CellIndex, build_cells
+from askloom.operators.matching import containing
 from askloom.plans.retrieve import Corpus, ingest
-from askloom.session import cut_lineage, drop_path
+from askloom.session import cut_lineage, drop_path, scratch_path
 from askloom.settings import Settings
 
 # Small windows make many chunks; the retrieval corpus uses the default sizes.
@@ -81,6 +83,17 @@ def retrieval_corpus(spark: SparkSession, sf: str) -> Corpus:
     return fresh
 
 
+_CELLS: dict[str, CellIndex] = {}
+
+
+def vector_cells(spark: SparkSession, sf: str) -> CellIndex:
+    """The inverted file over the vectors of the stored corpus, built by the first query that asks."""
+    store = retrieval_corpus(spark, sf)
+    if store.path not in _CELLS:
+        _CELLS[store.path] = build_cells(store.vectors, scratch_path(spark, "cells"))
+    return _CELLS[store.path]
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
@@ -112,14 +125,3 @@ def qrels(spark: SparkSession, sf: str) -> DataFrame:
         questions(spark, sf),
     )
     return found.select("query_id", "target")
-
-
-def containing(bodies: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query_id, target) of bodies that contain a passage of any length.
-
-    Every body is searched for every passage, in one scan that moves no text: the passages of a
-    benchmark are the side that Spark sends to all tasks, as far as its size check allows.
-    """
-    return bodies.join(passages.select("query_id", "query"), F.contains("body", F.col("query"))).select(
-        "query_id", "target"
-    )

@@ -13,9 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from askloom.operators import chunking, corpus
 from askloom.operators.sessions import MAX_MESSAGES, turn_messages
+from askloom.plans.retrieve import append, compact
 from askloom.settings import DEFAULTS, Settings
 from askloom.sources import store
 from askloom.sources.files import FILE_SCHEMA, TEXT_GLOB, as_documents
+from askloom.sources.pointer import read_pointer
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     try:
@@ -86,6 +88,31 @@ def ingest_stream(
     )
 
 
+def index_stream(
+    docs: DataFrame, path: str, checkpoint: str, settings: Settings = DEFAULTS, embedder=None,
+    fold_unicode: bool = True, compact_after: int = 32,
+) -> StreamingQuery:
+    """Keep a searchable corpus in step with a stream of documents.
+
+    Every batch becomes a segment of the corpus at ``path``, whose sources replace what was stored of
+    them, and is searched from then on by whoever opens the corpus. A batch that is run again after a
+    failure has no further effect. Beyond ``compact_after`` segments they are merged into one.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        kept = corpus.clean_documents(newest_versions(batch), fold_unicode)
+        append(kept, path, settings, embedder, batch=(checkpoint, number))
+        if len(read_pointer(batch.sparkSession, path)["segments"]) > compact_after:
+            compact(batch.sparkSession, path)
+
+    return (
+        docs.writeStream.foreachBatch(run)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def fresh_articles(articles: DataFrame, hours: int = 24) -> DataFrame:
     """Arrivals without repeats of a url under the same question; late rows drop.
 
@@ -105,22 +132,30 @@ def expire_articles(spark: SparkSession, chunk_path: str, hours: int = 24, now:
     return store.purge_table(spark, chunk_path, at, hours)
 
 
-STATE = "turns array<bigint>, parts array<int>, roles array<string>, contents array<string>"
+STATE = "turns array<bigint>, parts array<int>, roles array<string>, contents array<string>, newest bigint"
 TAIL = "session_id bigint, messages int, transcript string"
 
 
-def _keep_tail(n: int) -> Callable:
+def _keep_tail(n: int, time_column: str | None, silent_ms: int) -> Callable:
     def update(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        rows = list(zip(*state.get)) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        *columns, newest = state.get if state.exists else ([], [], [], [], 0)
+        rows = list(zip(*columns))
         for batch in batches:
             new = zip(batch["turn"], batch["part"], batch["role"], batch["content"])
             # a replayed message has the same (turn, part) and replaces itself
             merged = {(r[0], r[1]): r for r in rows}
             merged.update({(int(t), int(p)): (int(t), int(p), r, c) for t, p, r, c in new})
             rows = [merged[k] for k in sorted(merged)][-n:]
-        state.update(tuple(list(column) for column in zip(*rows)))
+            if time_column is not None and batch[time_column].notna().any():
+                newest = max(newest, int(batch[time_column].max().timestamp() * 1000))
+        state.update((*(list(column) for column in zip(*rows)), newest))
+        if time_column is not None:
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + silent_ms)
         lines = [f"{role}: {content}" for _, _, role, content in rows]
         yield pd.DataFrame(
             {"session_id": [key[0]], "messages": [len(rows)], "transcript": ["\n".join(lines)]}
@@ -129,19 +164,24 @@ def _keep_tail(n: int) -> Callable:
     return update
 
 
-def conversation_tails(turns: DataFrame, n: int = MAX_MESSAGES) -> DataFrame:
+def conversation_tails(
+    turns: DataFrame, n: int = MAX_MESSAGES, time_column: str | None = None, silent_hours: float = 24 * 30,
+    late: str = "1 hour",
+) -> DataFrame:
     """The last ``n`` messages of each session, re-emitted when the session gets new turns.
 
-    ``turns`` streams (session_id, turn, user_message, assistant_message). State
-    is at most ``n`` messages per session.
+    ``turns`` streams (session_id, turn, user_message, assistant_message). State is at most ``n`` messages
+    per session. With ``time_column``, the time of a turn, a session that was silent for ``silent_hours`` of
+    the stream's own time leaves no state, and starts anew should it speak again; turns more than ``late``
+    behind the newest are dropped. Time goes by the turns, so a stream that is replayed gives the same rows.
     """
-    return (
-        turn_messages(turns)
-        .groupBy("session_id")
-        .applyInPandasWithState(
-            _keep_tail(n), TAIL, STATE, "update", GroupStateTimeout.NoTimeout
-        )
-    )
+    if time_column is None:
+        messages, timeout = turn_messages(turns), GroupStateTimeout.NoTimeout
+    else:
+        messages = turn_messages(turns.withWatermark(time_column, late), (time_column,))
+        timeout = GroupStateTimeout.EventTimeTimeout
+    update = _keep_tail(n, time_column, int(silent_hours * 3_600_000))
+    return messages.groupBy("session_id").applyInPandasWithState(update, TAIL, STATE, "update", timeout)
 
 
 def transcript(messages: DataFrame) -> DataFrame:
@@ -156,6 +196,6 @@ def transcript(messages: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "conversation_tails", "expire_articles", "fresh_articles", "ingest_stream", "newest_versions",
+    "conversation_tails", "expire_articles", "fresh_articles", "index_stream", "ingest_stream", "newest_versions",
     "store_batch", "transcript", "watch_text_folder",
 ]

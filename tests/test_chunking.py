@@ -73,8 +73,8 @@ def test_pages(spark):
 
 
 def test_topic_rollup_counts_all_hits_but_top_areas_only(spark):
-    lexicon = corpus.lexicon_table(spark, {"a": ("x",), "b": ("y",), "c": ("z",), "d": ("w", "x")})
+    areas = {"a": ("x",), "b": ("y",), "c": ("z",), "d": ("w", "x")}
     df = spark.createDataFrame([(1, "x x x y y z w"), (2, "y")], "doc_id int, text string")
-    hits = corpus.topic_hits(df, lexicon)
+    hits = corpus.topic_hits(df, areas)
     got = {r["area"]: (r["area_doc_count"], r["area_hits"]) for r in corpus.topic_rollup(hits, 2).collect()}
     assert got == {"a": (1, 3), "b": (1, 3), "c": (0, 1), "d": (1, 4)}

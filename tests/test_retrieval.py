@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from askloom.catalog import retrieval as catalog_retrieval
 from askloom.functions import udfs
-from askloom.operators import context, dense, fusion, lexical
+from askloom.operators import context, dense, fusion, lexical, matching
 from askloom.plans import retrieve, views
 from askloom.plans import retrieve as R
 from askloom.settings import DEFAULTS, Settings
@@ -51,6 +51,7 @@ def test_bm25_against_loop(spark, tmp_path):
     terms = lexical.question_terms(questions, "query_id", "query")
     want = {(q, c): s for q, ts in ((1, ["waa", "wbc"]), (3, ["wff", "waa"])) for c, s in loop_bm25(rows, ts).items()}
     index = lexical.build_index(chunks, str(tmp_path / "index"))
+    assert index.postings.columns == ["chunk_id", "term", "tf", "doc_len"]
     got = {(r["query_id"], r["chunk_id"]): r["score"] for r in lexical.bm25_scores(index, terms).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
@@ -60,6 +61,63 @@ def test_bm25_against_loop(spark, tmp_path):
         assert [(-r["score"], r["chunk_id"]) for r in sorted(best, key=lambda r: r["rank"]) if r["query_id"] == q] == own
 
 
+def skewed_rows(n=1200):
+    """Half of the chunks have ``common``, in different numbers; ``rare`` is in eight of them."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(n):
+        words = [rng.choice(WORDS) for _ in range(rng.randint(5, 40))]
+        words += ["common"] * (rng.choice([1, 1, 1, 2, 9]) if i % 2 else 0) + ["rare"] * (i % 150 == 7)
+        rows.append((f"c{i:04d}", " ".join(words)))
+    return rows
+
+
+def test_blocks_that_cannot_win_are_not_opened(spark, tmp_path, monkeypatch):
+    """The best rows are those of the exhaustive path, from a part of the postings."""
+    monkeypatch.setattr(lexical, "BLOCK_CHUNKS", 16)
+    index = lexical.build_index(chunk_frame(spark, skewed_rows()), str(tmp_path / "index"))
+    questions = spark.createDataFrame([(1, "common rare"), (2, "common"), (3, "rare waa"), (4, "common wbb wcc"), (5, "nothing")], "query_id int, query string")
+    terms = lexical.question_terms(questions, "query_id", "query")
+    every = {}
+    for r in lexical.bm25_scores(index, terms).collect():
+        every.setdefault(r["query_id"], []).append((-r["score"], r["chunk_id"]))
+    for n in (3, 8, 5000):
+        best = {}
+        for r in lexical.bm25_scores(index, terms, n=n).orderBy("rank").collect():
+            best.setdefault(r["query_id"], []).append((-r["score"], r["chunk_id"]))
+        assert best == {q: sorted(rows)[:n] for q, rows in every.items()}
+    asked = lexical.asked_terms(index, terms, "query_id")
+    seeds, rest, _ = lexical.opened_blocks(index, asked, "query_id", DEFAULTS, 8)
+    pairs = asked.join(seeds.unionByName(rest), "query_id")
+    opened = index.blocks.join(pairs, ["part", "term", "block"]).groupBy("query_id").agg(F.sum("n")).collect()
+    whole = index.blocks.join(asked, ["part", "term"]).groupBy("query_id").agg(F.sum("n")).collect()
+    opened, whole = dict(map(tuple, opened)), dict(map(tuple, whole))
+    assert all(opened[q] < whole[q] / 3 for q in (1, 3)) and all(opened[q] <= whole[q] for q in opened)
+
+
+def test_bounds_hold_for_every_chunk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_CHUNKS", 20)
+    index = lexical.build_index(chunk_frame(spark, corpus_rows(200)), str(tmp_path / "index"))
+    questions = spark.createDataFrame([(1, "waa wab wbc"), (2, "wff wcd")], "query_id int, query string")
+    for settings in (DEFAULTS, Settings(bm25_k1=0.4, bm25_b=0.2)):
+        asked = lexical.asked_terms(index, lexical.question_terms(questions, "query_id", "query"), "query_id")
+        bounds = lexical.block_bounds(index, asked, "query_id", settings)
+        place = index.blocks.select("block", F.inline("entries")).select("block", F.col("id").alias("chunk_id")).distinct()
+        scores = lexical.block_scores(index, asked, "query_id", settings).join(place, "chunk_id")
+        both = scores.join(bounds, ["query_id", "block"])
+        assert both.count() == scores.count() > 100 and both.where("score > bound + 1e-6").count() == 0
+
+
+def test_a_rare_term_reads_one_folder(spark, tmp_path):
+    index = lexical.build_index(chunk_frame(spark, skewed_rows()), str(tmp_path / "index"))
+    asked = lexical.asked_terms(index, spark.createDataFrame([(1, "rare")], "query_id int, term string"), "query_id")
+    found = lexical.block_bounds(index, asked, "query_id", DEFAULTS)
+    assert found.count() > 0
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    assert index.blocks.where("term = 'rare'").select("part").distinct().count() == 1
+    assert index.blocks.select("part").distinct().count() > 4
+
+
 def test_a_term_of_every_chunk_is_split(spark, tmp_path):
     """A term in every chunk scores in all of them, by a join whose hot side may be split."""
     chunks = chunk_frame(spark, [(f"c{i:04d}", f"everywhere w{i % 7}") for i in range(2000)])
@@ -75,7 +133,31 @@ def test_passages_of_any_length_are_found(spark, passage):
     bodies = spark.createDataFrame([("1", "we use ai daily here now"), ("2", "café d'or x"), ("3", "")], "target string, body string")
     asked = spark.createDataFrame([(1, passage)], "query_id int, query string")
     want = {t for t, b in (("1", "we use ai daily here now"), ("2", "café d'or x"), ("3", "")) if passage in b}
-    assert {r["target"] for r in views.containing(bodies, asked).collect()} == want
+    assert {r["target"] for r in matching.containing(bodies, asked).collect()} == want
+
+
+def test_many_passages_against_each_text(spark, monkeypatch):
+    """Nested, repeated, overlapping, empty, null and long passages, in several groups; no pair of tables is joined."""
+    rng = random.Random(8)
+    draw = lambda n: "".join(rng.choice("ab é") for _ in range(n))
+    bodies = [(f"b{i}", draw(rng.choice([0, 5, 60, 300]))) for i in range(40)] + [("null", None), ("b0", draw(50))]
+    passages = [(i, draw(rng.choice([1, 2, 3, 4, 6]))) for i in range(80)] + [(900, ""), (901, None), (3, "ab"), (3, "ab")]
+    passages += [(1000 + i, bodies[i][1][2:250]) for i in range(12)] + [(1100 + i, bodies[i][1][1:] + "z") for i in range(5)]
+    want = sorted((q, t) for t, b in bodies for q, p in set(passages) if b is not None and p is not None and p in b)
+    monkeypatch.setattr(matching, "HEAD_CHARS", 4)
+    monkeypatch.setattr(matching, "GROUP_HEADS", 60)
+    monkeypatch.setattr(matching.Passages.__init__, "__defaults__", (4,))
+    found = matching.containing(
+        spark.createDataFrame(bodies, "target string, body string").repartition(3), spark.createDataFrame(passages, "query_id int, query string")
+    )
+    assert sorted((r["query_id"], r["target"]) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") > 3 and "Join" not in plan and "Cartesian" not in plan
+
+
+def test_no_passages(spark):
+    bodies = spark.createDataFrame([("b", "text")], "target string, body string")
+    assert matching.containing(bodies, spark.createDataFrame([], "query_id int, query string")).count() == 0
 
 
 def test_the_stored_corpus_is_built_once_and_opened_after(spark):
@@ -83,7 +165,7 @@ def test_the_stored_corpus_is_built_once_and_opened_after(spark):
     first, second = views.retrieval_corpus(spark, sf), views.retrieval_corpus(spark, sf)
     assert first.path == second.path
     opened = retrieve.Corpus.open(spark, first.path)
-    assert opened.chunks.count() == opened.vectors.count() > 0
+    assert opened.chunks.count() == opened.vectors.agg(F.sum("n")).first()[0] > 0
     plan = fusion.ranked_lists(
         opened.index, opened.vectors, retrieve.first_variants(views.questions(spark, sf)), 5
     )._jdf.queryExecution().optimizedPlan().toString()
@@ -125,16 +207,46 @@ def test_exact_nearest_both_paths(spark):
     want = brute(qm, dm, 7)
     assert as_set(dense.nearest(docs.repartition(5), queries, 7)) == want
     blocks = Settings(query_block_rows=5)
-    assert as_set(dense.nearest(docs, queries, 7, settings=blocks, doc_block_rows=70)) == want
+    assert as_set(dense.nearest(docs, queries, 7, settings=blocks, block_rows=70)) == want
 
 
-def test_ann_recall(spark):
-    dm, docs = vectors(spark, 400, "d", 3)
+def test_ann_recall(spark, tmp_path):
+    """Nine in ten of the nearest, and under a third of the rows scored."""
+    dm, docs = vectors(spark, 3000, "d", 3)
     qm, queries = vectors(spark, 30, "q", 4)
     exact = {x[:2] for x in brute(qm, dm, 5)}
-    for block in (100_000, 64):
-        found = {x[:2] for x in as_set(dense.ann_topk(docs, queries, 5, bits=3, tables=16, doc_block_rows=block))}
-        assert len(exact & found) / len(exact) >= 0.9
+    index = dense.build_cells(docs, str(tmp_path / "cells"))
+    found = {x[:2] for x in as_set(dense.ann_topk(index, queries, 5, settings=Settings(query_block_rows=7)))}
+    assert len(exact & found) / len(exact) >= 0.9
+    sizes = {r["cell"]: r["n"] for r in index.cells.collect()}
+    assert sum(sizes.values()) == 3000
+    for r in dense.probe_cells(index.cells, queries, 5).collect():
+        assert len(r["probes"]) >= 1 and sum(sizes[c] for c in r["probes"]) <= 0.195 * 3000 + 1
+
+
+def test_cells_of_equal_and_few_rows(spark, tmp_path):
+    """One vector for all rows: one cell holds them in several blocks, and all are found."""
+    docs = spark.createDataFrame([(f"d{i:04d}", [1.0, 0.0]) for i in range(100)], "chunk_id string, embedding array<double>")
+    queries = spark.createDataFrame([("q", [0.6, 0.8])], "query_id string, embedding array<double>")
+    index = dense.build_cells(docs, str(tmp_path / "same"))
+    assert [r["chunk_id"] for r in dense.ann_topk(index, queries, 3).orderBy("rank").collect()] == ["d0000", "d0001", "d0002"]
+    few = dense.build_cells(docs.limit(2), str(tmp_path / "few"))
+    assert dense.ann_topk(few, queries, 3).count() == 2
+
+
+def test_packed_vectors_stay_where_they_are(spark, tmp_path):
+    """Stored blocks give the same rows, and the plan has no exchange below the scoring."""
+    dm, docs = vectors(spark, 500, "d", 5)
+    qm, queries = vectors(spark, 9, "q", 6)
+    dense.pack_vectors(docs, rows=64).write.parquet(str(tmp_path / "blocks"))
+    blocks = spark.read.parquet(str(tmp_path / "blocks"))
+    assert blocks.agg(F.max("n"), F.sum("n")).first() == (64, 500)
+    found = dense.nearest(blocks, queries, 7)
+    assert as_set(found) == brute(qm, dm, 7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[plan.rindex("MapInArrow"):]
+    rows = {r["chunk_id"]: r["embedding"] for r in dense.unpack_vectors(blocks).collect()}
+    assert rows == {r["chunk_id"]: r["embedding"] for r in docs.collect()}
 
 
 def test_hashed_vectors_are_unit_length(spark):
