@@ -180,9 +180,11 @@ runs AS (
   SELECT doc_id, pos, array_to_string(lines[pos : pos + 2], chr(10)) AS run
   FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS pos FROM lines)),
 ranked AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS nth FROM runs
-  WHERE len(regexp_extract_all(run, '[^\x20\x09-\x0D]+')) >= 3),
-gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM ranked, range(3) r(k) WHERE nth > 1),
+  SELECT doc_id, pos, row_number() OVER o AS nth, first_value(doc_id) OVER o AS first_doc, first_value(pos) OVER o AS first_pos
+  FROM runs WHERE regexp_matches(run, '[^\x20\x09-\x0D]') WINDOW o AS (PARTITION BY run ORDER BY doc_id, pos)),
+gone AS (
+  SELECT DISTINCT doc_id, pos + k AS pos FROM ranked, range(3) r(k)
+  WHERE nth > 1 AND NOT (first_doc = doc_id AND pos + k < first_pos + 3)),
 flat AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM lines)
 SELECT f.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
        coalesce(string_agg(f.line, chr(10) ORDER BY f.pos) FILTER (WHERE g.pos IS NULL), '') AS text

@@ -2,10 +2,11 @@
 
 Every run of ``size`` consecutive lines is hashed. A window that occurs more than once in the
 corpus keeps its first occurrence, by (doc_id, row, position); the lines covered by any later occurrence
-go. Overlapping windows merge by taking the union of the covered positions.
+go, but for lines that the window's first occurrence holds itself. Overlapping windows merge by taking the
+union of the covered positions.
 
-Defined results: lines are split at ``\\n`` and compared exactly, blank lines included, but a window
-needs at least ``min_words`` words, so runs of blank lines are no windows. A null text counts as
+Defined results: lines are split at ``\\n`` and compared exactly, blank lines included; only windows of
+nothing but blank lines are no windows. A null text counts as
 empty and comes back as ''. Texts with fewer than ``size`` lines have no window and stay whole. Rows
 are numbered once, in a written table, and every row is a document of its own, whatever its id: ids only
 order the occurrences. A null id comes last; of rows with equal or null ids the one with the lower
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from askloom.llm.common import WORD, written
 
 
-def windows(docs: DataFrame, size: int, min_words: int) -> DataFrame:
+def windows(docs: DataFrame, size: int) -> DataFrame:
     """(hash, doc_id, _row, pos) of every window; 128 bits of MD5 stand for the window's lines."""
     lines = docs.select("doc_id", "_row", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
     runs = lines.where(F.size("lines") >= size).select(
@@ -33,15 +34,15 @@ def windows(docs: DataFrame, size: int, min_words: int) -> DataFrame:
             )
         ).alias("pos", "run"),
     )
-    return runs.where(F.regexp_count("run", F.lit(WORD)) >= min_words).select(
+    return runs.where(F.col("run").rlike(WORD)).select(
         F.unhex(F.md5("run")).alias("hash"), "doc_id", "_row", "pos"
     )
 
 
-def remove_repeated(docs: DataFrame, *, size: int = 3, min_words: int = 3) -> DataFrame:
+def remove_repeated(docs: DataFrame, *, size: int = 3) -> DataFrame:
     """doc_id, n_lines, n_removed and the text without later occurrences of repeated windows."""
     rows = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")), "rows")
-    found = written(windows(rows, size, min_words), "windows")
+    found = written(windows(rows, size), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row", "pos")
     # counted before the join, so that windows that occur once travel no further
     repeated = written(
@@ -49,13 +50,16 @@ def remove_repeated(docs: DataFrame, *, size: int = 3, min_words: int = 3) -> Da
         "repeated",
     ).drop("n")
     later = found.join(repeated, "hash").where(place > F.col("first"))
-    covered = later.groupBy("_row").agg(F.collect_set("pos").alias("starts"))
+    # a later occurrence that overlaps the first one leaves the first one's lines
+    own = F.when(F.col("first._row") == F.col("_row"), F.col("first.pos") + size).otherwise(F.lit(0))
+    spans = F.struct(F.greatest("pos", own).alias("start"), (F.col("pos") + F.lit(size - 1)).alias("end"))
+    covered = later.groupBy("_row").agg(F.collect_set(spans).alias("spans"))
     lines = rows.select("doc_id", "_row", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
     gone = F.array_distinct(
         F.flatten(
             F.transform(
-                F.coalesce("starts", F.array().cast("array<int>")),
-                lambda s: F.sequence(s, s + F.lit(size - 1)),
+                F.coalesce("spans", F.array().cast("array<struct<start: int, end: int>>")),
+                lambda s: F.sequence(s["start"], s["end"]),
             )
         )
     )

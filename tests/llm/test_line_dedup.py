@@ -9,18 +9,19 @@ def table(spark, rows):
     return spark.createDataFrame([(i, t, 1, "p", 2) for i, t in rows], SCHEMA)
 
 
-def brute(rows, size=3, min_words=3):
+def brute(rows, size=3):
     places = defaultdict(list)
     split = {i: (t or "").split("\n") for i, t in rows}
     for i, lines in split.items():
         for p in range(len(lines) - size + 1):
             run = "\n".join(lines[p : p + size])
-            if len(run.encode().split()) >= min_words:
+            if run.encode().split():
                 places[run].append((i, p))
     gone = defaultdict(set)
     for found in places.values():
-        for i, p in sorted(found)[1:]:
-            gone[i] |= set(range(p, p + size))
+        (doc, start), *later = sorted(found)
+        for i, p in later:
+            gone[i] |= {k for k in range(p, p + size) if i != doc or k >= start + size}
     return {
         i: (len(lines), len(gone[i]), "\n".join(x for k, x in enumerate(lines) if k not in gone[i]))
         for i, lines in split.items()
@@ -71,3 +72,18 @@ def test_rows_that_share_an_id_are_documents_of_their_own(spark):
             ],
             key=str,
         )
+
+
+def test_short_lines_and_texts_without_spaces(spark):
+    chinese = "第一段落没有空格\n\n第二段落也没有空格"
+    rows = [(1, chinese), (2, chinese), (3, "a\nb\nc\nd"), (4, "x\nb\nc\nd\ne"), (5, "\n\n \n\t\n"), (6, "\n\n \n\t\n")]
+    out = got(line_dedup.remove_repeated(table(spark, rows)))
+    assert out == brute(rows)
+    assert out[1][1] == 0 and out[2] == (3, 3, "") and out[4] == (5, 3, "x\ne") and out[6][1] == 0
+
+
+def test_a_first_occurrence_stays_whole(spark):
+    rows = [(1, "a b c\na b c\na b c\na b c\nend"), (2, "p q\nr s\n" * 4), (3, "a b c\na b c\na b c")]
+    out = got(line_dedup.remove_repeated(table(spark, rows)))
+    assert out == brute(rows)
+    assert out[1] == (5, 1, "a b c\na b c\na b c\nend") and out[3] == (3, 3, "")
