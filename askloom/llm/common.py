@@ -34,6 +34,17 @@ def discard(*tables: DataFrame) -> None:
                 drop_path(df.sparkSession, folder)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores added until ``df`` has no such column in any letter case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askloom.llm.common import written
+from askloom.llm.common import spare, written
 
 
 def sha256(text: Column) -> Column:
@@ -68,14 +68,9 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
 
     They are found by (winning id, digest), which is unique, so no hot key is joined.
     """
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    best = winners(docs, **options).select(key("keep_id").alias("_key"), F.col("digest").alias("_digest"))
+    as_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    key, digest = spare(docs, "_key", "_digest")
+    best = winners(docs, **options).select(as_key("keep_id").alias(key), F.col("digest").alias(digest))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumns(
-        {"_key": key("doc_id"), "_digest": sha256(F.coalesce(F.col("text"), F.lit("")))}
-    )
-    return (
-        rows.join(best, ["_key", "_digest"], "left_semi")
-        .dropDuplicates(["_key", "_digest"])
-        .select(*columns)
-    )
+    rows = docs.withColumns({key: as_key("doc_id"), digest: sha256(F.coalesce(F.col("text"), F.lit("")))})
+    return rows.join(best, [key, digest], "left_semi").dropDuplicates([key, digest]).select(*columns)

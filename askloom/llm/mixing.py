@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askloom.llm.common import WORD, group_key, prefix_sums, word_count, written
+from askloom.llm.common import WORD, group_key, prefix_sums, spare, word_count, written
 
 
 def targets(sizes: DataFrame, *, weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
@@ -105,24 +105,25 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     Documents without words carry no weight and are kept once.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    marks = shares(rows, carry=("_row",), **options)
+    row, whole, words = spare(docs, "_row", "_size", "_words")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    marks = shares(rows, carry=(row,), **options)
     partly = F.col("taken") - F.col("epochs") * F.col("size")
     lengths = F.concat(
         F.array_repeat(F.col("size"), F.col("epochs").cast("int")),
         F.when(partly > 0, F.array(partly)).otherwise(F.array().cast("array<bigint>")),
     )
     marks = marks.select(
-        "_row",
-        F.col("size").alias("_size"),
-        F.explode(F.when(F.col("size") == 0, F.array(F.lit(0).cast("long"))).otherwise(lengths)).alias("_words"),
+        row,
+        F.col("size").alias(whole),
+        F.explode(F.when(F.col("size") == 0, F.array(F.lit(0).cast("long"))).otherwise(lengths)).alias(words),
     )
     cut = F.array_join(
-        F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("_words").cast("int")), ""
+        F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col(words).cast("int")), ""
     )
-    joined = rows.join(marks, "_row")
-    text = F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text"))
+    joined = rows.join(marks, row)
+    text = F.when(F.col(words) < F.col(whole), cut).otherwise(F.col("text"))
     fresh = {"text": text}
     if "n_chars" in docs.columns:
-        fresh["n_chars"] = F.when(F.col("_words") < F.col("_size"), F.length(cut).cast("long")).otherwise(F.col("n_chars"))
+        fresh["n_chars"] = F.when(F.col(words) < F.col(whole), F.length(cut).cast("long")).otherwise(F.col("n_chars"))
     return joined.withColumns(fresh).select(*columns)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askloom.llm.common import discard, written
+from askloom.llm.common import discard, spare, written
 from askloom.llm.components import components
 
 RADIUS = 3
@@ -248,16 +248,17 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Rows that repeat that id with the same text are one document.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    as_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    key, text = spare(docs, "_key", "_text")
     stay = (
         members(docs)
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(key.alias("_key"), F.col("text_key").alias("_text"))
+        .select(as_key.alias(key), F.col("text_key").alias(text))
     )
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return (
-        docs.withColumns({"_key": key, "_text": F.xxhash64("text")})
-        .join(stay, ["_key", "_text"], "left_semi")
-        .dropDuplicates(["_key", "_text"])
+        docs.withColumns({key: as_key, text: F.xxhash64("text")})
+        .join(stay, [key, text], "left_semi")
+        .dropDuplicates([key, text])
         .select(*columns)
     )

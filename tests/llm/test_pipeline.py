@@ -4,6 +4,7 @@ import corpus_pipeline
 import test_exact_dedup
 import test_packing
 import test_simhash
+from pyspark.sql import functions as F
 
 from askloom.llm.common import written
 
@@ -37,3 +38,17 @@ def test_run_and_empty_input(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    """Columns named like those that the stages use inside, in any letter case, come out as they went in."""
+    names = ("_key", "_Digest", "_text", "_row", "_SIZE", "_words", "_score", "size", "taken", "epochs", "digest", "keep_id", "fp", "text_key")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} of "), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n} of {r['doc_id']}" for r in rows for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
