@@ -3,10 +3,12 @@
 A page becomes a light element tree. Parts that are never article text (menus, page headers and
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden parts) are cut
 off by tag, role, class and id, unless an element holds the page's article or most of its unlinked
-text, as layout wrappers do, or is a form of text rather than of controls. Each text block then earns
+text, as layout wrappers do, or is a form of text rather than of controls; comments and notices come back
+for an article element inside them only. Each text block then earns
 points for its length and its commas and passes them to its ancestors, the nearer the more; a
-container's sum is discounted by the share of its text that is in links. The best container is widened to the article or main element around it.
-Without one it is widened for as long as the unlinked text of its parent is mostly sentences, headings,
+container's sum is discounted by the share of its text that is in links. The best container is widened to the article or main element around it,
+and from an article to a main element around it whose other text reads like the article. Lists of nothing but links stay
+where a heading or paragraph introduces them. Without an article or main element it is widened for as long as the unlinked text of its parent is mostly sentences, headings,
 lists and tables; beside it everything is kept that is not mostly links.
 
 Defined results: a null page is empty; a page of nothing but menus, footers and the like gives ''. If no
@@ -38,7 +40,7 @@ ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to the end tag, and never article text.
-RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg math".split())
+RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol "
@@ -48,7 +50,7 @@ CUT_TAGS = frozenset(
     "head nav footer aside form button select dialog menu object audio video canvas map datalist".split()
 )
 #: Cut off whatever they hold.
-NEVER_TEXT = frozenset("button select dialog object audio video canvas map datalist".split())
+NEVER_TEXT = frozenset("button select dialog object audio video canvas map datalist annotation annotation-xml".split())
 NEVER_ROLES = frozenset("dialog alertdialog alert".split())
 CUT_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split()
@@ -60,11 +62,21 @@ CUT_WORDS = frozenset(
     "related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription "
     "toolbar topbar widget".split()
 )
+#: Words of parts that no size brings back: only an article or main element inside does.
+NOTICE_WORDS = frozenset(
+    "comment comments commentlist consent cookie cookies cookiebar disqus gdpr login modal newsletter notice notification "
+    "paywall popup replies respond signup subscribe subscription".split()
+)
+#: Say that a part holds readers' comments whatever stands beside them, but for words of a switch.
+COMMENT_WORDS = frozenset("comments commentlist disqus".split())
+SWITCH_WORDS = frozenset("closed disabled enabled has no off open with without".split())
+#: Cut off as whole tokens.
+PART_NAMES = frozenset("about-author author-bio author-box author-card skip-link skip-links skip-to-content".split())
 #: What a class or id may say besides a cut word and still name such a part.
 AFFIXES = frozenset(
-    "area bar block blocks bottom box btn button buttons col column container desktop external fixed floating form "
-    "global group icons id inner item items left link links list main mobile module outer panel primary region right "
-    "secondary section site slot sticky text title top unit wrap wrapper".split()
+    "area author avatar bar block blocks bottom box btn button buttons col column container desktop external fixed floating form "
+    "global google group icons id inner item items left link links list main mobile module outer panel primary reader readers region right "
+    "secondary section site slot sticky text thread title top trail unit user users wrap wrapper".split()
 )
 ARTICLE_WORDS = frozenset("article articles content entry page post posts story".split())
 #: Beside an article word these name a part of the article or the layout around it.
@@ -87,14 +99,16 @@ P_SCOPE = frozenset("table td th caption button object html".split())
 TEXT_TAGS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption summary".split())
 #: Kept beside the best container, if they are not mostly links.
 BESIDE = TEXT_TAGS | frozenset("ul ol dl table figure address details hgroup header".split())
+#: Kept beside an article element.
+OWN_TEXT = frozenset("p pre blockquote h1 h2 h3 article".split())
 #: Ancestors that a block passes points to, and the share each gets.
 SHARES = (1.0, 0.5, 1 / 3, 0.25, 0.2)
 LEAST_LENGTH = 25
 MOSTLY_LINKS = 0.5
 #: Characters of text for each control that make a form a container.
 FORM_TEXT = 100
-#: Why an element is cut off: whatever it holds; by its tag or role; by its class or id; as a form.
-NEVER, PART, NAMED, FORM = 1, 2, 3, 4
+#: Why an element is cut off: whatever it holds; by its tag or role; by its class or id; as a form; as notice or comments.
+NEVER, PART, NAMED, FORM, NOTICE = 1, 2, 3, 4, 5
 
 
 class Node:
@@ -110,22 +124,31 @@ class Node:
         self.points, self.length, self.linked, self.links, self.reads = 0.0, 0, 0, 0, 0
 
 
-def names_part(value: str) -> bool:
-    """Whether a token of a class or id names a part that is cut off, and nothing else."""
+def names_part(value: str) -> int:
+    """Why a class or id cuts its element off: a token of it names such a part, and nothing else."""
+    why = 0
     for token in value.split():
         said = {w for w in re.split(r"[^a-z]+", token) if len(w) > 1}
+        if said & COMMENT_WORDS and said.isdisjoint(SWITCH_WORDS):
+            return NOTICE
         cut = said & CUT_WORDS
-        if cut and said <= CUT_WORDS | AFFIXES | ARTICLE_WORDS and (said.isdisjoint(ARTICLE_WORDS) or not cut <= LAYOUT_WORDS):
-            return True
-    return False
+        if token.strip("-_") in PART_NAMES:
+            why = NAMED
+        elif cut and said <= CUT_WORDS | AFFIXES | ARTICLE_WORDS and (said.isdisjoint(ARTICLE_WORDS) or not cut <= LAYOUT_WORDS):
+            if cut & NOTICE_WORDS:
+                return NOTICE
+            why = NAMED
+    return why
 
 
-def cut_off(tag: str, attrs: str, in_article: bool) -> int:
+def cut_off(tag: str, attrs: str, in_article: bool, in_quote: bool = False) -> int:
     """Why an element is cut off, 0 if it is not."""
     if tag in NEVER_TEXT:
         return NEVER
     why = 0
-    if tag in CUT_TAGS or (tag == "header" and not in_article):
+    if tag == "footer" and in_quote:
+        pass  # who is quoted
+    elif tag in CUT_TAGS or (tag == "header" and not in_article):
         why = FORM if tag == "form" else NAMED if tag == "head" else PART
     if not attrs or attrs.isspace():
         return why
@@ -134,8 +157,10 @@ def cut_off(tag: str, attrs: str, in_article: bool) -> int:
         if name in ("class", "id"):
             if tag == "header" and not ARTICLE_WORDS.isdisjoint(re.split(r"[^a-z]+", value)) and why == PART:
                 why = 0  # the article's own header
-            if tag not in SAFE and why in (0, FORM) and names_part(value):
-                why = NAMED
+            if tag == "article" and value.split() and names_part(value) == NOTICE:
+                return NEVER  # a reader's comment
+            if tag not in SAFE and why in (0, FORM, NAMED):
+                why = names_part(value) or why
         elif name == "role":
             if value in NEVER_ROLES:
                 return NEVER
@@ -203,7 +228,8 @@ def tree(page: str) -> list[Node]:
         if tag in BLOCK and tag != "br" and open_tags.get("p"):
             close({"p"}, P_SCOPE)
         parent = stack[-1]
-        node = Node(tag, parent, cut_off(tag, found["attrs"], bool(open_tags.get("article") or open_tags.get("main"))))
+        inside, quoted = (any(open_tags.get(t) for t in tags) for tags in (("article", "main"), ("blockquote", "figure")))
+        node = Node(tag, parent, cut_off(tag, found["attrs"], inside, quoted))
         if tag in ("button", "select") or (tag == "input" and "hidden" not in found["attrs"].lower()):
             node.controls = 1
         parent.kids.append(node)
@@ -344,8 +370,7 @@ def main_text(page: str | None) -> str:
         return ""
     nodes = tree(page)
     measure(nodes)
-    # menus inside the article: lists of nothing but links
-    skip = {id(n) for n in nodes if n.tag in ("ul", "ol") and not n.cut and n.links >= 3 and n.linked == n.length}
+    skip = menus(nodes)
     score = lambda n: n.points * (1 - density(n))
     best = max((n for n in nodes if not n.cut), key=score, default=nodes[0])
     if score(best) <= 0:
@@ -354,7 +379,7 @@ def main_text(page: str | None) -> str:
     while around.parent is not None and around.tag not in ("article", "main"):
         around = around.parent
     if around.tag in ("article", "main"):
-        best = around
+        best = wider(around)
     if best.parent is None:
         return " ".join(blocks(best, skip))
     least, kept, inner = 0.2 * score(best), deque(blocks(best, skip)), best
@@ -368,8 +393,9 @@ def main_text(page: str | None) -> str:
             texts: list[str] = []
             for part in runs(kids):
                 scores = inner is best and score(part) >= max(least, 1e-9)
-                long = part.tag in ("p", "pre", "blockquote", "h1", "h2", "h3") and part.length > 80 and density(part) < 0.25
-                if not part.cut and (scores or long or (not tagged and (article or stands_beside(part)) and density(part) < MOSTLY_LINKS)):
+                # right below the page itself a short line beside an article is more often an imprint
+                text = part.tag in OWN_TEXT and density(part) < 0.25 and (outer.parent is not None or part.length > 80)
+                if not part.cut and (scores or text or (not tagged and (article or stands_beside(part)) and density(part) < MOSTLY_LINKS)):
                     texts += blocks(part, skip)
             if before:
                 kept.extendleft(reversed(texts))
@@ -381,6 +407,35 @@ def main_text(page: str | None) -> str:
     return " ".join(kept)
 
 
+def menus(nodes: list[Node]) -> set[int]:
+    """Lists of nothing but links that no heading or paragraph of the text introduces."""
+    out = set()
+    for node in nodes:
+        if node.tag not in ("ul", "ol") or node.cut or node.links < 3 or node.linked != node.length:
+            continue
+        before = None
+        for kid in node.parent.kids:
+            if kid is node:
+                break
+            if isinstance(kid, Node) and kid.length and not kid.cut:
+                before = kid
+        introduced = before is not None and before.tag in ("p", "h2", "h3", "h4", "h5", "h6") and before.linked < before.length
+        if not introduced:
+            out.add(id(node))
+    return out
+
+
+def wider(inner: Node) -> Node:
+    """The main element around an article if the rest of its unlinked text reads like one."""
+    outer = inner.parent
+    while inner.tag == "article" and outer is not None:
+        if outer.tag == "main":
+            rest = outer.length - outer.linked - (inner.length - inner.linked)
+            return outer if 0 < rest <= 2 * (outer.reads - inner.reads) else inner
+        outer = outer.parent
+    return inner
+
+
 def stands_beside(part: Node) -> bool:
     """Text, a heading, list or table, or an element that mostly holds such."""
     return part.tag in BESIDE or part.tag == "" or 0 < part.length - part.linked <= 2 * part.reads

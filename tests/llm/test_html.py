@@ -142,3 +142,50 @@ def test_chrome_without_sentences_stays_outside():
 def test_siblings_of_an_article_tag_are_chosen_as_before():
     page = f"<article><p>{PARA * 3}</p></article><article><p>{PARA * 2}</p></article><div>short</div><p>short</p>"
     assert html.main_text(page) == " ".join((PARA * 5).split())
+
+
+LONG = "A sentence of the article that has some words, and a comma."
+
+
+@pytest.mark.parametrize("name", ["comments", "user-comments", "reader-comments", "comments-thread", "cookie-consent", "newsletter"])
+@pytest.mark.parametrize("count", [1, 4, 40])
+def test_comments_and_notices_of_any_size_stay_out(name, count):
+    said = "".join(f"<p>Reader {i} says quite a lot here, and more than the article does.</p>" for i in range(count))
+    page = f'<body><div class="article-content"><p>{LONG}</p></div><div id="{name}">{said}</div></body>'
+    assert html.main_text(page) == LONG
+    page = f'<body><div class="article-content"><p>{LONG}</p></div><div><article class="comment">{said}</article></div></body>'
+    assert html.main_text(page) == LONG
+
+
+def test_switches_and_papers_are_no_comments():
+    for name in ("comments-open", "no-comments", "has-comments", "commentary", "discussion"):
+        assert html.main_text(f'<div class="page {name}"><p>{LONG}</p></div>') == LONG
+
+
+@pytest.mark.parametrize("name", ["google-ads", "breadcrumb-trail", "skip-link", "author-box"])
+def test_named_chrome_goes(name):
+    page = f'<body><div class="{name}">Some words of chrome</div><div class="content"><p>{LONG}</p><p>{LONG}</p></div></body>'
+    assert html.main_text(page) == f"{LONG} {LONG}"
+
+
+def test_what_stands_around_an_article_in_main_stays():
+    page = f"<main><h1>Short title</h1><p>Lead.</p><div><article><p>{LONG}</p><p>{LONG}</p></article></div><p>Last para.</p></main>"
+    assert html.main_text(page) == f"Short title Lead. {LONG} {LONG} Last para."
+    two = f"<main><article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article><article><p>A short second.</p></article></main>"
+    assert html.main_text(two) == f"{LONG} {LONG} {LONG} A short second."
+    beside = f"<div><article><p>{LONG}</p><p>{LONG}</p></article><p>Short end.</p></div>"
+    assert html.main_text(beside) == f"{LONG} {LONG} Short end."
+
+
+def test_lists_of_links_under_a_heading_stay():
+    links = "<ul>" + "".join(f'<li><a href="/{i}">Source {i}</a></li>' for i in range(4)) + "</ul>"
+    named = "Source 0 Source 1 Source 2 Source 3"
+    assert html.main_text(f"<article><p>{LONG}</p><h2>Sources</h2>{links}</article>") == f"{LONG} Sources {named}"
+    assert html.main_text(f"<article>{links}<p>{LONG}</p></article>") == LONG
+
+
+def test_formulas_and_quotations_are_text():
+    page = f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>"
+    assert html.main_text(page) == f"{LONG} x=2 holds."
+    quote = f"<article><p>{LONG}</p><blockquote><p>{LONG}</p><footer>Ada Writer</footer></blockquote></article><footer>Imprint</footer>"
+    assert html.main_text(quote) == f"{LONG} {LONG} Ada Writer"
