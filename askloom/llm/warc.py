@@ -303,7 +303,9 @@ def header_row(head: bytes) -> dict:
         column = FIELDS.get(name.strip().lower())
         if colon and column:
             row[column] = value.strip()
-    row["content_length"] = int(row["content_length"] or 0)
+    length = (row["content_length"] or "0").strip()
+    # a length that is no number makes the record damaged: it has none
+    row["content_length"] = int(length) if re.fullmatch(r"[0-9]{1,18}", length) else None
     for name in ("record_id", "refers_to"):
         if row[name]:
             row[name] = row[name].strip("<>")
@@ -314,10 +316,31 @@ def header_row(head: bytes) -> dict:
 
 def http_head(block: bytes) -> tuple[int | None, int | None]:
     status = re.match(rb"HTTP/\S+ (\d{3})", block)
-    length = re.search(rb"\r\ncontent-length:[ \t]*(\d+)", block, re.I)
+    length = re.search(rb"\ncontent-length:[ \t]*(\d+)", block, re.I)
     return (int(status[1]) if status else None), (int(length[1]) if length else None)
 
 
+def http_split(record: Block, body: int, end: int) -> int:
+    """Where the HTTP head of a block ends, told by the line ends of its first line.
+
+    Without an empty line the block is all payload.
+    """
+    first = record.until(b"\n", body)
+    if first < 0 or first > end:
+        return body
+    marks = (b"\r\n\r\n", b"\n\n") if record.data[first - 2 : first] == b"\r\n" else (b"\n\n", b"\r\n\r\n")
+    for mark in marks:
+        if 0 <= (split := record.until(mark, body)) <= end:
+            return split
+    return body
+
+
+def next_header(record: Block, at: int) -> int:
+    """Where the next record of a plain file begins, after one of unknown length; the file's end if none does."""
+    found = record.until(b"\r\n\r\nWARC/", at)
+    return len(record.data) if found < 0 else found - len(b"WARC/")
+
+
 def records(path: str, wanted, payloads: bool, http: bool, verify: bool, store=None) -> Iterator[dict]:
     """Rows of one archive for which ``wanted(header)`` holds."""
     if store is None:
@@ -340,13 +363,20 @@ def records(path: str, wanted, payloads: bool, http: bool, verify: bool, store=N
             if body < 0:
                 raise ValueError(f"{path}: no WARC header at byte {start}")
             row = header_row(record.data[:body])
+            if row["content_length"] is None:  # damaged: the header alone is known
+                if wanted(row):
+                    yield row | {"offset": start, "file": path}
+                if packed:
+                    start = start + length if length else record.member_end()
+                else:
+                    start += next_header(record, body - 4)
+                continue
             end = body + row["content_length"]
             if wanted(row):
                 row |= {"offset": start, "file": path}
                 is_http = (row["content_type"] or "").startswith("application/http")
                 if payloads or verify or (http and is_http):
-                    split = min(record.until(b"\r\n\r\n", body), end) if is_http and row["content_length"] else body
-                    split = end if split < 0 else split
+                    split = http_split(record, body, end) if is_http and row["content_length"] else body
                     row["http_status"], told = http_head(record.data[body:split]) if is_http else (None, None)
                     here = end - split
                     row["payload_length"] = told if row["record_type"] == "revisit" else here

@@ -111,3 +111,46 @@ def test_a_damaged_payload_is_noticed(spark, tmp_path):
         f.write(warc.member(data.replace(b"good", b"evil")))
     with pytest.raises(ValueError, match="digest"):
         list(warc.records(name, lambda row: True, True, True, True))
+
+
+def crawled(head, payload, length=None):
+    block = head + payload
+    return (b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:%d>\r\nContent-Type: application/http; msgtype=response\r\n"
+            b"Content-Length: %s\r\n\r\n" % (len(block), length or str(len(block)).encode())) + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_http_heads_of_any_line_ends(spark, tmp_path, packed):
+    """Bare line feeds, payloads that hold the other empty line, and blocks without a head."""
+    cases = [
+        (b"HTTP/1.1 200 OK\nContent-Length: 3\n\n", b"abc", 200), (b"HTTP/1.1 404 No\n\n", b"a\r\n\r\nb", 404),
+        (b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n", b"x\n\ny", 200), (b"", b"no head at all", None), (b"HTTP/1.0 200 OK\n\r\n\r\n", b"mixed", 200),
+    ]
+    folder = tmp_path / "f"
+    folder.mkdir()
+    parts = [crawled(head, payload) for head, payload, _ in cases]
+    if packed:
+        (folder / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    else:
+        (folder / "a.warc").write_bytes(b"".join(parts))
+    rows = warc.read_archives(spark, str(folder)).orderBy("offset").collect()
+    assert [(bytes(r.payload), r.http_status) for r in rows] == [(p, s) for _, p, s in cases]
+    assert [r.payload_length for r in rows] == [len(p) for _, p, _ in cases]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("length", [b"many", b"-5", b"1e3"])
+def test_a_length_that_is_no_number(spark, tmp_path, packed, length):
+    """The record has no payload and no length, the ones after it are read."""
+    folder = tmp_path / "f"
+    folder.mkdir()
+    head = b"HTTP/1.1 200 OK\r\n\r\n"
+    parts = [crawled(head, b"one"), crawled(head, b"damaged", length), crawled(head, b"three!")]
+    if packed:
+        (folder / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    else:
+        (folder / "a.warc").write_bytes(b"".join(parts))
+    rows = warc.read_archives(spark, str(folder)).orderBy("offset").collect()
+    assert [r.payload and bytes(r.payload) for r in rows] == [b"one", None, b"three!"]
+    assert [r.content_length is None for r in rows] == [False, True, False]
+    assert warc.read_archives(spark, str(folder)).where("content_length > 0").count() == 2
