@@ -7,7 +7,7 @@ the way: of the whole text for relevance, of the title for near-duplicates.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,9 @@ from askloom.settings import DEFAULTS, Settings
 
 SCORE_DIGITS = 6
 HEAD_ROWS = 8192
-SLICE_ROWS = 50_000
+SLICE_ROWS = 4096
+#: Lengths are compared with this much room, so that no similar pair is missed by rounding.
+SLACK = 1e-9
 
 
 def normalize(articles: DataFrame) -> DataFrame:
@@ -120,21 +122,78 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _far_from(threshold: float, schema: St.StructType):
-    """Rows of one slice that are not too similar to any kept row of the question."""
+def _leading_dims(threshold: float, order: list[int]):
+    """Dimensions of a vector that any vector more similar than ``threshold`` shares one of.
 
-    def run(rows: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or kept.empty:
-            return rows[schema.names]
-        unit, against = _unit(rows["embedding"]), _unit(kept["embedding"]).T
-        near = np.concatenate(
-            [(unit[i : i + 1024] @ against > threshold).any(axis=1) for i in range(0, len(unit), 1024)]
-        )
-        return rows.loc[~near, schema.names]
+    With the dimensions in one order for all, rarest first, a vector's leading ones are cut where what
+    follows has no more than ``threshold`` of its length. Two vectors that share no leading dimension
+    overlap in what follows in one of them alone, so they are no more similar than that.
+    """
+
+    @F.pandas_udf("array<int>")
+    def run(vectors: pd.Series) -> pd.Series:
+        ranked = _unit(vectors)[:, order] if len(vectors) else np.zeros((0, 0))
+        after = np.sqrt(np.maximum(np.cumsum((ranked**2)[:, ::-1], axis=1)[:, ::-1], 0))
+        leading = (after > threshold - SLACK) & (ranked != 0)
+        dims = np.array(order, np.int32)
+        return pd.Series([dims[row] for row in leading], index=vectors.index, dtype=object)
 
     return run
 
 
+def _rarest_first(rows: DataFrame) -> list[int]:
+    """The dimensions by how many vectors use them: as many numbers as a vector is long."""
+    used = rows.select(F.posexplode("embedding").alias("dim", "x")).groupBy("dim").agg(F.count_if(F.col("x") != 0).alias("n"))
+    return [r["dim"] for r in used.orderBy("n", "dim").collect()]
+
+
+def _has_near(threshold: float):
+    """Rows of the left block with a similar row in the right one that comes before them."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"_row": pd.Series([], dtype="int64")})
+        both = pd.concat([left[["position", "doc_id"]], right[["position", "doc_id"]]], ignore_index=True)
+        place = np.empty(len(both), np.int64)
+        place[both.sort_values(["position", "doc_id"], kind="stable").index] = np.arange(len(both))
+        mine, theirs = place[: len(left)], place[len(left) :]
+        unit, against = _unit(left["embedding"]), _unit(right["embedding"]).T
+        found = np.zeros(len(left), bool)
+        for i in range(0, len(left), 1024):
+            close = unit[i : i + 1024] @ against > threshold
+            close &= theirs[None, :] < mine[i : i + 1024, None]
+            close &= right["_row"].to_numpy()[None, :] != left["_row"].to_numpy()[i : i + 1024, None]
+            found[i : i + 1024] = close.any(axis=1)
+        return pd.DataFrame({"_row": left["_row"].to_numpy()[found]})
+
+    return run
+
+
+def _near(left: DataFrame, right: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """(_row) of left rows with a similar earlier row on the right; neither pairs nor large groups are made.
+
+    Rows of a question meet where they share a leading dimension, in blocks of about ``block_rows``.
+    """
+    bucket = ["query_id", "dim"]
+    columns = ("query_id", "position", "doc_id", "_row", "embedding")
+    # columns by fresh names, as both sides may be the same rows
+    sides = [df.select(*(F.col(c).alias(c) for c in columns), F.explode("dims").alias("dim")) for df in (left, right)]
+    blocks = [
+        side.groupBy(*bucket).agg(F.ceil(F.count("*") / block_rows).alias(name)) for side, name in zip(sides, ("_nl", "_nr"))
+    ]
+    counts = cut_lineage(blocks[0].join(blocks[1], bucket))
+    own = lambda n: F.pmod(F.xxhash64("_row"), F.col(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    keys = [*bucket, "_bl", "_br"]
+    mine = sides[0].join(counts, bucket).withColumn("_bl", own("_nl")).withColumn("_br", all_of("_nr"))
+    theirs = sides[1].join(counts, bucket).withColumn("_br", own("_nr")).withColumn("_bl", all_of("_nl"))
+    pick = [*keys, "position", "doc_id", "_row", "embedding"]
+    found = mine.select(*pick).groupBy(*keys).cogroup(theirs.select(*pick).groupBy(*keys)).applyInPandas(
+        _has_near(threshold), "_row long"
+    )
+    return found.distinct()
+
+
 def greedy_dedup(
     rows: DataFrame, threshold: float = DEFAULTS.news_dedup, head_rows: int = HEAD_ROWS,
     slice_rows: int = SLICE_ROWS,
@@ -143,13 +202,14 @@ def greedy_dedup(
 
     Needs (query_id, position, doc_id, embedding); returns (query_id, position,
     doc_id) of the kept rows. Exact, and safe for a question with any number of
-    rows: copies of one vector are reduced to the first by an aggregate; then, in
-    rounds, the first ``head_rows`` rows of each question are settled in one
-    bounded task and the rest, in slices of about ``slice_rows`` rows, is filtered
-    against what they kept. No similar pair is ever written out. A question with
-    up to ``head_rows`` different rows takes one round.
+    rows: copies of one vector are reduced to the first by an aggregate; a question with up to
+    ``head_rows`` different rows is settled in one bounded task. A larger one goes by rounds: a row
+    without an earlier similar row among those left is kept, and rows similar to one of these drop.
+    So the number of rounds follows the longest chain of rows that wait for one another, not the number
+    of rows. No similar pair is ever written out.
     """
     schema = St.StructType([rows.schema[c] for c in ("query_id", "position", "doc_id", "embedding")])
+    names = ("query_id", "position", "doc_id")
     rows = rows.select(*schema.names)
     first = F.min(F.struct("position", "doc_id")).alias("first")
     zero = F.forall("embedding", lambda x: x == 0)
@@ -161,43 +221,28 @@ def greedy_dedup(
         .agg(first)
         .select("query_id", "first.position", "first.doc_id", "embedding")
     )
-    order = Window.partitionBy("query_id").orderBy("position", "doc_id")
-    kept_parts: list[DataFrame] = []
-    while True:
-        head = remaining.withColumn("_n", F.row_number().over(order)).filter(
-            F.col("_n") <= head_rows
-        )
-        kept = cut_lineage(
-            head.drop("_n").groupBy("query_id").applyInPandas(_greedy(threshold, schema), schema)
-        )
-        kept_parts.append(kept)
-        # questions with rows behind their head, and where the head ends
-        ends = cut_lineage(
-            head.filter(F.col("_n") == head_rows).select(
-                "query_id", F.struct("position", "doc_id").alias("_end")
-            )
-        )
-        if ends.isEmpty():
-            break
-        rest = remaining.join(ends, "query_id").filter(
-            F.struct("position", "doc_id") > F.col("_end")
-        )
-        # enough slices even if one question owns every row
-        salts = max(1, math.ceil(remaining.count() / slice_rows))
-        salted = rest.drop("_end").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-        copies = kept.join(ends, "query_id", "left_semi").withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
-        )
-        keys = ("query_id", "_salt")
-        remaining = cut_lineage(
-            salted.groupBy(*keys)
-            .cogroup(copies.groupBy(*keys))
-            .applyInPandas(_far_from(threshold, schema), schema)
-        )
-    out = kept_parts[0]
-    for part in kept_parts[1:]:
-        out = out.unionByName(part)
-    return out.select("query_id", "position", "doc_id")
+    sizes = remaining.groupBy("query_id").agg(F.count("*").alias("_n"))
+    large = cut_lineage(sizes.where(F.col("_n") > head_rows).select("query_id"))
+    few = remaining.join(large, "query_id", "left_anti")
+    out = few.groupBy("query_id").applyInPandas(_greedy(threshold, schema), schema).select(*names)
+    if large.isEmpty():
+        return out
+    for kept in _rounds(remaining.join(large, "query_id", "left_semi"), threshold, slice_rows):
+        out = out.unionByName(kept.select(*names))
+    return out
+
+
+def _rounds(rows: DataFrame, threshold: float, block_rows: int) -> Iterator[DataFrame]:
+    """What each round keeps."""
+    numbered = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+    waiting = cut_lineage(numbered.withColumn("dims", _leading_dims(threshold, _rarest_first(numbered))("embedding")))
+    while not waiting.isEmpty():
+        held = cut_lineage(_near(waiting, waiting, threshold, block_rows))
+        kept = cut_lineage(waiting.join(held, "_row", "left_anti"))
+        yield kept
+        rest = cut_lineage(waiting.join(held, "_row", "left_semi"))
+        gone = cut_lineage(_near(rest, kept, threshold, block_rows))
+        waiting = cut_lineage(rest.join(gone, "_row", "left_anti"))
 
 
 def recent(

@@ -44,6 +44,28 @@ def test_dedup_against_loop_with_hot_group_and_copies(spark, head):
     assert got == loop(rows, 0.8)
 
 
+def test_one_question_with_many_titles_takes_few_rounds(spark, monkeypatch):
+    """Rounds follow the longest chain of rows that wait for one another, not the number of rows."""
+    rng = np.random.default_rng(3)
+    rows = [sorted(rng.choice(300, 8, replace=False)) for _ in range(5000)]
+    for i in rng.choice(5000, 900, replace=False):  # near copies of other titles, and copies of those
+        rows[i] = [x if k else int(rng.integers(300)) for k, x in enumerate(rows[int(rng.integers(5000))])]
+    for k in range(8):  # a chain: each is near the one before it, and to no other
+        rows[100 + 2 * k] = list(range(2 * k, 2 * k + 8))
+    vectors = np.zeros((5000, 300))
+    for i, dims in enumerate(rows):
+        vectors[i, dims] = rng.choice([1.0, -1.0], 8) if i % 2 else 1.0
+    df = spark.createDataFrame([(1, i, i, v.tolist()) for i, v in enumerate(vectors)], ROW)
+    parts, real = [], A._rounds
+    monkeypatch.setattr(A, "_rounds", lambda *a: (parts.append(p) or p for p in real(*a)))
+    got = {r["doc_id"] for r in A.greedy_dedup(df, 0.7, head_rows=100, slice_rows=500).collect()}
+    unit, kept = vectors / np.sqrt((vectors**2).sum(1, keepdims=True)), []
+    for i in range(5000):
+        if not kept or not (unit[kept] @ unit[i] > 0.7).any():
+            kept.append(i)
+    assert got == set(kept) and len(kept) < 4900 and 2 <= len(parts) < 10
+
+
 def test_merge(spark):
     schema = "query_id int, url string"
     primary = spark.createDataFrame([(1, "a"), (2, "x"), (2, "y"), (2, "z")], schema)
