@@ -1,16 +1,19 @@
 """License notices found by conditional compression and exact wording.
 
 A text that names a licensing term is read as words, over line breaks. Wherever enough of a template's
-word pairs stand near one diagonal, the template is aligned with the words there, in a window sized
-from its length. An alignment is confirmed if the words of the template that the text lacks and the
+word pairs stand near one diagonal, a candidate block is proposed: a window sized from the template.
+Every proposed block is compressed plain and with each template as a zstandard raw-content dictionary:
+the more of a template's wording the block repeats, the more bytes its dictionary saves. The templates
+are ranked by that, and only those that save nearly as much as the best, ``NEARLY`` of its bytes, are
+compared word by word. A template is confirmed if the words of it that the block lacks and the
 words inside the matched span that the template lacks are at most ``MAX_DIFFERENCE`` of its words, no
-lacking word has a digit (a version) and no differing word belongs to the name of a license.
+lacking word has a digit (a version), no differing word belongs to the name of a license, and the
+sentence does not deny it right before the span (``NEGATIONS``).
 
 What no confirmed notice covers is cut into sentences and lines; runs of them that name licensing
-terms form the other candidate blocks. These are compressed plain and with each template as a
-zstandard raw-content dictionary: the more of a template's wording a block repeats, the more bytes its
-dictionary saves. The one with the fewest differences among those that save nearly as much as the
-best is named as the nearest template, unconfirmed.
+terms, with ``MAX_GAP`` others between them at most, form the other candidate blocks. They are ranked in
+the same way; of those that save nearly as much as the best, the template with the fewest differences is
+named as the nearest, unconfirmed. The two limits decide what is reported of unconfirmed blocks, no notice.
 
 Defined results: a row per confirmed notice and per other candidate block, in text order; ``begin`` is
 where the line or sentence of its first word begins; documents without a candidate give no row. A null
@@ -48,6 +51,7 @@ TEMPLATES = {
         'copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF '
         "ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS "
         "FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "License: MIT",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -57,6 +61,8 @@ TEMPLATES = {
         "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
         'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR '
         "CONDITIONS OF ANY KIND, either express or implied.",
+        "License: Apache-2.0",
+        "Licensed under the Apache License 2.0.",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
@@ -66,6 +72,7 @@ TEMPLATES = {
         "(at your option) any later version.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
         "General Public License as published by the Free Software Foundation, version 3 of the License.",
+        "SPDX-License-Identifier: GPL-3.0-only",
     ),
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
@@ -77,6 +84,7 @@ TEMPLATES = {
         "General Public License as published by the Free Software Foundation; version 2 of the License.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
         "General Public License version 2 as published by the Free Software Foundation.",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
     ),
     "AGPL-3.0": (
         "This work is licensed under the GNU Affero General Public License, version 3.",
@@ -84,6 +92,7 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
         "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
         "(at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
     ),
     "LGPL-3.0": (
         "This work is licensed under the GNU Lesser General Public License, version 3.",
@@ -94,6 +103,27 @@ TEMPLATES = {
         "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
         "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
         "(at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+    ),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+        "(at your option) any later version.",
+    ),
+    "EPL-2.0": (
+        "SPDX-License-Identifier: EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+        "2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"),
+    "Zlib": (
+        "SPDX-License-Identifier: Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+        "held liable for any damages arising from the use of this software. Permission is granted to anyone to use "
+        "this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
     ),
     "MPL-2.0": (
         "SPDX-License-Identifier: MPL-2.0",
@@ -156,7 +186,7 @@ TEMPLATES = {
 TERMS = (
     "licens", "licenc", "spdx-", "copyright", "creative commons", "public domain", "free software",
     "permission is", "permission to", "redistribut", "without warrant", '"as is"', "source code form",
-    "mozilla public", "unencumbered",
+    "mozilla public", "unencumbered", "eclipse public",
 )
 #: Units without a term that a block may span, so that a long notice stays one block.
 MAX_GAP = 1
@@ -165,8 +195,10 @@ MAX_DIFFERENCE = 0.25
 #: Words, or parts of hyphenated words, that tell the names of licenses apart.
 NAMES = frozenset(
     "affero lesser library sharealike share alike noncommercial commercial noderivatives noderivs derivs attribution "
-    "version apache mozilla mit bsd isc gnu cc nc sa nd".split()
+    "version apache mozilla mit bsd isc gnu cc nc sa nd eclipse boost zlib".split()
 )
+#: Words that deny a notice, if they stand in its sentence within so many words before it.
+NEGATIONS, DENIED_WITHIN = frozenset("not never neither nor isn aren wasn weren".split()), 4
 SPDX = "spdx-license-identifier"
 OUTPUT = (
     "block int, begin long, n_words long, license string, variant int, plain_bytes long, saved_bytes long, "
@@ -265,30 +297,52 @@ def pairs() -> dict[tuple[str, str], list[tuple[int, int]]]:
     return dict(out)
 
 
-def hits(words: list[str]) -> list[tuple[int, int, int, int, int, int]]:
-    """(score, first, end, template, n_missing, n_extra) of the confirmed alignments, overlaps included."""
+def proposed(words: list[str]) -> Iterator[tuple[int, int]]:
+    """Candidate blocks: windows where word pairs of a template stand near one diagonal."""
     index, shifts = pairs(), defaultdict(list)
     for j, pair in enumerate(zip(words, words[1:])):
         for t, k in index.get(pair, ()):
             shifts[t].append(j - k)
-    out = []
     for t, found in shifts.items():
-        wording = templates()[t][2]
+        size = len(templates()[t][2])
         found.sort()
-        slack = int(MAX_DIFFERENCE * len(wording))
+        slack = int(MAX_DIFFERENCE * size)
         # a differing word breaks two pairs at most, and shifts what follows by one
-        need = max(1, len(wording) - 1 - 2 * slack)
+        need = max(1, size - 1 - 2 * slack)
         at = 0
         while at < len(found):
             if bisect_right(found, found[at] + slack) - at < need:
                 at += 1
                 continue
-            low = max(found[at], 0)
-            got = aligned(wording, words[low : found[at] + 2 * slack + len(wording)])
+            yield max(found[at], 0), min(found[at] + 2 * slack + size, len(words))
+            at = bisect_right(found, found[at] + slack)
+
+
+def ranked(words: list[str]) -> tuple[int, list[tuple[int, int]]]:
+    """Compressed size of a block, and (bytes saved, template) of the templates, those that save most first."""
+    data = " ".join(words).encode()
+    alone = len(plain().compress(data))
+    saved = [(alone - len(c.compress(data)), t) for t, (_, _, _, c) in enumerate(templates())]
+    return alone, sorted(saved, key=lambda x: (-x[0], x[1]))
+
+
+def nearly_best(words: list[str]) -> list[int]:
+    """The templates whose dictionaries save nearly as much of a block as the best one's."""
+    saved = ranked(words)[1]
+    return [t for n, t in saved if n > 0 and n >= NEARLY * saved[0][0]]
+
+
+def hits(words: list[str]) -> list[tuple[int, int, int, int, int, int]]:
+    """(score, first, end, template, n_missing, n_extra) of the confirmed alignments, overlaps included."""
+    out = []
+    for low, high in sorted(set(proposed(words))):
+        block = words[low:high]
+        for t in nearly_best(block):
+            wording = templates()[t][2]
+            got = aligned(wording, block)
             if got and confirmed(wording, got[0], got[1]):
                 missing, extra = len(got[0]), len(got[1])
                 out.append((len(wording) - 2 * missing - extra, low + got[2], low + got[3], t, missing, extra))
-            at = bisect_right(found, found[at] + slack)
     return out
 
 
@@ -343,24 +397,33 @@ def row(words: list[str], found: tuple[int, int, int]) -> dict:
 
 def nearest(words: list[str]) -> dict:
     """The nearest template of a block that has no confirmed notice."""
-    data = " ".join(words).encode()
-    alone = len(plain().compress(data))
-    ranked = sorted(((alone - len(c.compress(data)), name, number, wording) for name, number, wording, c in templates()), key=lambda x: -x[0])
-    most = ranked[0][0]
+    alone, saved = ranked(words)
+    most = saved[0][0]
     found = {"n_words": len(words), "plain_bytes": alone, "saved_bytes": max(most, 0), "exact": False, "confirmed": False}
     best = None
-    for saved, name, number, wording in ranked:
-        if saved <= 0 or saved < NEARLY * most:
+    for n, t in saved:
+        if n <= 0 or n < NEARLY * most:
             break
+        name, number, wording, _ = templates()[t]
         missing, extra = differences(wording, words)
         # of equally exact wordings the longer one says more
         rank = ((len(missing) + extra) / len(wording), -len(wording))
         if best is None or rank < best[0]:
-            best = rank, saved, name, number, missing, extra
+            best = rank, n, name, number, missing, extra
     if best is None:
         return found
-    _, saved, name, number, missing, extra = best
-    return found | {"license": name, "variant": number, "saved_bytes": saved, "n_missing": len(missing), "n_extra": extra}
+    _, n, name, number, missing, extra = best
+    return found | {"license": name, "variant": number, "saved_bytes": n, "n_missing": len(missing), "n_extra": extra}
+
+
+def denied(text: str, places: list[tuple[int, int]], first: int) -> bool:
+    """Whether a word right before the span, in the same sentence, takes the notice back."""
+    for k in range(first - 1, max(first - 1 - DENIED_WITHIN, -1), -1):
+        if re.search(r"[.!?;:\n]", text[places[k][1] : places[k + 1][0]]):
+            return False
+        if text[slice(*places[k])].lower() in NEGATIONS:
+            return True
+    return False
 
 
 def identify(block: str) -> dict:
@@ -374,9 +437,9 @@ def identify(block: str) -> dict:
 
 def rows_of(text: str) -> Iterator[dict]:
     """The confirmed notices of a text and its other candidate blocks, in text order."""
-    words = [m[0].lower() for m in WORDS.finditer(text)]
-    found = notices(words)
-    places = [m.span() for m in WORDS.finditer(text)] if found else []
+    places = [m.span() for m in WORDS.finditer(text)]
+    words = [text[a:b].lower() for a, b in places]
+    found = [n for n in notices(words) if not denied(text, places, n[0])]
     units = [m.start() for m in UNIT.finditer(text)] if found else []
     at = 0
     for first, end, *rest in found:

@@ -1,3 +1,4 @@
+import random
 import re
 import textwrap
 
@@ -106,3 +107,55 @@ def test_terms_are_found_over_any_line_break(spark):
     texts = [wording.replace(" ", "\n") for variants in licenses.TEMPLATES.values() for wording in variants]
     got = licenses.scan(table(spark, list(enumerate(texts)))).where("confirmed and exact").collect()
     assert sorted(r.doc_id for r in got) == list(range(len(texts)))
+
+
+def test_denied_notices_are_not_confirmed():
+    assert confirmed("This is not released under the MIT License.") == []
+    assert confirmed("It isn't released under the MIT License.") == []
+    assert confirmed("Do not copy this. Released under the MIT License.") == ["MIT"]
+    assert confirmed("Do not copy this\nReleased under the MIT License.") == ["MIT"]
+
+
+def test_identifiers_of_versions_and_one_line_wordings():
+    lines = {
+        "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "SPDX-License-Identifier: GPL-3.0-only": "GPL-3.0",
+        "SPDX-License-Identifier: EPL-2.0": "EPL-2.0", "License: MIT": "MIT", "SPDX-License-Identifier: LGPL-2.1-only": "LGPL-2.1",
+        "Licensed under the Apache License 2.0": "Apache-2.0", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    }
+    for line, name in lines.items():
+        assert confirmed(line) == [name], line
+    assert confirmed("SPDX-License-Identifier: GPL-4.0-only") == []
+
+
+def test_the_dictionaries_decide_what_is_compared(monkeypatch):
+    """Without the dictionaries no template saves a byte, and nothing is confirmed."""
+    texts = [v for variants in licenses.TEMPLATES.values() for v in variants]
+    assert all(confirmed(t) for t in texts)
+    compared = []
+    real = licenses.aligned
+    monkeypatch.setattr(licenses, "aligned", lambda *a: compared.append(a) or real(*a))
+    monkeypatch.setattr(licenses, "templates", lambda known=licenses.templates(): [(n, k, w, licenses.plain()) for n, k, w, _ in known])
+    assert [confirmed(t) for t in texts] == [[]] * len(texts) and not compared
+
+
+def test_against_all_templates_at_all_places(monkeypatch):
+    """Brute force: every window of every template's size is a candidate block."""
+    rng = random.Random(5)
+    names = list(licenses.TEMPLATES)
+    texts = []
+    for _ in range(12):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            words = rng.choice(licenses.TEMPLATES[rng.choice(names)]).split()
+            for _ in range(rng.choice([0, 0, 1, 2]) * (len(words) > 8)):
+                words[rng.randrange(len(words))] = rng.choice(["word", "the", "free"])
+            parts += ["plain"] * rng.randint(0, 6) + words
+        texts.append(" ".join(parts))
+    got = [confirmed(t) for t in texts]
+
+    def every(words):
+        sizes = {(len(w), int(licenses.MAX_DIFFERENCE * len(w))) for _, _, w, _ in licenses.templates()}
+        return {(low, min(low + 2 * slack + size, len(words))) for size, slack in sizes for low in range(len(words))}
+
+    monkeypatch.setattr(licenses, "proposed", every)
+    assert [confirmed(t) for t in texts] == got and sum(map(len, got)) > 6
