@@ -34,21 +34,24 @@ LIST_NAMES = (
 def json_payload(text: Column) -> Column:
     """JSON text of the first object in a noisy text, else of the first array, else NULL.
 
-    Tried in order: the whole text, fenced blocks, values that start inside the
-    text. The Python scan gets only texts that hold no object before it.
+    Tried in order: the whole text, fenced blocks, values that start inside the text. A text that is a
+    value as a whole, or in a fence, is read in the JVM; the Python scan gets only texts that hold no
+    such object and still have a bracket that could open a value.
     """
     whole = T.strip(F.coalesce(text, F.lit("")))
-    fences = F.transform(
-        F.regexp_extract_all(whole, F.lit(r"(?i)```(?:json)?\s*([\s\S]*?)\s*```"), F.lit(1)), T.strip
-    )
-    valid = lambda arr: F.filter(arr, lambda c: F.try_parse_json(c).isNotNull())
-    first = lambda arr, mark: F.get(F.filter(arr, lambda c: c.startswith(mark)), F.lit(0))
-    plain = valid(F.concat(F.array(whole), fences))
-    plain_object = first(plain, "{")
-    inner = udfs.embedded_json(F.when(plain_object.isNull(), whole))
-    return F.coalesce(
-        plain_object, F.when(inner.startswith("{"), inner), first(plain, "["), inner
+    valid = lambda c, mark: c.startswith(mark) & F.try_parse_json(c).isNotNull()
+    # the pattern is searched for only where a fence stands
+    fences = F.when(
+        whole.contains("```"),
+        F.transform(F.regexp_extract_all(whole, F.lit(r"(?i)```(?:json)?\s*([\s\S]*?)\s*```"), F.lit(1)), T.strip),
     )
+    first = lambda mark: F.get(F.filter(fences, lambda c: valid(c, mark)), F.lit(0))
+    plain_object = F.when(valid(whole, "{"), whole).otherwise(first("{"))
+    plain_array = F.when(valid(whole, "["), whole).otherwise(first("["))
+    # without an opening brace the scan could only find an array
+    open_ended = whole.contains("{") | (whole.contains("[") & plain_array.isNull())
+    inner = udfs.embedded_json(F.when(open_ended & plain_object.isNull(), whole))
+    return F.coalesce(plain_object, F.when(inner.startswith("{"), inner), plain_array, inner)
 
 
 def lenient_int(text: Column) -> Column:
