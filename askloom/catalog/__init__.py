@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ("corpus", "questions", "retrieval", "evaluation", "articles", "reporting")
+SECTIONS = ("corpus", "questions", "retrieval", "evaluation", "articles", "fallback", "reporting")
 
 
 def load():

@@ -340,7 +340,7 @@ def dynamic_chunks(
     scores = sourced.groupBy("query_id", "source").agg(
         F.max_by("relevance_score", F.struct("position", "doc_id")).alias("relevance_score")
     )
-    docs = sourced.select("query_id", "doc_id", "source", F.col("combined").alias("text")).filter(
+    docs = sourced.select("query_id", "position", "doc_id", "source", F.col("combined").alias("text")).filter(
         F.col("text") != ""
     )
     chunks = chunk_flat(docs, settings.article_chunk_size, 0, doc_type="dynamic")
