@@ -19,6 +19,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +30,10 @@ from askloom.session import cut_lineage
 from askloom.settings import DEFAULTS, Settings
 
 SCORE_DIGITS = 6
-#: Chunks of a block, on average, and postings of a folder.
+#: Chunks of a block, on average, tokens of a task that makes blocks, and postings of a folder.
 BLOCK_CHUNKS = 256
-PART_POSTINGS = 16_000_000
+TASK_TOKENS = 4_000_000
+PART_POSTINGS = 64_000_000
 LEAST_PARTS = 8
 #: Block numbers of a segment begin at the segment's number times this.
 SEGMENT = 1 << 32
@@ -44,9 +48,9 @@ def lexical_length(text: Column) -> Column:
     return F.greatest(F.size(T.search_tokens(text)), F.lit(1))
 
 
-def tokenized(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(key, tokens, doc_len) of the local chunks."""
-    words = local_chunks(chunks).select(key, T.search_tokens(F.col("text")).alias("tokens"))
+def tokenized(chunks: DataFrame, *keys: str) -> DataFrame:
+    """(keys, tokens, doc_len) of the local chunks."""
+    words = local_chunks(chunks).select(*keys, T.search_tokens(F.col("text")).alias("tokens"))
     return words.withColumn("doc_len", F.greatest(F.size("tokens"), F.lit(1)))
 
 
@@ -94,26 +98,44 @@ def live_entries(index: LexicalIndex, blocks: DataFrame) -> DataFrame:
     return rows.join(gone, (rows["id"] == gone["id"]) & (rows["block"] < gone["below"] * SEGMENT), "left_anti")
 
 
-def posting_blocks(chunks: DataFrame, n_blocks: int, parts: int, segment: int = 0, key: str = "chunk_id") -> DataFrame:
-    """(part, term, block, n, max_tf, min_len, entries) of a segment.
+def posting_blocks(
+    chunks: DataFrame, n_blocks: int, parts: int, segment: int = 0, key: str = "chunk_id", tasks: int = 1
+) -> DataFrame:
+    """(part, term, block, n, max_tf, min_len, entries) of a segment, from ``tasks`` tasks.
 
-    One shuffle by (term, block) serves the counts and the blocks; a term of every chunk is as many
-    groups as there are blocks.
+    The texts are dealt out by block, and that is the only shuffle: a block's tokens, counts and postings
+    are made where its texts are.
     """
-    words = T.each(tokenized(chunks, key), [key, "doc_len"], F.col("tokens"), "term").select(
-        F.col(key).cast("string").alias("id"), "doc_len", "term",
-        (F.pmod(F.xxhash64(key), F.lit(n_blocks)) + segment * SEGMENT).alias("block"),
-    )
-    counts = (
-        words.repartition("term", "block")
-        .groupBy("term", "block", "id")
-        .agg(F.count("*").cast("int").alias("tf"), F.first("doc_len").alias("doc_len"))
-    )
-    blocks = counts.groupBy("term", "block").agg(
-        F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"),
-        F.collect_list(F.struct("id", "tf", "doc_len")).alias("entries"),
-    )
-    return blocks.withColumn("part", part_of(parts))
+    block = F.pmod(F.xxhash64(key), F.lit(n_blocks)) + segment * SEGMENT
+    texts = local_chunks(chunks).select(F.col(key).cast("string").alias("id"), "text", block.alias("block"))
+    words = tokenized(texts.repartition(tasks, "block"), "block", "id")
+    return words.groupBy("block").applyInArrow(_block_postings, POSTINGS_SCHEMA).withColumn("part", part_of(parts))
+
+
+def _block_postings(chunks: pa.Table) -> pa.Table:
+    """The postings of one block: a row per term with what its chunks count of it."""
+    ids = chunks["id"].combine_chunks().dictionary_encode(null_encoding="encode")
+    words = chunks["tokens"].combine_chunks().flatten().dictionary_encode()
+    rows, n_ids = ids.indices.to_numpy(), len(ids.dictionary)
+    lengths = np.zeros(n_ids, np.int32)
+    lengths[rows[::-1]] = chunks["doc_len"].to_numpy()[::-1]
+    at = np.repeat(rows, pc.list_value_length(chunks["tokens"]).to_numpy())
+    pairs, tf = np.unique(words.indices.to_numpy().astype(np.int64) * n_ids + at, return_counts=True)
+    term, chunk = np.divmod(pairs, n_ids)
+    tf, length = tf.astype(np.int32), lengths[chunk]
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    ends = np.append(starts, len(term)).astype(np.int32)
+    columns = {
+        "term": words.dictionary.take(pa.array(term[starts])),
+        "block": pa.array(np.full(len(starts), chunks["block"][0].as_py(), np.int64)),
+        "n": pa.array(np.diff(ends)),
+        "max_tf": pa.array(np.maximum.reduceat(tf, starts) if len(starts) else tf),
+        "min_len": pa.array(np.minimum.reduceat(length, starts) if len(starts) else length),
+        "entries": pa.ListArray.from_arrays(
+            pa.array(ends), pa.StructArray.from_arrays([ids.dictionary.take(pa.array(chunk)), pa.array(tf), pa.array(length)], ["id", "tf", "doc_len"])
+        ),
+    }
+    return pa.table(columns)
 
 
 def part_of(parts: int) -> Column:
@@ -128,10 +150,11 @@ def write_counts(chunks: DataFrame, path: str, parts: int, key: str = "chunk_id"
     terms.agg(F.count("*").alias("df")).withColumn("part", part_of(parts)).write.mode("overwrite").parquet(f"{path}/terms")
 
 
-BLOCK_SCHEMA = (
+POSTINGS_SCHEMA = (
     "term string, block bigint, n int, max_tf int, min_len int, "
-    "entries array<struct<id: string, tf: int, doc_len: int>>, part int"
+    "entries array<struct<id: string, tf: int, doc_len: int>>"
 )
+BLOCK_SCHEMA = f"{POSTINGS_SCHEMA}, part int"
 
 TERM_SCHEMA = "term string, part int, df bigint"
 STATS_SCHEMA = "n_docs bigint, total_len bigint"
@@ -147,9 +170,11 @@ def write_segment(chunks: DataFrame, path: str, segment: int = 0, parts: int | N
     size = spark.read.parquet(f"{path}/stats").first()
     n_blocks = max(1, -(-size["n_docs"] // BLOCK_CHUNKS))
     parts = parts or max(LEAST_PARTS, -(-size["total_len"] // PART_POSTINGS))
-    blocks = posting_blocks(chunks, n_blocks, parts, segment, key)
+    tasks = max(1, -(-size["total_len"] // TASK_TOKENS))
+    blocks = posting_blocks(chunks, n_blocks, parts, segment, key, tasks)
+    # a task writes a file of each folder, so blocks are not moved to their folders
     (
-        blocks.hint("rebalance", "part").sortWithinPartitions("part", "term", "block")
+        blocks.sortWithinPartitions("part", "term", "block")
         .write.mode("overwrite").partitionBy("part").parquet(f"{path}/blocks")
     )
     stored = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
@@ -212,19 +237,29 @@ def block_bounds(index: LexicalIndex, asked: DataFrame, query_key: str, settings
 
 
 def block_scores(
-    index: LexicalIndex, asked: DataFrame, query_key: str, settings: Settings, wanted: DataFrame | None = None
+    index: LexicalIndex, asked: DataFrame, query_key: str, settings: Settings, wanted: DataFrame | None = None, few: bool = False,
 ) -> DataFrame:
-    """(query, chunk, score) of the wanted (query, block) pairs, of all blocks without them."""
-    on = ["part", "term"]
-    if wanted is not None:
-        asked, on = asked.join(wanted.select(query_key, "block"), query_key), [*on, "block"]
-    rows = live_entries(index, index.blocks.select("part", "term", "block", "entries").join(asked, on))
+    """(query, chunk, score) of the wanted (query, block) pairs, of all blocks without them.
+
+    Of the index, rows of asked terms in wanted blocks alone are moved, each at most once and to its block,
+    whatever the number of questions; the sums of a block's chunks then stay there. With ``few`` pairs the
+    sums are moved instead, if Spark finds the pairs small enough to bring them to the index.
+    """
+    keys = [query_key, F.col("id").alias(index.key)]
+    stored = index.blocks.select("part", "term", "block", "entries")
+    if wanted is None:
+        rows = live_entries(index, stored.join(asked, ["part", "term"]))
+    else:
+        asking = cut_lineage(wanted.groupBy("block").agg(F.collect_set(query_key).alias("_asking")))
+        met = stored.join(asked.select("part", "term").distinct(), ["part", "term"], "left_semi")
+        met = met.join(asking if few else asking.hint("shuffle_hash"), "block")
+        own = met.join(asked, ["part", "term"]).where(F.array_contains("_asking", F.col(query_key)))
+        rows = live_entries(index, own.drop("_asking"))
+        if index.replaced is None:  # a chunk lies in one block
+            keys.append("block")
     score = F.sum(F.col("idf") * impact(F.col("tf"), F.col("doc_len"), settings))
-    return (
-        rows.groupBy(query_key, F.col("id").alias(index.key))
-        .agg(F.round(score, SCORE_DIGITS).alias("score"))
-        .filter(F.col("score") > 0)
-    )
+    scored = rows.groupBy(*keys).agg(F.round(score, SCORE_DIGITS).alias("score")).filter(F.col("score") > 0)
+    return scored.select(query_key, index.key, "score")
 
 
 def bm25_scores(
@@ -260,7 +295,7 @@ def opened_blocks(
     order = Window.partitionBy(query_key).orderBy(F.desc("bound"), "block")
     placed = bounds.withColumn("nth", F.row_number().over(order))
     seeds = cut_lineage(placed.where(F.col("nth") <= n).select(query_key, "block"))
-    first = cut_lineage(block_scores(index, asked, query_key, settings, seeds))
+    first = cut_lineage(block_scores(index, asked, query_key, settings, seeds, few=True))
     floor = (
         top_k(first, query_key, "score", n, index.key).where(F.col("rank") == n).select(query_key, F.col("score").alias("floor"))
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tracemalloc
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from askloom.functions import udfs
+from askloom.operators import dense, lexical
+from askloom.settings import DEFAULTS
 
 
 def peak_mb(run):
@@ -21,6 +24,10 @@ def peak_mb(run):
         tracemalloc.stop()
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
 def test_hashing_lists_the_words_of_a_slice_only():
     texts = pd.Series([" ".join(f"word{(i * 7 + j) % 5000}" for j in range(300)) for i in range(3000)] + [None, ""])
     found, peak = peak_mb(lambda: udfs.hashed_vectors(texts, 16))
@@ -46,3 +53,55 @@ def test_an_embedder_gets_bounded_batches(spark):
     df = spark.range(0, 3000, 1, 1).select(F.when(F.col("id") % 100 > 0, F.repeat(F.lit("x"), (F.col("id") % 7).cast("int"))).alias("t"))
     got = udfs.embed_column(df, "t", embedder=model).collect()
     assert [r["embedding"] for r in got] == [[float(len(r["t"] or "")), 1.0] for r in got]
+
+
+def chunk_frame(spark, rows):
+    return spark.createDataFrame(rows, "chunk_id string, text string")
+
+
+def test_postings_are_made_by_one_shuffle(spark, tmp_path, monkeypatch):
+    """Texts are dealt out by block once; repeated and null ids, empty and null texts count as they did."""
+    monkeypatch.setattr(lexical, "BLOCK_CHUNKS", 8)
+    monkeypatch.setattr(lexical, "TASK_TOKENS", 100)
+    rows = [(f"c{i}", f"alpha beta{i % 5} beta{i % 5} gamma{i}") for i in range(60)]
+    rows += [("c7", "alpha beta2 beta2 gamma7"), ("empty", ""), ("none", None), (None, "alpha omega")]
+    chunks = chunk_frame(spark, rows)
+    plan = plan_of(lexical.posting_blocks(chunks, 8, 8, tasks=4))
+    assert plan.count("Exchange") == 1
+    index = lexical.build_index(chunks, str(tmp_path / "index"))
+    counts, length = Counter(), {}
+    for key, text in rows:
+        counts.update((key, w) for w in (text or "").split())
+        length.setdefault(key, max(len((text or "").split()), 1))
+    got = {(r["chunk_id"], r["term"]): (r["tf"], r["doc_len"]) for r in index.postings.collect()}
+    assert got == {(k, w): (n, length[k]) for (k, w), n in counts.items()} and index.postings.count() == len(got)
+    for r in index.blocks.collect():
+        tfs, lens = [e["tf"] for e in r["entries"]], [e["doc_len"] for e in r["entries"]]
+        assert (r["n"], r["max_tf"], r["min_len"]) == (len(tfs), max(tfs), min(lens))
+
+
+def test_opened_blocks_are_summed_where_they_are(spark, tmp_path, monkeypatch):
+    """However many pairs there are, entries move to their block once and no sum of a chunk moves."""
+    monkeypatch.setattr(lexical, "BLOCK_CHUNKS", 16)
+    chunks = chunk_frame(spark, [(f"c{i:03d}", f"waa wb{i % 3} wc{i % 11}") for i in range(300)])
+    index = lexical.build_index(chunks, str(tmp_path / "index"))
+    questions = spark.createDataFrame([(i, f"waa wb{i} wc{i}") for i in range(3)], "query_id int, query string")
+    asked = lexical.asked_terms(index, lexical.question_terms(questions, "query_id", "query"), "query_id")
+    pairs = index.blocks.join(asked, ["part", "term"]).select("query_id", "block").distinct()
+    scored = lexical.block_scores(index, asked, "query_id", DEFAULTS, pairs)
+    plan = plan_of(scored)
+    assert "hashpartitioning(block" in plan and "hashpartitioning(query_id" not in plan
+    as_set = lambda df: {(r["query_id"], r["chunk_id"], r["score"]) for r in df.collect()}
+    whole = as_set(lexical.block_scores(index, asked, "query_id", DEFAULTS))
+    few = as_set(lexical.block_scores(index, asked, "query_id", DEFAULTS, pairs, few=True))
+    assert as_set(scored) == few == whole and len(whole) == 900
+
+
+def test_the_drawn_rows_are_the_first_by_md5(spark):
+    rows = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("chunk_id"), F.array(F.col("id").cast("double")).alias("embedding"))
+    order = [r["chunk_id"] for r in rows.orderBy(F.md5("chunk_id"), "chunk_id").limit(50).collect()]
+    drawn = dense.draw_rows(rows, "chunk_id", 50, 4000)
+    assert [r["chunk_id"] for r in drawn.collect()] == order
+    assert "< 06666666" in plan_of(drawn)
+    # a bound that leaves too few rows is not used
+    assert [r["chunk_id"] for r in dense.draw_rows(rows, "chunk_id", 50, 1 << 20).collect()] == order
