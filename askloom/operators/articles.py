@@ -23,7 +23,9 @@ from askloom.settings import DEFAULTS, Settings
 
 SCORE_DIGITS = 6
 HEAD_ROWS = 8192
-SLICE_ROWS = 4096
+SLICE_ROWS = 32_768
+#: Rows of the left and of the right block that are compared at a time.
+LEFT_ROWS, RIGHT_ROWS = 1024, 4096
 #: Lengths are compared with this much room, so that no similar pair is missed by rounding.
 SLACK = 1e-9
 
@@ -148,7 +150,11 @@ def _rarest_first(rows: DataFrame) -> list[int]:
 
 
 def _has_near(threshold: float):
-    """Rows of the left block with a similar row in the right one that comes before them."""
+    """Rows of the left block with a similar row in the right one that comes before them.
+
+    Both sides are taken in order, a bounded part at a time, so rows that come later or have been found are
+    not compared, and a block's scores are never held as a whole.
+    """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -157,14 +163,20 @@ def _has_near(threshold: float):
         place = np.empty(len(both), np.int64)
         place[both.sort_values(["position", "doc_id"], kind="stable").index] = np.arange(len(both))
         mine, theirs = place[: len(left)], place[len(left) :]
-        unit, against = _unit(left["embedding"]), _unit(right["embedding"]).T
+        ours, others = np.argsort(mine), np.argsort(theirs)
+        mine, theirs = mine[ours], theirs[others]
+        own, other = left["_row"].to_numpy()[ours], right["_row"].to_numpy()[others]
+        unit, against = _unit(left["embedding"])[ours], _unit(right["embedding"])[others].T
         found = np.zeros(len(left), bool)
-        for i in range(0, len(left), 1024):
-            close = unit[i : i + 1024] @ against > threshold
-            close &= theirs[None, :] < mine[i : i + 1024, None]
-            close &= right["_row"].to_numpy()[None, :] != left["_row"].to_numpy()[i : i + 1024, None]
-            found[i : i + 1024] = close.any(axis=1)
-        return pd.DataFrame({"_row": left["_row"].to_numpy()[found]})
+        for j in range(0, len(right), RIGHT_ROWS):
+            later = np.searchsorted(mine, theirs[j])
+            left_over = later + np.flatnonzero(~found[later:])
+            for i in range(0, len(left_over), LEFT_ROWS):
+                at = left_over[i : i + LEFT_ROWS]
+                rows, cols = np.nonzero(unit[at] @ against[:, j : j + RIGHT_ROWS] > threshold)
+                rows, cols = at[rows], cols + j
+                found[rows[(theirs[cols] < mine[rows]) & (other[cols] != own[rows])]] = True
+        return pd.DataFrame({"_row": own[found]})
 
     return run
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from askloom.functions import udfs
-from askloom.operators import dense, lexical
+from askloom.operators import articles, dense, lexical
 from askloom.settings import DEFAULTS
 
 
@@ -105,3 +105,22 @@ def test_the_drawn_rows_are_the_first_by_md5(spark):
     assert "< 06666666" in plan_of(drawn)
     # a bound that leaves too few rows is not used
     assert [r["chunk_id"] for r in dense.draw_rows(rows, "chunk_id", 50, 1 << 20).collect()] == order
+
+
+def test_large_blocks_are_compared_in_parts():
+    """A group of 30,000 rows is one block, which no row is sent to twice, in bounded memory."""
+    rng = np.random.default_rng(3)
+    n = 12_000
+    vectors = (rng.random((n, 16)) < 0.2) * rng.integers(1, 4, (n, 16)).astype(float)
+    rows = pd.DataFrame({"position": rng.permutation(n) // 2, "doc_id": np.arange(n), "_row": np.arange(n), "embedding": list(vectors)})
+    left, right = rows.sample(n - 500, random_state=1), rows.sample(n - 700, random_state=2)
+    got, peak = peak_mb(lambda: articles._has_near(0.97)(left, right))
+    assert articles.SLICE_ROWS >= 30_000 and peak < 90
+    unit, want = articles._unit(rows["embedding"]), set()
+    order = np.lexsort((rows["doc_id"], rows["position"]))
+    place = np.empty(n, int)
+    place[order] = np.arange(n)
+    earlier = np.sort(right["_row"].to_numpy())
+    for row in left["_row"].sample(300, random_state=4):
+        near = earlier[(unit[earlier] @ unit[row] > 0.97) & (place[earlier] < place[row])]
+        assert (row in set(got["_row"])) == bool(len(near))
