@@ -124,3 +124,28 @@ def test_large_blocks_are_compared_in_parts():
     for row in left["_row"].sample(300, random_state=4):
         near = earlier[(unit[earlier] @ unit[row] > 0.97) & (place[earlier] < place[row])]
         assert (row in set(got["_row"])) == bool(len(near))
+
+
+def test_folding_copies_no_ascii_batch():
+    """A batch of ASCII texts stays as it is; among others only those that may change become Python strings."""
+    plain = pa.array(["plain text " * 50, None, ""] * 1000)
+    held = pa.total_allocated_bytes()
+    assert udfs.nfkc.func(plain).equals(plain) and pa.total_allocated_bytes() == held
+    mixed = pa.array([None if i % 7 == 3 else "" if i % 7 == 4 else f"x{i}" + "\ufb01\u2460" * (i % 3) for i in range(1000)])
+    for batch in (mixed, mixed.slice(5, 600), mixed.slice(0, 0)):
+        assert udfs.nfkc.func(batch).to_pylist() == [t and unicodedata.normalize("NFKC", t) for t in batch.to_pylist()]
+
+
+def test_scores_of_many_questions_are_made_in_small_slices():
+    rng = np.random.default_rng(5)
+    docs = np.round(rng.normal(size=(4096, 16)), 1)
+    docs[7] = 0.0
+    ids = np.array([f"c{i:05d}" for i in rng.permutation(len(docs))], dtype=object)
+    asked = np.concatenate([np.round(rng.normal(size=(2000, 16)), 1), np.zeros((1, 16))])
+    (rows, found, values), peak = peak_mb(lambda: dense._best(asked, ids, docs, 5))
+    assert peak < 40
+    for q in (0, 999, 2000):
+        scores = np.round(docs @ asked[q], 6) + 0.0
+        order = np.lexsort((ids, -scores))[:5]
+        got = sorted(zip(found[rows == q], values[rows == q]), key=lambda x: (-x[1], x[0]))
+        assert got == list(zip(ids[order], scores[order])) and not np.signbit(values[values == 0]).any()
