@@ -35,6 +35,8 @@ BLOCK_CHUNKS = 256
 TASK_TOKENS = 4_000_000
 PART_POSTINGS = 64_000_000
 LEAST_PARTS = 8
+#: Opened blocks of a task, on average: the sums of (question, chunk) that it holds are bounded by them.
+TASK_BLOCKS = 32
 #: Block numbers of a segment begin at the segment's number times this.
 SEGMENT = 1 << 32
 
@@ -242,8 +244,9 @@ def block_scores(
     """(query, chunk, score) of the wanted (query, block) pairs, of all blocks without them.
 
     Of the index, rows of asked terms in wanted blocks alone are moved, each at most once and to its block,
-    whatever the number of questions; the sums of a block's chunks then stay there. With ``few`` pairs the
-    sums are moved instead, if Spark finds the pairs small enough to bring them to the index.
+    whatever the number of questions; the sums of a block's chunks then stay there, in so many tasks that
+    one holds the sums of some ``TASK_BLOCKS`` blocks. With ``few`` pairs the sums are moved instead, if
+    Spark finds the pairs small enough to bring them to the index.
     """
     keys = [query_key, F.col("id").alias(index.key)]
     stored = index.blocks.select("part", "term", "block", "entries")
@@ -252,7 +255,10 @@ def block_scores(
     else:
         asking = cut_lineage(wanted.groupBy("block").agg(F.collect_set(query_key).alias("_asking")))
         met = stored.join(asked.select("part", "term").distinct(), ["part", "term"], "left_semi")
-        met = met.join(asking if few else asking.hint("shuffle_hash"), "block")
+        if not few:
+            tasks = max(2, -(-asking.count() // TASK_BLOCKS))
+            met, asking = met.repartition(tasks, "block"), asking.repartition(tasks, "block").hint("shuffle_hash")
+        met = met.join(asking, "block")
         own = met.join(asked, ["part", "term"]).where(F.array_contains("_asking", F.col(query_key)))
         rows = live_entries(index, own.drop("_asking"))
         if index.replaced is None:  # a chunk lies in one block

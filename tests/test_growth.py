@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tracemalloc
 import unicodedata
 from collections import Counter
@@ -149,3 +150,19 @@ def test_scores_of_many_questions_are_made_in_small_slices():
         order = np.lexsort((ids, -scores))[:5]
         got = sorted(zip(found[rows == q], values[rows == q]), key=lambda x: (-x[1], x[0]))
         assert got == list(zip(ids[order], scores[order])) and not np.signbit(values[values == 0]).any()
+
+
+def test_a_task_sums_a_bounded_number_of_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_CHUNKS", 16)
+    monkeypatch.setattr(lexical, "TASK_BLOCKS", 3)
+    index = lexical.build_index(chunk_frame(spark, [(f"c{i:03d}", f"waa wb{i % 3}") for i in range(300)]), str(tmp_path / "index"))
+    questions = spark.createDataFrame([(i, f"waa wb{i}") for i in range(3)], "query_id int, query string")
+    asked = lexical.asked_terms(index, lexical.question_terms(questions, "query_id", "query"), "query_id")
+    pairs = index.blocks.join(asked, ["part", "term"]).select("query_id", "block").distinct()
+    scored = lexical.block_scores(index, asked, "query_id", DEFAULTS, pairs)
+    tasks = -(-pairs.select("block").distinct().count() // 3)
+    assert set(re.findall(r"hashpartitioning\(block#\d+L, (\d+)\)", plan_of(scored))) == {str(tasks)} and tasks > 4
+    as_set = lambda df: {(r["query_id"], r["chunk_id"], r["score"]) for r in df.collect()}
+    assert as_set(scored) == as_set(lexical.block_scores(index, asked, "query_id", DEFAULTS))
+    none = lexical.block_scores(index, asked, "query_id", DEFAULTS, pairs.limit(0))
+    assert none.count() == 0
