@@ -12,8 +12,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from askloom.functions import text as T
 from askloom.functions import udfs
-from askloom.operators import articles, dense, lexical
+from askloom.operators import articles, chunking, dense, lexical
 from askloom.settings import DEFAULTS
 
 
@@ -166,3 +167,19 @@ def test_a_task_sums_a_bounded_number_of_blocks(spark, tmp_path, monkeypatch):
     assert as_set(scored) == as_set(lexical.block_scores(index, asked, "query_id", DEFAULTS))
     none = lexical.block_scores(index, asked, "query_id", DEFAULTS, pairs.limit(0))
     assert none.count() == 0
+
+
+def test_texts_of_one_window_are_not_split(spark, monkeypatch):
+    texts = ["a", " a  b ", "", " \t\n", None, "a\u00a0b c\x85", "a\r\n\fb\x0b", "\u2028 x y z", "a b c d e", "a  b   c  d    e   f g ",
+             "aaaa bbbb", "\x1c \x1c", "word " * 40, "1 2 3 4 5 6 7 8"]
+    rows = spark.createDataFrame([(i, f"s{i}", t) for i, t in enumerate(texts)], "doc_id int, source string, text string")
+    want = set()
+    for i, t in enumerate(texts):
+        words = re.findall(r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+", t or "")
+        count = 0 if not words else -(-max(len(words) - 4, 0) // 3) + 1
+        want |= {(i, n, "".join(words[n * 3 : n * 3 + 4])) for n in range(count)}
+    got = chunking.chunk_flat(rows, 4, 1).select("doc_id", "chunk_index", "text")
+    assert {tuple(r) for r in got.collect()} == want
+    monkeypatch.setattr(T, "tokens", lambda c: F.raise_error(F.lit("split")).cast("array<string>"))
+    short = rows.where(F.col("doc_id").isin(0, 1, 5, 6, 10, 11))
+    assert chunking.chunk_flat(short, 4, 1).count() == 6
