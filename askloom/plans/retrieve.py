@@ -13,7 +13,7 @@ from askloom.functions.rules import ENTITY_ALIASES
 from askloom.operators import chunking, fusion
 from askloom.operators.dense import holes, pack_vectors, unpack_vectors
 from askloom.operators.lexical import LexicalIndex, lexical_length, load_index, write_counts, write_segment
-from askloom.session import cut_lineage, drop_path, scratch_path
+from askloom.session import cut_lineage, drop_path, scratch_path, small_batches
 from askloom.settings import DEFAULTS, Settings
 from askloom.sources.pointer import read_pointer, write_pointer
 
@@ -118,7 +118,8 @@ def ingest(
     path = path or scratch_path(spark, "corpus")
     old = read_pointer(spark, path) or {"next": 0, "segments": [], "batches": {}}
     segment = old["next"]
-    parts = _write_segment(spark, docs, _folder(path, segment), segment, None, settings, embedder, extra)
+    with small_batches(spark):
+        parts = _write_segment(spark, docs, _folder(path, segment), segment, None, settings, embedder, extra)
     _switch(spark, path, {"segments": [segment], "next": segment + 1, "parts": parts, "batches": old["batches"]}, old)
     return Corpus.open(spark, path)
 
@@ -147,7 +148,8 @@ def append(
     if state is None:
         state = {"next": 0, "segments": [], "parts": None, "batches": {}}
     segment, folder = state["next"], _folder(path, state["next"])
-    parts = _write_segment(spark, docs, folder, segment, state["parts"], settings, embedder, extra)
+    with small_batches(spark):
+        parts = _write_segment(spark, docs, folder, segment, state["parts"], settings, embedder, extra)
     if state["segments"]:
         before = _opened(spark, path, state["segments"])
         below = F.lit(segment).cast("long").alias("below")
@@ -174,8 +176,9 @@ def compact(spark: SparkSession, path: str) -> Corpus:
     number = F.lit(segment).cast("long")
     corpus.parents.withColumn("segment", number).write.mode("overwrite").parquet(f"{folder}/parents")
     corpus.chunks.withColumn("segment", number).write.mode("overwrite").parquet(f"{folder}/chunks")
-    pack_vectors(unpack_vectors(corpus.vectors), segment=segment).write.mode("overwrite").parquet(f"{folder}/vectors")
-    parts = write_segment(spark.read.parquet(f"{folder}/chunks"), f"{folder}/index", segment)
+    with small_batches(spark):
+        pack_vectors(unpack_vectors(corpus.vectors), segment=segment).write.mode("overwrite").parquet(f"{folder}/vectors")
+        parts = write_segment(spark.read.parquet(f"{folder}/chunks"), f"{folder}/index", segment)
     _switch(spark, path, {"segments": [segment], "next": segment + 1, "parts": parts, "batches": state["batches"]}, state)
     return Corpus.open(spark, path)
 

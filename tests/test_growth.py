@@ -10,11 +10,14 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from askloom import session
 from askloom.functions import text as T
 from askloom.functions import udfs
 from askloom.operators import articles, chunking, dense, lexical
+from askloom.plans.retrieve import ingest
 from askloom.settings import DEFAULTS
 
 
@@ -183,3 +186,39 @@ def test_texts_of_one_window_are_not_split(spark, monkeypatch):
     monkeypatch.setattr(T, "tokens", lambda c: F.raise_error(F.lit("split")).cast("array<string>"))
     short = rows.where(F.col("doc_id").isin(0, 1, 5, 6, 10, 11))
     assert chunking.chunk_flat(short, 4, 1).count() == 6
+
+
+def test_written_tables_get_small_batches(spark):
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], names=["bytes", "n"])
+
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("t"))
+    before = spark.conf.get(conf, None)
+    got = session.cut_lineage(texts.mapInArrow(sizes, "bytes long, n long")).collect()
+    assert sum(r["n"] for r in got) == 3000 and max(r["bytes"] for r in got) < 1.5 * session.BATCH_BYTES
+    spark.conf.set(conf, "7m")
+    try:
+        with pytest.raises(ValueError), session.small_batches(spark):
+            assert spark.conf.get(conf) == str(session.BATCH_BYTES)
+            raise ValueError
+        assert spark.conf.get(conf) == "7m"
+    finally:
+        spark.conf.unset(conf)
+    assert spark.conf.get(conf, None) == before
+
+
+def test_ingest_sends_small_batches_to_python(spark, tmp_path):
+    def model(batch):
+        return np.array([[batch.str.len().sum(), len(batch)]] * len(batch), dtype=np.float64)
+
+    docs = spark.range(0, 1500, 1, 1).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("s/"), F.col("id")).alias("source"), F.lit("a").alias("source_rel"),
+        F.lit("a").alias("topic"), F.lit("en").alias("subtopic"), F.repeat(F.lit("abcdefg "), 480).alias("text"),
+    )
+    store = ingest(docs, path=str(tmp_path / "corpus"), embedder=model)
+    vectors = [r["embedding"] for r in dense.unpack_vectors(store.vectors).collect()]
+    assert len(vectors) == store.chunks.count() == 1500
+    assert max(v[0] for v in vectors) < 1.5 * session.BATCH_BYTES
