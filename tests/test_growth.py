@@ -222,3 +222,14 @@ def test_ingest_sends_small_batches_to_python(spark, tmp_path):
     vectors = [r["embedding"] for r in dense.unpack_vectors(store.vectors).collect()]
     assert len(vectors) == store.chunks.count() == 1500
     assert max(v[0] for v in vectors) < 1.5 * session.BATCH_BYTES
+
+
+def test_ids_are_ordered_by_document_not_by_hit():
+    """Copies of a text tie with one another for every question."""
+    ids = np.array([f"c{i:05d}" for i in np.random.default_rng(3).permutation(4096)], dtype=object)
+    assert len(ids) * 244 < dense.MAX_SCORE_CELLS
+    asked = np.eye(4)[np.arange(1000) % 4]
+    (rows, found, values), peak = peak_mb(lambda: dense._best(asked, ids, np.tile([[1.0, 0.0, 0.0, 0.0]], (4096, 1)), 3))
+    assert peak < 75
+    assert found.tolist() == ["c00000", "c00001", "c00002"] * 1000 and rows.tolist() == np.repeat(np.arange(1000), 3).tolist()
+    assert values.tolist() == np.repeat(np.arange(1000) % 4 == 0, 3).astype(float).tolist()
