@@ -19,6 +19,8 @@ from askloom.session import cut_lineage
 HEAD_CHARS = 256
 #: Characters of heads, and of whole passages, that one automaton goes by.
 GROUP_HEADS, GROUP_CHARS = 1 << 20, 16 << 20
+#: Pairs of a passage and a text that a worker holds before they leave; the last text's pairs come on top.
+PAIR_ROWS = 1 << 16
 
 
 class Passages:
@@ -78,8 +80,8 @@ def containing(
 ) -> DataFrame:
     """(key, target): texts that contain a passage of any length, letter for letter; a row per passage and text.
 
-    Every text is gone through once for a group of passages, whatever their number, and is not moved. An
-    empty passage is in every text; null texts and passages match nothing.
+    Every text is gone through once for a group of passages, whatever their number, and is not moved. Pairs
+    leave in batches of bounded size. An empty passage is in every text; null texts and passages match nothing.
     """
     schema = St.StructType().add(key, passages.schema[key].dataType).add(target, bodies.schema[target].dataType)
     texts = bodies.select(target, body).where(F.col(body).isNotNull())
@@ -96,6 +98,9 @@ def _search(spark: SparkSession, group: pd.DataFrame, schema: St.StructType, bod
     # the name tells the automata of a worker process that is used again apart
     sent = spark.sparkContext.broadcast((uuid.uuid4().hex, group[key].tolist(), group[text].tolist()))
 
+    def pairs(keys: list, targets: pa.Array, places: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, key_type), targets.take(pa.array(places))], names=[key, target])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _automaton(sent)
         for batch in batches:
@@ -104,9 +109,10 @@ def _search(spark: SparkSession, group: pd.DataFrame, schema: St.StructType, bod
                 hits = [known.keys[n] for n in known.inside(value.as_py())]
                 keys += hits
                 places += [i] * len(hits)
+                if len(places) >= PAIR_ROWS:
+                    yield pairs(keys, batch[target], places)
+                    keys, places = [], []
             if places:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, key_type), batch[target].take(pa.array(places))], names=[key, target]
-                )
+                yield pairs(keys, batch[target], places)
 
     return run

@@ -12,11 +12,12 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as St
 
 from askloom import session
 from askloom.functions import text as T
 from askloom.functions import udfs
-from askloom.operators import articles, chunking, dense, lexical
+from askloom.operators import articles, chunking, dense, lexical, matching
 from askloom.plans.retrieve import ingest
 from askloom.settings import DEFAULTS
 
@@ -233,3 +234,19 @@ def test_ids_are_ordered_by_document_not_by_hit():
     assert peak < 75
     assert found.tolist() == ["c00000", "c00001", "c00002"] * 1000 and rows.tolist() == np.repeat(np.arange(1000), 3).tolist()
     assert values.tolist() == np.repeat(np.arange(1000) % 4 == 0, 3).astype(float).tolist()
+
+
+def test_pairs_of_common_passages_leave_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(matching, "PAIR_ROWS", 100)
+    asked = pd.DataFrame({"query_id": range(30), "query": ["", "a", "ab", "not there", "b a"] * 6})
+    schema = St.StructType().add("query_id", St.LongType()).add("target", St.StringType())
+    run = matching._search(spark, asked, schema, "body", "query")
+    texts = ["ab ab", "", None, "b a"] * 50
+    held = [(f"t{i}", t) for i, t in enumerate(texts) if t is not None]
+    batch = pa.RecordBatch.from_pydict({"target": [t for t, _ in held], "body": [b for _, b in held]})
+    parts = list(run(iter([batch, batch.slice(0, 2)])))
+    # a batch ends with the text that fills it
+    assert len(parts) > 20 and max(p.num_rows for p in parts) < 100 + len(asked)
+    got = Counter((k, t) for p in parts for k, t in zip(p["query_id"].to_pylist(), p["target"].to_pylist()))
+    pairs = zip(asked["query_id"], asked["query"])
+    assert got == Counter((k, t) for k, q in pairs for t, b in [*held, *held[:2]] if q in b)
